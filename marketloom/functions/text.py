@@ -213,26 +213,6 @@ def placeholder(content, nav_words: Sequence[str], short: int = 20, image_below:
     return out.when(F.length(content) < short, "[Limited text content available]").otherwise(content)
 
 
-def boilerplate_cut(content, marker: str, prefixes: Sequence[str], headers: Sequence[str], nav_words: Sequence[str],
-                    starts: Sequence[str], footers: Sequence[str]) -> Column:
-    """Body of a page text: what follows the marker and navigation, up to the first listed footer."""
-    c = _col(content)
-    c = F.when(F.contains(F.substring(c, 1, 500), F.lit(marker)), strip(_after(c, marker))).otherwise(c)
-    for p in prefixes:
-        c = F.when(c.startswith(p), strip(F.substring(c, F.lit(len(p) + 1), F.length(c)))).otherwise(c)
-    for h in headers:
-        c = F.when(F.contains(F.substring(c, 1, 300), F.lit(h)), strip(_after(c, h))).otherwise(c)
-    at_start = F.exists(F.array(*[F.lit(n) for n in nav_words]), lambda n: F.startswith(c, n))
-    found = F.filter(F.array(*[F.regexp_instr(c, F.lit(s)) for s in starts]), lambda i: i > 0)
-    c = F.when(at_start & (F.size(found) > 0), F.substring(c, F.array_min(found), F.length(c))).otherwise(c)
-    cuts = F.filter(F.array(*[F.instr(c, f) for f in footers]), lambda i: i > 1)
-    return F.when(F.size(cuts) > 0, F.substring(c, F.lit(1), cuts[0] - 1)).otherwise(c)
-
-
-def _after(c: Column, mark: str) -> Column:
-    return F.substring(c, F.instr(c, mark) + len(mark), F.length(c))
-
-
 # Cue words of the enforcement levels, strongest first.
 CUES = (
     ("mandatory", ("必须", "应当", "不得")),

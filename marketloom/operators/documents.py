@@ -32,16 +32,18 @@ def clean(df: DataFrame, patterns: Sequence[Pattern], content: str = "content",
 
     ``cleaning`` is a struct of lengths and rule names, null when nothing was removed.
     """
-    original = F.coalesce(F.col(content), F.lit(""))
-    out = df.withColumn("_text", original).withColumn("_fired", F.array().cast("array<string>"))
+    out = df.withColumn("_text", F.coalesce(F.col(content), F.lit("")))
     ordered = [p for p in patterns if p.source] + [p for p in patterns if not p.source]
-    for p in ordered:
+    # One reference to the text per step keeps the expression linear when a filter is pushed through the steps.
+    for n, p in enumerate(ordered):
+        replaced = F.regexp_replace("_text", p.regex, p.replacement)
         hit = F.col("_text").rlike(p.regex)
         if p.source:
-            hit = (F.col(source) == p.source) & hit
-        out = out.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumns({
-            "_fired": F.when(F.col("_hit"), F.concat("_fired", F.array(F.lit(p.name)))).otherwise(F.col("_fired")),
-            "_text": F.when(F.col("_hit"), F.regexp_replace("_text", p.regex, p.replacement)).otherwise(F.col("_text"))})
+            mine = F.col(source) == p.source
+            hit, replaced = mine & hit, F.when(mine, replaced).otherwise(F.col("_text"))
+        out = out.withColumns({f"_hit{n}": hit, "_text": replaced})
+    fired = F.array_compact(F.array(*[F.when(F.col(f"_hit{n}"), p.name) for n, p in enumerate(ordered)]))
+    out = out.withColumn("_fired", fired)
     final = text.strip("_text")
     removed = F.length(content) - F.length("_clean")
     meta = F.struct(
@@ -49,7 +51,8 @@ def clean(df: DataFrame, patterns: Sequence[Pattern], content: str = "content",
         removed.cast("long").alias("chars_removed"), F.col("_fired").alias("patterns_applied"))
     return (
         out.withColumn("_clean", final).withColumn("cleaning", F.when(removed > 0, meta))
-        .withColumn(content, F.col("_clean")).drop("_text", "_fired", "_hit", "_clean"))
+        .withColumn(content, F.col("_clean"))
+        .drop("_text", "_fired", "_clean", *[f"_hit{n}" for n in range(len(ordered))]))
 
 
 def cleaning_audit(cleaned: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,7 +64,9 @@ def cleaning_audit(cleaned: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pattern_usage(cleaned: DataFrame) -> DataFrame:
-    return cleaned.select(F.explode("cleaning.patterns_applied").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    """Documents per rule that fired. The outer form adds no filter that would repeat the cleaning steps."""
+    fired = cleaned.select(F.explode_outer("cleaning.patterns_applied").alias("pattern"))
+    return fired.filter(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 def filter_audit(df: DataFrame, keys: Sequence[str], kept: Column) -> DataFrame:
@@ -85,3 +90,29 @@ def corpus_statistics(df: DataFrame, source: str = "source", category: str = "la
 def before_cutoff(df: DataFrame, cutoff: str, published: Column) -> DataFrame:
     """Documents with a parseable publish date up to the cutoff; missing and bad dates go."""
     return df.filter(text.iso_date(published) <= F.lit(cutoff).cast("date"))
+
+
+def boilerplate_cut(df: DataFrame, content: str, marker: str, prefixes: Sequence[str], headers: Sequence[str],
+                    nav_words: Sequence[str], starts: Sequence[str], footers: Sequence[str], out: str = "body") -> DataFrame:
+    """Body of a page text: what follows the marker, prefixes and navigation headers, from the earliest start form
+    where navigation still leads, up to the first listed footer."""
+    c = F.col("_body")
+
+    def after(mark: str) -> Column:
+        return text.strip(F.substring(c, F.instr(c, mark) + len(mark), F.length(c)))
+
+    step = df.withColumn("_body", F.col(content))
+    step = step.withColumn("_body", F.when(F.contains(F.substring(c, 1, 500), F.lit(marker)), after(marker)).otherwise(c))
+    for p in prefixes:
+        rest = text.strip(F.substring(c, F.lit(len(p) + 1), F.length(c)))
+        step = step.withColumn("_body", F.when(c.startswith(p), rest).otherwise(c))
+    for h in headers:
+        step = step.withColumn("_body", F.when(F.contains(F.substring(c, 1, 300), F.lit(h)), after(h)).otherwise(c))
+    leading = F.exists(F.array(*[F.lit(n) for n in nav_words]), lambda n: F.startswith(c, n))
+    found = F.filter(F.array(*[F.regexp_instr(c, F.lit(s)) for s in starts]), lambda i: i > 0)
+    step = step.withColumn("_start", F.when(leading, F.array_min(found)))
+    step = step.withColumn("_body", F.when(F.col("_start") > 0, F.substring(c, F.col("_start"), F.length(c))).otherwise(c))
+    cuts = F.filter(F.array(*[F.instr(c, f) for f in footers]), lambda i: i > 1)
+    step = step.withColumn("_end", F.try_element_at(cuts, F.lit(1)))
+    body = F.when(F.col("_end") > 1, F.substring(c, F.lit(1), F.col("_end") - 1)).otherwise(c)
+    return step.withColumn(out, body).drop("_body", "_start", "_end")

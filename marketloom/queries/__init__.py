@@ -1,4 +1,4 @@
 """All registered queries; importing the package registers them."""
 
 from marketloom.queries.registry import ORACLES, QUERIES  # noqa: F401
-from marketloom.queries import cleaning, documents, features  # noqa: F401,E402
+from marketloom.queries import cleaning, documents, features, sentiment, sources  # noqa: F401,E402

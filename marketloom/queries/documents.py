@@ -167,7 +167,7 @@ h AS (SELECT doc_id, x, list_filter([strpos(x, 'license'), strpos(x, ' under '),
 SELECT doc_id, CASE WHEN len(cuts) > 0 THEN substr(x, 1, cuts[1] - 1) ELSE x END AS body FROM h
 """)
 def _(t):
-    return t.documents.select("doc_id", text.boilerplate_cut("text", **CUT).alias("body"))
+    return documents.boilerplate_cut(t.documents.select("doc_id", "text"), "text", **CUT).select("doc_id", "body")
 
 
 def _title(expr):

@@ -56,3 +56,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for a subtree that several branches of one plan read."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def allow_charsets(spark: SparkSession) -> None:
+    """Let text scans use the national charsets of the source files, which Spark 4 accepts only on request."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
