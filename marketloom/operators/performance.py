@@ -1,11 +1,30 @@
-"""Performance, risk and drawdown of value series."""
+"""Performance, risk, drawdown, comparison and significance of value series.
+
+Every function takes a long table of series keyed by columns, so all models, markets and frequencies are one job.
+A series has one row per key and day; windows over one series are bounded by the calendar.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from marketloom.operators.series import trailing
+from marketloom.functions.significance import normal_p, normal_quantile, student_p
+from marketloom.operators.series import ordered, trailing, until_now
+from marketloom.operators.statistics import average_rank
+
+DAYS = 252
+RISK_FREE = 0.02
+ROOT = math.sqrt(DAYS)
+
+
+def _safe(n, d) -> Column:
+    return F.coalesce(F.try_divide(n, d), F.lit(0.0))
 
 
 def rolling_drawdown(c: str, w: WindowSpec, rows: int) -> Column:
@@ -22,3 +41,311 @@ def rolling_drawdown(c: str, w: WindowSpec, rows: int) -> Column:
 
     folded = F.aggregate(F.collect_list(c).over(frame), start, step, lambda a: a["low"] / a["top"])
     return F.when(F.count(c).over(frame) == rows, folded)
+
+
+def with_returns(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the row return ``r``; the first row of a series keeps a null."""
+    return nav.withColumn("r", F.col("nav") / F.lag("nav").over(ordered(keys)) - 1)
+
+
+def drawdowns(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the running maximum and the relative drawdown."""
+    return nav.withColumn("peak", F.max("nav").over(until_now(ordered(keys)))).withColumn(
+        "dd", (F.col("nav") - F.col("peak")) / F.col("peak"))
+
+
+def cumulative(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return nav.withColumn("cumulative", F.col("nav") / F.first("nav").over(ordered(keys)) - 1)
+
+
+def _islands(dd: DataFrame, keys: Sequence[str], under: Column) -> DataFrame:
+    """Rows of each stretch where ``under`` holds, with its number and the date of the row after."""
+    w = ordered(keys)
+    return (
+        dd.withColumn("_under", under)
+        .withColumn("_island", F.sum((~F.col("_under")).cast("int")).over(until_now(w)))
+        .withColumn("_next", F.lead("date").over(w))
+        .withColumn("_final", F.max("date").over(Window.partitionBy(*keys)))
+        .filter("_under"))
+
+
+def episodes(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drawdown episodes; one still open at the end has no end and no recovery, and lasts to the final date."""
+    rows = _islands(drawdowns(nav, keys), keys, F.col("dd") < 0)
+    low = F.min(F.struct("dd", "date", "nav"))
+    last = F.max(F.struct("date", "_next"))
+    one = rows.groupBy(*keys, "_island").agg(
+        F.min("date").alias("start"), low.alias("_low"), last.alias("_last"), F.min_by("peak", "date").alias("peak_value"),
+        F.first("_final").alias("_final"))
+    end = F.col("_last._next")
+    return one.select(
+        *keys, "start", F.col("_low.date").alias("trough"), end.alias("end"), "peak_value", F.col("_low.nav").alias("trough_value"),
+        F.col("_low.dd").alias("drawdown"), F.datediff(F.coalesce(end, F.col("_final")), "start").alias("duration_days"),
+        F.datediff(end, "_low.date").alias("recovery_days"))
+
+
+def longest_drawdown(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Deepest drawdown and the longest closed run of rows below the maximum, counted from its first row."""
+    dd = drawdowns(nav, keys)
+    runs = _islands(dd, keys, F.col("dd") < 0).groupBy(*keys, "_island").agg(
+        (F.count("*") - 1).alias("rows"), F.max_by(F.col("_next").isNotNull(), "date").alias("closed"))
+    length = runs.groupBy(*keys).agg(F.max(F.when(F.col("closed"), F.col("rows"))).alias("_rows"))
+    return dd.groupBy(*keys).agg(F.abs(F.min("dd")).alias("max_drawdown")).join(length, list(keys), "left").select(
+        *keys, "max_drawdown", F.coalesce("_rows", F.lit(0)).alias("duration_rows"))
+
+
+def deep_episodes(nav: DataFrame, keys: Sequence[str], depth: float = -20.0, first: int = 3) -> DataFrame:
+    """First closed stretches with a drawdown (in percent) below ``depth``; the end is the first row past it."""
+    rows = _islands(drawdowns(nav, keys), keys, F.col("dd") * 100 < depth)
+    one = rows.groupBy(*keys, "_island").agg(F.min("date").alias("start"), F.max(F.struct("date", "_next"))["_next"].alias("end"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start"))
+    return one.filter("end IS NOT NULL").withColumn("nth", nth).filter(F.col("nth") <= first).select(*keys, "nth", "start", "end")
+
+
+def rolling_performance(nav: DataFrame, keys: Sequence[str], rows: int = DAYS, rf: float = RISK_FREE) -> DataFrame:
+    """Annual return, volatility and Sharpe over the last ``rows`` returns; null before the window is full."""
+    w = ordered(keys)
+    frame = trailing(w, rows)
+    full = F.count("r").over(frame) == rows
+    mean, std = F.avg("r").over(frame), F.stddev_samp("r").over(frame)
+    return with_returns(nav, keys).filter("r IS NOT NULL").withColumns({
+        "return": F.when(full, mean * DAYS), "volatility": F.when(full, std * ROOT),
+        "sharpe": F.when(full, F.try_divide(mean - rf / DAYS, std) * ROOT)})
+
+
+def volatility_regimes(rolling: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Low, normal or high by the quartiles of each series, and spikes over its 95th percentile."""
+    known = rolling.filter("volatility IS NOT NULL")
+    q = F.percentile("volatility", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.95))).over(Window.partitionBy(*keys))
+    v = F.col("volatility")
+    return (
+        known.withColumn("_q", q)
+        .withColumn("regime", F.when(v <= F.col("_q")[0], "low").when(v <= F.col("_q")[1], "normal").otherwise("high"))
+        .withColumn("spike", v > F.col("_q")[2]).drop("_q"))
+
+
+def ranks_by_date(df: DataFrame, keys: Sequence[str], value: str, ascending: bool = False) -> DataFrame:
+    """Average rank of the models on each date; volatility ranks ascending, the others descending."""
+    return df.filter(F.col(value).isNotNull()).withColumn("rank", average_rank(keys, value, ascending))
+
+
+def common_start(nav: DataFrame, series: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Series cut to the latest of their first dates and rebased to 100 there."""
+    starts = nav.groupBy(*keys, series).agg(F.min("date").alias("_s")).groupBy(*keys).agg(F.max("_s").alias("_start"))
+    if keys:
+        cut = nav.join(starts, list(keys)).filter("date >= _start").drop("_start")
+    else:
+        cut = nav.filter(F.col("date") >= starts.scalar())
+    return cut.withColumn("rebased", F.col("nav") / F.first("nav").over(ordered([*keys, series])) * 100)
+
+
+def return_metrics(nav: DataFrame, keys: Sequence[str], rf: float = RISK_FREE, confidence: float = 0.95) -> DataFrame:
+    """Return, risk, drawdown, tail and shape metrics of every series, from one partitioning by key."""
+    daily = rf / DAYS
+    var = F.percentile("r", F.lit(1 - confidence)).over(Window.partitionBy(*keys))
+    rows = drawdowns(with_returns(nav, keys), keys).withColumn("_var", var)
+    r = F.col("r")
+    one = rows.groupBy(*keys).agg(
+        F.min_by("nav", "date").alias("_first"), F.max_by("nav", "date").alias("_last"), F.datediff(F.max("date"), F.min("date")).alias("_days"),
+        F.count("r").alias("n"), F.avg("r").alias("mean_daily_return"), F.stddev_samp("r").alias("daily_volatility"),
+        F.stddev_samp(F.when(r < 0, r)).alias("_down"), F.stddev_samp(F.when(r < daily, r)).alias("_below"), F.count_if(r < daily).alias("_n_below"),
+        F.min("dd").alias("max_drawdown"), F.first("_var").alias("var_95"), F.avg(F.when(r <= F.col("_var"), r)).alias("cvar_95"),
+        F.skewness("r").alias("_g1"), F.kurtosis("r").alias("_g2"),
+        F.avg(F.when(r.isNotNull(), (r > 0).cast("double"))).alias("positive_days"),
+        F.avg(F.when(r.isNotNull(), (r < 0).cast("double"))).alias("negative_days"),
+        F.max("r").alias("best_day"), F.min("r").alias("worst_day"),
+        F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("avg_win"), F.abs(F.coalesce(F.avg(F.when(r < 0, r)), F.lit(0.0))).alias("avg_loss"))
+    n, mean, std = F.col("n").cast("double"), F.col("mean_daily_return"), F.col("daily_volatility")
+    years = F.col("_days") / 365.25
+    sortino = F.when(F.col("_n_below") == 0, F.lit(float("inf"))).otherwise(_safe(mean - daily, F.col("_below")) * ROOT)
+    return (
+        one.withColumn("total_return", F.col("_last") / F.col("_first") - 1)
+        .withColumn("cagr", F.when(F.col("_days") > 0, F.pow(1 + F.col("total_return"), 1 / F.when(F.col("_days") > 0, years)) - 1).otherwise(0.0))
+        .withColumns({
+            "annual_return": mean * DAYS, "annual_volatility": std * ROOT, "downside_volatility": F.col("_down") * ROOT,
+            "sharpe_ratio": _safe(mean - daily, std) * ROOT, "sortino_ratio": sortino,
+            "calmar_ratio": _safe(F.col("cagr"), F.abs("max_drawdown")),
+            "skewness": F.col("_g1") * F.try_divide(F.sqrt(n * (n - 1)), n - 2),
+            "kurtosis": F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)})
+        .drop("_first", "_last", "_days", "_down", "_below", "_n_below", "_g1", "_g2"))
+
+
+def paired_returns(nav: DataFrame, keys: Sequence[str], benchmark: str, model: str = "model") -> DataFrame:
+    """Returns of every other model beside the benchmark's on the same key and date; ``b_all`` averages the benchmark."""
+    r = with_returns(nav, [model, *keys]).filter("r IS NOT NULL")
+    base = r.filter(F.col(model) == benchmark).select(*keys, "date", F.col("r").alias("b"))
+    base = base.withColumn("b_all", F.avg("b").over(Window.partitionBy(*keys)))
+    return r.filter(F.col(model) != benchmark).select(model, *keys, "date", F.col("r").alias("p")).join(base, [*keys, "date"])
+
+
+def benchmark_metrics(nav: DataFrame, keys: Sequence[str], benchmark: str, rf: float = RISK_FREE, model: str = "model") -> DataFrame:
+    """Beta, alpha, information ratio and share of days above the benchmark."""
+    own = return_metrics(nav, [model, *keys], rf).select(model, *keys, "annual_return")
+    pairs = paired_returns(nav, keys, benchmark, model)
+    active = F.col("p") - F.col("b")
+    one = pairs.groupBy(model, *keys).agg(
+        F.try_divide(F.covar_samp("p", "b"), F.var_samp("b")).alias("beta"), F.first("b_all").alias("_b"),
+        (_safe(F.avg(active) * DAYS, F.stddev_samp(active) * ROOT)).alias("information_ratio"),
+        F.avg((F.col("p") > F.col("b")).cast("double")).alias("win_rate_vs_benchmark"))
+    return one.join(own, [model, *keys]).withColumn(
+        "alpha", F.col("annual_return") - (rf + F.col("beta") * (F.col("_b") * DAYS - rf))).drop("_b", "annual_return")
+
+
+def recovery(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and longest recovery in days over closed episodes."""
+    return episodes(nav, keys).groupBy(*keys).agg(
+        F.avg("recovery_days").alias("avg_recovery_days"), F.max("recovery_days").alias("max_recovery_days"))
+
+
+def simple_metrics(nav: DataFrame, keys: Sequence[str], rf: float = 0.0) -> DataFrame:
+    """Cumulative and annual return with trading over calendar days as exponent, population volatility, Sharpe."""
+    one = with_returns(nav, keys).groupBy(*keys).agg(
+        (F.max_by("nav", "date") / F.min_by("nav", "date") - 1).alias("cum_return"),
+        F.greatest(F.datediff(F.max("date"), F.min("date")), F.lit(1)).alias("_days"),
+        F.avg("r").alias("_mean"), F.stddev_pop("r").alias("_std"))
+    return one.select(
+        *keys, "cum_return", (F.pow(1 + F.col("cum_return"), F.lit(float(DAYS)) / F.col("_days")) - 1).alias("annual_return"),
+        (F.col("_std") * ROOT).alias("annual_vol"), (F.try_divide(F.col("_mean") - rf / DAYS, "_std") * ROOT).alias("sharpe"))
+
+
+def approximate_profit_factor(metrics: DataFrame) -> DataFrame:
+    win = F.col("positive_days")
+    return metrics.withColumn("profit_factor", F.try_divide(win * F.col("avg_win"), (1 - win) * F.col("avg_loss")))
+
+
+def monthly_returns(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Return of each month from the last value of the month; an empty month repeats the value before it."""
+    last = nav.groupBy(*keys, F.trunc("date", "month").alias("month")).agg(F.max_by("nav", "date").alias("nav"))
+    w = Window.partitionBy(*keys).orderBy("month")
+    upto = F.coalesce(F.add_months(F.lead("month").over(w), -1), F.col("month"))
+    every = last.withColumn("_upto", upto).select(
+        *keys, "nav", F.explode(F.sequence("month", "_upto", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return every.withColumn("r", F.col("nav") / F.lag("nav").over(w) - 1).filter("r IS NOT NULL").drop("nav")
+
+
+def month_matrix(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Years by months."""
+    wide = monthly.withColumn("_m", F.month("month")).groupBy(*keys, F.year("month").alias("year")).pivot("_m", list(range(1, 13)))
+    out = wide.agg(F.first("r"))
+    return out.select(*keys, "year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
+
+
+def year_returns(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Compounded return per year, and the mean over years in a row labelled Avg."""
+    years = monthly.groupBy(*keys, F.year("month").cast("string").alias("year")).agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("r"))
+    mean = years.groupBy(*keys).agg(F.avg("r").alias("r")).withColumn("year", F.lit("Avg"))
+    return years.unionByName(mean)
+
+
+def pivot_metrics(long: DataFrame, keys: Sequence[str], names: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
+    return long.groupBy(*keys).pivot(name, list(names)).agg(F.first(value))
+
+
+def best_model(metrics: DataFrame, keys: Sequence[str], benchmark: str | None, score: str = "sharpe_ratio", model: str = "model") -> DataFrame:
+    """Model with the highest score per key, without the benchmark where one is named."""
+    rows = metrics if benchmark is None else metrics.filter(F.col(model) != benchmark)
+    return rows.groupBy(*keys).agg(F.max_by(model, score).alias("best_model"), F.max(score).alias(score))
+
+
+def frontier(metrics: DataFrame, keys: Sequence[str], risk: str, gain: str) -> DataFrame:
+    """Models with more return than every model of lower risk."""
+    before = F.max(gain).over(Window.partitionBy(*keys).orderBy(risk).rowsBetween(Window.unboundedPreceding, -1))
+    return metrics.withColumn("_best", before).filter(F.col("_best").isNull() | (F.col(gain) > F.col("_best"))).drop("_best")
+
+
+def mean_tests(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pooled two-sample t of the means and one-sample t of the differences, with their degrees of freedom."""
+    d = F.col("p") - F.col("b")
+    n = F.col("n")
+    pooled = (F.col("_vp") + F.col("_vb")) / 2
+    return (
+        pairs.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.avg("p").alias("_mp"), F.avg("b").alias("_mb"), F.var_samp("p").alias("_vp"), F.var_samp("b").alias("_vb"),
+            F.avg(d).alias("_md"), F.stddev_samp(d).alias("_sd"))
+        .withColumn("t_statistic", F.try_divide(F.col("_mp") - F.col("_mb"), F.sqrt(pooled * 2 / n)))
+        .withColumn("t_paired", F.try_divide(F.col("_md"), F.col("_sd") / F.sqrt(n)))
+        .select(*keys, "n", "t_statistic", "t_paired", (2 * n - 2).alias("df"), (n - 1).alias("df_paired")))
+
+
+def rank_test(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mann–Whitney U of the model against the benchmark, and its z with tie and continuity correction."""
+    both = pairs.select(*keys, F.inline(F.array(
+        F.struct(F.lit(1).alias("own"), F.col("p").alias("v")), F.struct(F.lit(0).alias("own"), F.col("b").alias("v")))))
+    ties = F.count("*").over(Window.partitionBy(*keys, "v"))
+    ranked = both.withColumn("_rank", average_rank(keys, "v")).withColumn("_t", ties.cast("double"))
+    one = ranked.groupBy(*keys).agg(
+        F.sum(F.when(F.col("own") == 1, F.col("_rank"))).alias("_r1"), F.sum("own").alias("n1"), F.count_if(F.col("own") == 0).alias("n2"),
+        F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    u = F.col("u_statistic")
+    sd = F.sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - F.col("_ties") / ((n1 + n2) * (n1 + n2 - 1))))
+    return (
+        one.withColumn("u_statistic", F.col("_r1") - n1 * (n1 + 1) / 2)
+        .withColumn("z", F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd))
+        .select(*keys, "u_statistic", "z"))
+
+
+def significance(pairs: DataFrame, keys: Sequence[str], confidence: float = 0.95) -> DataFrame:
+    """The three tests with p-values and flags."""
+    both = mean_tests(pairs, keys).join(rank_test(pairs, keys), list(keys))
+    out = both.withColumns({
+        "p_value": student_p("t_statistic", F.col("df").cast("double")), "p_paired": student_p("t_paired", F.col("df_paired").cast("double")),
+        "p_ranks": normal_p("z")})
+    return out.withColumns({f"significant_{n}": F.col(p) < 1 - confidence for n, p in (("mean", "p_value"), ("paired", "p_paired"), ("ranks", "p_ranks"))})
+
+
+def bootstrap_sharpe(pairs: DataFrame, keys: Sequence[str], samples: int = 1000, confidence: float = 0.95, seed: int = 17,
+                     per_task: int = 50) -> DataFrame:
+    """Paired bootstrap of the Sharpe difference: interval, two-tailed p and flag per key.
+
+    A series, one value per calendar day, travels as one array; blocks of resamples are rows of their own, so the
+    resampling of one series spreads over tasks. Draws follow from seed, key and resample number alone.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    series = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "p", "b"))).alias("s"))
+    blocks = series.select(
+        *keys, F.transform("s", lambda x: x["p"]).alias("p"), F.transform("s", lambda x: x["b"]).alias("b"), F.xxhash64(*keys).alias("h"),
+        F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // per_task))).alias("block")).repartition(*keys, "block")
+
+    def sharpe(x: np.ndarray) -> np.ndarray:
+        sd = x.std(axis=-1)
+        return np.where(sd > 0, x.mean(axis=-1) / np.where(sd > 0, sd, 1) * ROOT, 0.0)
+
+    def resample(batches):
+        for part in batches:
+            for _, row in part.iterrows():
+                p, b = np.asarray(row["p"], float), np.asarray(row["b"], float)
+                count = min(per_task, samples - row["block"] * per_task)
+                rng = np.random.default_rng([seed, row["h"] & 0x7FFFFFFF, int(row["block"])])
+                i = rng.integers(0, len(p), size=(count, len(p)))
+                out = {k: [row[k]] * count for k in keys}
+                yield pd.DataFrame({**out, "diff": sharpe(p[i]) - sharpe(b[i]), "sharpe_model": float(sharpe(p)), "sharpe_benchmark": float(sharpe(b))})
+
+    drawn = blocks.mapInPandas(resample, ", ".join(f"{k} {fields[k]}" for k in keys) + ", diff double, sharpe_model double, sharpe_benchmark double")
+    alpha = 1 - confidence
+    observed = F.col("sharpe_model") - F.col("sharpe_benchmark")
+    one = drawn.groupBy(*keys).agg(
+        F.first("sharpe_model").alias("sharpe_model"), F.first("sharpe_benchmark").alias("sharpe_benchmark"),
+        F.percentile("diff", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_ci"),
+        F.avg((F.col("diff") <= 0).cast("double")).alias("_le"), F.avg((F.col("diff") >= 0).cast("double")).alias("_ge"))
+    return one.select(
+        *keys, "sharpe_model", "sharpe_benchmark", observed.alias("difference"), F.col("_ci")[0].alias("ci_lower"), F.col("_ci")[1].alias("ci_upper"),
+        (2 * F.when(observed > 0, F.col("_le")).otherwise(F.col("_ge"))).alias("p_value")
+    ).withColumn("significant", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))
+
+
+def normal_plot(returns: DataFrame, keys: Sequence[str], value: str = "r") -> DataFrame:
+    """Ordered values beside normal quantiles at the median order positions."""
+    n = F.count("*").over(Window.partitionBy(*keys)).cast("double")
+    i = F.row_number().over(Window.partitionBy(*keys).orderBy(value, "date"))
+    edge = F.pow(F.lit(0.5), 1 / n)
+    place = F.when(i == n, edge).when(i == 1, 1 - edge).otherwise((i - 0.3175) / (n + 0.365))
+    return returns.select(*keys, i.alias("nth"), normal_quantile(place).alias("theoretical"), F.col(value).alias("ordered"))
+
+
+def performance_summary(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Report table: percentages with one decimal, ratios with two."""
+    percent = {"return_pct": "total_return", "cagr_pct": "cagr", "volatility_pct": "annual_volatility", "max_dd_pct": "max_drawdown", "win_rate_pct": "positive_days"}
+    ratio = {"sharpe": "sharpe_ratio", "sortino": "sortino_ratio", "calmar": "calmar_ratio"}
+    return metrics.select(
+        *keys, *[F.round(F.col(c) * 100, 1).alias(n) for n, c in percent.items()], *[F.round(c, 2).alias(n) for n, c in ratio.items()])

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketloom.operators import portfolio, weekly
 from marketloom.plans import views
 from marketloom.queries import view_sql
 
@@ -65,6 +66,15 @@ class Tables:
     def ret(self) -> DataFrame:
         return views.returns(self.nav)
 
+    @cached_property
+    def weekly_nav(self) -> DataFrame:
+        week = weekly.roll_up(self.px.select("market", "date", "close"), ["market"])
+        return views.nav(views.signals(week))
+
+    @cached_property
+    def pos(self) -> DataFrame:
+        return portfolio.costed_positions(self.sig, ["model", "market"])
+
 
 def query(name: str, oracle: str | None = None, uses: tuple[str, ...] = ()):
     """Register a function ``Tables -> DataFrame`` under ``name``."""

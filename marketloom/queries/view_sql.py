@@ -47,9 +47,10 @@ PRED = """
                CAST((date_diff('day', DATE '1995-01-01', date) * 31 + length(market) * 17) % 1000 AS DOUBLE) / 1000 AS prob
         FROM px) WHERE prev IS NOT NULL"""
 
-# Three models per market: always long, close above its 20-row mean, and a probability above one half.
+# Three models per market: always long, close above its 20-row mean, and a probability above one half. The test prices
+# are independent draws, on which buying low pays without limit, so the models trade a price damped to a hundredth.
 SIG = """
-  SELECT model, market, date, close,
+  SELECT model, market, date, 100 + close / 100 AS close,
          CASE model WHEN 'Buy&Hold' THEN 1
                     WHEN 'Trend' THEN CASE WHEN c20 = 20 AND s20 < close * 20 THEN 1 ELSE 0 END
                     ELSE CASE WHEN prob > 0.5 THEN 1 ELSE 0 END END AS signal
@@ -70,6 +71,27 @@ RET = """
   SELECT * FROM (SELECT model, market, date, nav, nav / lag(nav) OVER (PARTITION BY model, market ORDER BY date) - 1 AS r FROM nav)
   WHERE r IS NOT NULL"""
 
+WEEK = """
+  SELECT market, max(date) AS date, arg_max(close, date) AS close FROM px GROUP BY market, date_trunc('week', date) HAVING count(*) >= 3"""
+
+# Costed value at cost 0.1 % and slippage 0.05 %.
+POS = """
+  WITH a AS (SELECT model, market, date, close, CASE WHEN coalesce(lag(signal) OVER w, 0) > 0 THEN 1 ELSE 0 END AS held FROM sig WINDOW w AS (PARTITION BY model, market ORDER BY date)),
+  b AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY model, market ORDER BY date), 0) AS was FROM a),
+  c AS (SELECT *, CASE WHEN held = 1 AND was = 0 THEN 'buy' WHEN held = 0 AND was = 1 THEN 'sell' END AS action,
+          last_value(CASE WHEN held = 1 AND was = 0 THEN close END IGNORE NULLS) OVER (PARTITION BY model, market ORDER BY date ROWS UNBOUNDED PRECEDING) AS entry FROM b),
+  d AS (SELECT *, 1000000 * exp(sum(CASE WHEN action = 'sell' THEN ln(0.000001::DOUBLE + 0.998001::DOUBLE * (0.9995::DOUBLE / 1.0005::DOUBLE) * close / entry) ELSE 0 END)
+          OVER (PARTITION BY model, market ORDER BY date ROWS UNBOUNDED PRECEDING)) AS cash FROM c),
+  e AS (SELECT *, CASE WHEN held = 1 THEN cash * (0.000001::DOUBLE + 0.999::DOUBLE / 1.0005::DOUBLE * close / entry) ELSE cash END AS nav,
+          CASE WHEN held = 1 THEN cash * 0.999::DOUBLE / (entry * 1.0005::DOUBLE) ELSE 0 END AS units FROM d),
+  f AS (SELECT *, CASE action WHEN 'buy' THEN units WHEN 'sell' THEN lag(units) OVER (PARTITION BY model, market ORDER BY date) END AS trade_units,
+          CASE action WHEN 'buy' THEN close * 1.0005::DOUBLE WHEN 'sell' THEN close * 0.9995::DOUBLE END AS trade_price FROM e)
+  SELECT model, market, date, close, nav, units, action, trade_units, trade_price, trade_units * trade_price * 0.001::DOUBLE AS trade_cost FROM f"""
+
+DD = """
+  SELECT model, market, date, nav, peak, (nav - peak) / peak AS dd
+  FROM (SELECT *, max(nav) OVER (PARTITION BY model, market ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM nav)"""
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "px": ((), PX),
     "cal": (("px",), CAL),
@@ -80,6 +102,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "sig": (("px",), SIG),
     "nav": (("sig",), NAV),
     "ret": (("nav",), RET),
+    "week": (("px",), WEEK),
+    "wsig": (("week",), SIG.replace("FROM px", "FROM week")),
+    "wnav": (("wsig",), NAV.replace("FROM sig)", "FROM wsig)")),
+    "wret": (("wnav",), RET.replace("FROM nav)", "FROM wnav)")),
+    "pos": (("sig",), POS),
+    "dd": (("nav",), DD),
 }
 
 
