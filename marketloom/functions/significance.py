@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -30,14 +31,14 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of Student's t."""
     return pd.Series([
         None if pd.isna(x) or pd.isna(n) else _incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal value, at most 1."""
     return z.map(lambda x: None if pd.isna(x) else min(1.0, math.erfc(x / math.sqrt(2)))).astype("float64")

@@ -116,7 +116,7 @@ def _(t):
 
 @query("B09_win_rate", "WITH " + PAIRS + """
 , ks AS (SELECT DISTINCT model, market FROM log)
-SELECT ks.model, ks.market, CAST(count_if(profit > 0) AS BIGINT) AS num_wins, CAST(count_if(profit < 0) AS BIGINT) AS num_losses, R6(coalesce(CAST(count_if(profit > 0) AS DOUBLE) / nullif(count(profit), 0), 0)) AS win_rate,
+SELECT ks.model, ks.market, count(profit) FILTER (profit > 0) AS num_wins, count(profit) FILTER (profit < 0) AS num_losses, R6(coalesce(CAST(count(profit) FILTER (profit > 0) AS DOUBLE) / nullif(count(profit), 0), 0)) AS win_rate,
   R6(coalesce(sum(profit) FILTER (profit > 0), 0) / coalesce(abs(sum(profit) FILTER (profit < 0)), 1)) AS profit_factor, R6(coalesce(avg(profit) FILTER (profit > 0), 0)) AS avg_win, R6(coalesce(avg(profit) FILTER (profit < 0), 0)) AS avg_loss
 FROM ks LEFT JOIN tr ON tr.model = ks.model AND tr.market = ks.market GROUP BY ks.model, ks.market
 """, ("pos",))
