@@ -18,9 +18,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same whitespace as characters.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c) -> Column:
     """Both ends without any Unicode whitespace."""
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def clean_text(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,10 +105,12 @@ def share_where(df: DataFrame, keys: Sequence[str], **conditions: Column) -> Dat
 
 
 def value_counts(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Count and share of each value, overall or per key; totals are summed from the counted rows."""
+    """Count and share of each value, overall or per key; the total is its own small aggregate."""
     counted = df.groupBy(*keys, column).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy())
-    return counted.withColumn("share", F.col("n") / total)
+    total = df.groupBy(*keys).agg(F.count("*").alias("_total"))
+    if keys:
+        return counted.join(total, list(keys)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+    return counted.withColumn("share", F.col("n") / total.scalar())
 
 
 def null_counts_by_year(df: DataFrame, columns: Sequence[str], keys: Sequence[str], date: str = "date") -> DataFrame:

@@ -56,11 +56,16 @@ def clean(df: DataFrame, patterns: Sequence[Pattern], content: str = "content",
 
 
 def cleaning_audit(cleaned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Documents, documents cleaned and characters removed per level of the keys and overall."""
+    """Documents, documents cleaned and characters removed per level of the keys and overall.
+
+    Documents are reduced to one row per key combination first; the levels are rolled up from those.
+    """
     removed = F.coalesce(F.col("cleaning.chars_removed"), F.lit(0))
-    return cleaned.rollup(*keys).agg(
-        F.count("*").alias("documents"), F.count_if(removed > 0).alias("cleaned"), F.sum(removed).alias("chars_removed"),
-        F.coalesce(F.avg(F.when(removed > 0, removed)), F.lit(0.0)).alias("avg_removed"))
+    base = cleaned.groupBy(*keys).agg(
+        F.count("*").alias("_d"), F.count_if(removed > 0).alias("_c"), F.sum(removed).alias("_r"))
+    return base.rollup(*keys).agg(
+        F.sum("_d").alias("documents"), F.sum("_c").alias("cleaned"), F.sum("_r").alias("chars_removed"),
+        F.coalesce(F.try_divide(F.sum("_r"), F.sum("_c")), F.lit(0.0)).alias("avg_removed"))
 
 
 def pattern_usage(cleaned: DataFrame) -> DataFrame:
@@ -71,20 +76,23 @@ def pattern_usage(cleaned: DataFrame) -> DataFrame:
 
 def filter_audit(df: DataFrame, keys: Sequence[str], kept: Column) -> DataFrame:
     """Totals, matches and retention per level of the keys and overall."""
-    return df.rollup(*keys).agg(
-        F.count("*").alias("total"), F.count_if(kept).alias("matched"),
-        (100 * F.avg(F.when(kept, 1.0).otherwise(0.0))).alias("retention_pct"))
+    base = df.groupBy(*keys).agg(F.count("*").alias("_t"), F.count_if(kept).alias("_m"))
+    return base.rollup(*keys).agg(
+        F.sum("_t").alias("total"), F.sum("_m").alias("matched"),
+        (100 * F.try_divide(F.sum("_m"), F.sum("_t"))).alias("retention_pct"))
 
 
 def corpus_statistics(df: DataFrame, source: str = "source", category: str = "lang", content: str = "text",
                       date: str = "publish_date") -> DataFrame:
     """Documents, characters, span in days and documents per day by source and category, by source, and overall."""
-    span = F.datediff(F.max(date), F.min(date))
-    return df.groupingSets(
+    base = df.groupBy(source, category).agg(
+        F.count("*").alias("_n"), F.sum(F.length(content)).alias("_c"), F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+    span = F.datediff(F.max("_hi"), F.min("_lo"))
+    return base.groupingSets(
         [(F.col(source), F.col(category)), (F.col(source),), ()], F.col(source), F.col(category)
     ).agg(
-        F.count("*").alias("documents"), F.sum(F.length(content)).alias("chars"), span.cast("long").alias("span_days"),
-        F.try_divide(F.count("*"), span).alias("docs_per_day"))
+        F.sum("_n").alias("documents"), F.sum("_c").alias("chars"), span.cast("long").alias("span_days"),
+        F.try_divide(F.sum("_n"), span).alias("docs_per_day"))
 
 
 def before_cutoff(df: DataFrame, cutoff: str, published: Column) -> DataFrame:

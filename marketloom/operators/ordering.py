@@ -1,8 +1,8 @@
 """Positions, quantiles and batches over a whole table, without one task holding a whole group.
 
-A group is cut into value ranges at approximate quantiles (a small mergeable sketch). Range totals give every range
-its offset, and exact ranks are then found inside a range. The sketch decides only how even the ranges are; results
-are exact for any cut. Equal values always share a range, so heavy duplicates are counted, not listed, where possible.
+Rows are range-partitioned by (key, value), so a key with a third of all rows spreads over as many partitions as its
+share of the data. The partitioned rows are checkpointed, which fixes their places; the number of rows per partition
+and key, a summary of at most one row per partition and key present there, then gives every partition its offset.
 """
 
 from __future__ import annotations
@@ -14,60 +14,52 @@ from pyspark.sql import functions as F
 
 from marketloom.session import settle
 
-RANGES = 64
 
-
-def _cut(df: DataFrame, keys: Sequence[str], value: str, ranges: int) -> DataFrame:
-    """Add ``_range``: how many of the key's cut points lie below the value."""
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(10_000))).alias("_cuts"))
-    return (
-        df.join(cuts, list(keys))
-        .withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value))))
-        .drop("_cuts"))
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in global order: partition number and place inside the partition."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    low_bits = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return settle(ranged.select("*", F.spark_partition_id().alias("_part"), low_bits.alias("_place")))
 
 
-def _offsets(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows before each range of a key; at most ``RANGES`` rows per key."""
-    w = Window.partitionBy(*keys).orderBy("_range")
-    return totals.withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("_total", F.sum("_rows").over(Window.partitionBy(*keys)))
+def _before(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a key in the partitions before, and in all of them."""
+    w = Window.partitionBy(*keys).orderBy("_part")
+    earlier = F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.withColumn("_before", earlier).withColumn("_total", F.sum("_rows").over(Window.partitionBy(*keys)))
 
 
-def positions(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = (), out: str = "position",
-              ranges: int = RANGES) -> DataFrame:
-    """1-based position by ``value`` (then ``ties``) inside each key; the order columns should identify a row."""
-    cut = _cut(df, keys, value, ranges)
-    before = _offsets(cut.groupBy(*keys, "_range").agg(F.count("*").alias("_rows")), keys).drop("_rows", "_total")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(value, *ties))
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
+    """1-based position inside each key by ``order``, whose columns identify a row of the key."""
+    placed = _placed(df, [*keys, *order])
+    totals = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_rows"), F.min("_place").alias("_first"))
     return (
-        cut.withColumn("_inside", inside).join(before, [*keys, "_range"])
-        .withColumn(out, F.col("_before") + F.col("_inside")).drop("_inside", "_before", "_range"))
+        placed.join(_before(totals, keys), [*keys, "_part"])
+        .withColumn(out, F.col("_before") + F.col("_place") - F.col("_first") + 1)
+        .drop("_part", "_place", "_rows", "_first", "_before", "_total"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q",
-                    ranges: int = RANGES) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
     """Exact quantiles with linear interpolation, as an array per key.
 
-    Equal values collapse to one counted row first; only the ranges that hold a wanted rank are sorted.
+    Equal values collapse to one counted row map-side; only the partitions that hold a wanted rank are summed up.
     """
     keys = list(keys)
-    counted = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
-    cut = _cut(counted, keys, value, ranges)
-    totals = _offsets(cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rows")), keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = _placed(counted, [*keys, value])
+    totals = _before(placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows")), keys)
 
     def rank(p: float) -> Column:
         return (F.col("_total") - 1) * F.lit(float(p))
 
     wanted = [F.floor(rank(p)) for p in probs] + [F.ceil(rank(p)) for p in probs]
-    hit = None
+    hit = F.lit(False)
     for r in wanted:
-        here = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows"))
-        hit = here if hit is None else hit | here
-    rows = cut.join(totals.filter(hit), [*keys, "_range"])
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(value)) + F.col("_before")
-    rows = rows.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+        hit = hit | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_place")) + F.col("_before")
+    rows = (
+        placed.join(totals.filter(hit), [*keys, "_part"])
+        .withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n")))
 
     def at(r: Column) -> Column:
         return F.max(F.when((r >= F.col("_from")) & (r < F.col("_upto")), F.col(value)))
@@ -82,18 +74,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return found.select(*keys, F.array(*blend).alias(out))
 
 
-def batches(df: DataFrame, group: str, order: str, size: int, out: str = "batch") -> DataFrame:
-    """Number of the fixed-size batch each row falls into, ordered by group and then position in the group."""
-    placed = positions(df, [group], order)
-    # One row per group: the running total over groups is a window over that summary only.
-    before = (
-        placed.groupBy(group).agg(F.max("position").alias("_rows"))
-        .withColumn("_earlier", F.coalesce(
-            F.sum("_rows").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_rows"))
+def batches(df: DataFrame, order: Sequence[str], size: int, out: str = "batch") -> DataFrame:
+    """Number of the fixed-size batch each row falls into, in the global order of a row-identifying column list."""
+    placed = _placed(df, order)
+    # One row per partition: the running total is over that summary, never over the rows.
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn("_all", F.lit(0))
     return (
-        placed.join(before, group)
-        .withColumn(out, F.floor((F.col("_earlier") + F.col("position") - 1) / size)).drop("_earlier", "position"))
+        placed.join(_before(totals, ["_all"]).select("_part", "_before"), "_part")
+        .withColumn(out, F.floor((F.col("_before") + F.col("_place")) / size)).drop("_part", "_place", "_before"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -59,19 +59,18 @@ def cumulative(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _islands(dd: DataFrame, keys: Sequence[str], under: Column) -> DataFrame:
-    """Rows of each stretch where ``under`` holds, with its number and the date of the row after."""
+    """Number the stretches where ``under`` holds, with the date of the next row and the final date."""
     w = ordered(keys)
     return (
         dd.withColumn("_under", under)
         .withColumn("_island", F.sum((~F.col("_under")).cast("int")).over(until_now(w)))
         .withColumn("_next", F.lead("date").over(w))
-        .withColumn("_final", F.max("date").over(Window.partitionBy(*keys)))
-        .filter("_under"))
+        .withColumn("_final", F.max("date").over(Window.partitionBy(*keys))))
 
 
 def episodes(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drawdown episodes; one still open at the end has no end and no recovery, and lasts to the final date."""
-    rows = _islands(drawdowns(nav, keys), keys, F.col("dd") < 0)
+    rows = _islands(drawdowns(nav, keys), keys, F.col("dd") < 0).filter("_under")
     low = F.min(F.struct("dd", "date", "nav"))
     last = F.max(F.struct("date", "_next"))
     one = rows.groupBy(*keys, "_island").agg(
@@ -86,17 +85,16 @@ def episodes(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def longest_drawdown(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Deepest drawdown and the longest closed run of rows below the maximum, counted from its first row."""
-    dd = drawdowns(nav, keys)
-    runs = _islands(dd, keys, F.col("dd") < 0).groupBy(*keys, "_island").agg(
-        (F.count("*") - 1).alias("rows"), F.max_by(F.col("_next").isNotNull(), "date").alias("closed"))
-    length = runs.groupBy(*keys).agg(F.max(F.when(F.col("closed"), F.col("rows"))).alias("_rows"))
-    return dd.groupBy(*keys).agg(F.abs(F.min("dd")).alias("max_drawdown")).join(length, list(keys), "left").select(
-        *keys, "max_drawdown", F.coalesce("_rows", F.lit(0)).alias("duration_rows"))
+    runs = _islands(drawdowns(nav, keys), keys, F.col("dd") < 0).groupBy(*keys, "_island", "_under").agg(
+        F.min("dd").alias("_dd"), (F.count("*") - 1).alias("_rows"), F.max_by(F.col("_next").isNotNull(), "date").alias("_closed"))
+    counted = F.max(F.when(F.col("_under") & F.col("_closed"), F.col("_rows")))
+    return runs.groupBy(*keys).agg(
+        F.abs(F.min("_dd")).alias("max_drawdown"), F.coalesce(counted, F.lit(0)).alias("duration_rows"))
 
 
 def deep_episodes(nav: DataFrame, keys: Sequence[str], depth: float = -20.0, first: int = 3) -> DataFrame:
     """First closed stretches with a drawdown (in percent) below ``depth``; the end is the first row past it."""
-    rows = _islands(drawdowns(nav, keys), keys, F.col("dd") * 100 < depth)
+    rows = _islands(drawdowns(nav, keys), keys, F.col("dd") * 100 < depth).filter("_under")
     one = rows.groupBy(*keys, "_island").agg(F.min("date").alias("start"), F.max(F.struct("date", "_next"))["_next"].alias("end"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start"))
     return one.filter("end IS NOT NULL").withColumn("nth", nth).filter(F.col("nth") <= first).select(*keys, "nth", "start", "end")
@@ -171,24 +169,35 @@ def return_metrics(nav: DataFrame, keys: Sequence[str], rf: float = RISK_FREE, c
 
 
 def paired_returns(nav: DataFrame, keys: Sequence[str], benchmark: str, model: str = "model") -> DataFrame:
-    """Returns of every other model beside the benchmark's on the same key and date; ``b_all`` averages the benchmark."""
-    r = with_returns(nav, [model, *keys]).filter("r IS NOT NULL")
-    base = r.filter(F.col(model) == benchmark).select(*keys, "date", F.col("r").alias("b"))
-    base = base.withColumn("b_all", F.avg("b").over(Window.partitionBy(*keys)))
-    return r.filter(F.col(model) != benchmark).select(model, *keys, "date", F.col("r").alias("p")).join(base, [*keys, "date"])
+    """Returns of every other model beside the benchmark's on the same key and date, without a self-join.
+
+    ``p_all`` and ``b_all`` are the means over all returns of the model and of the benchmark.
+    """
+    own = F.when(F.col(model) == benchmark, F.col("r"))
+    rows = with_returns(nav, [model, *keys]).filter("r IS NOT NULL").select(
+        model, *keys, "date", F.col("r").alias("p"), F.avg("r").over(Window.partitionBy(model, *keys)).alias("p_all"),
+        F.avg(own).over(Window.partitionBy(*keys)).alias("b_all"), F.max(own).over(Window.partitionBy(*keys, "date")).alias("b"))
+    return rows.filter((F.col(model) != benchmark) & F.col("b").isNotNull())
 
 
 def benchmark_metrics(nav: DataFrame, keys: Sequence[str], benchmark: str, rf: float = RISK_FREE, model: str = "model") -> DataFrame:
-    """Beta, alpha, information ratio and share of days above the benchmark."""
-    own = return_metrics(nav, [model, *keys], rf).select(model, *keys, "annual_return")
-    pairs = paired_returns(nav, keys, benchmark, model)
+    """Beta, alpha, information ratio and share of days above the benchmark; alpha uses the means of all returns."""
     active = F.col("p") - F.col("b")
-    one = pairs.groupBy(model, *keys).agg(
-        F.try_divide(F.covar_samp("p", "b"), F.var_samp("b")).alias("beta"), F.first("b_all").alias("_b"),
+    one = paired_returns(nav, keys, benchmark, model).groupBy(model, *keys).agg(
+        F.try_divide(F.covar_samp("p", "b"), F.var_samp("b")).alias("beta"), F.first("p_all").alias("_p"), F.first("b_all").alias("_b"),
         (_safe(F.avg(active) * DAYS, F.stddev_samp(active) * ROOT)).alias("information_ratio"),
         F.avg((F.col("p") > F.col("b")).cast("double")).alias("win_rate_vs_benchmark"))
-    return one.join(own, [model, *keys]).withColumn(
-        "alpha", F.col("annual_return") - (rf + F.col("beta") * (F.col("_b") * DAYS - rf))).drop("_b", "annual_return")
+    return one.withColumn("alpha", F.col("_p") * DAYS - (rf + F.col("beta") * (F.col("_b") * DAYS - rf))).drop("_p", "_b")
+
+
+def side_by_side(metrics: DataFrame, keys: Sequence[str], by: str, sides: dict[str, str], columns: Sequence[str]) -> DataFrame:
+    """Columns of two kinds of rows next to each other, one aggregate instead of a self-join; keys need both kinds."""
+    def of(kind: str, c: str) -> Column:
+        return F.max(F.when(F.col(by) == kind, F.col(c)))
+
+    wide = metrics.groupBy(*keys).agg(
+        F.count_distinct(by).alias("_kinds"), *[of(kind, c).alias(f"{p}_{c}") for kind, p in sides.items() for c in columns])
+    return wide.filter(F.col("_kinds") == len(sides)).drop("_kinds")
 
 
 def recovery(nav: DataFrame, keys: Sequence[str]) -> DataFrame:

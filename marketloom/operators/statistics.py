@@ -110,22 +110,22 @@ def kernel_density_2d(df: DataFrame, x: str, y: str, mesh: int, low: float, high
 
     Equal score pairs are counted first, so the work follows the distinct pairs times the fixed mesh.
     """
-    pairs = df.groupBy(x, y).agg(F.count("*").alias("w")).withColumn("_one", F.lit(1))
-    n = F.col("n").cast("double")
+    n = F.count("*").cast("double")
     f = F.pow(n, F.lit(-1.0 / 3))
-    shape = df.agg(
-        F.count("*").alias("n"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("c")
-    ).select(F.lit(1).alias("_one"), "n", (F.col("vx") * f).alias("a"), (F.col("vy") * f).alias("b"), (F.col("c") * f).alias("c"))
+    shape = df.agg(F.struct(
+        n.alias("n"), (F.var_samp(x) * f).alias("a"), (F.var_samp(y) * f).alias("b"), (F.covar_samp(x, y) * f).alias("c")))
     step = (high - low) / (mesh - 1)
     places = F.explode(F.sequence(F.lit(0), F.lit(mesh * mesh - 1))).alias("_p")
-    det = F.col("a") * F.col("b") - F.col("c") * F.col("c")
+    pairs = df.groupBy(x, y).agg(F.count("*").alias("w")).withColumn("_s", shape.scalar())
+    a, b, c = (F.col(f"_s.{k}") for k in "abc")
+    det = a * b - c * c
     dx, dy = F.lit(low) + F.col("i") * step - F.col(x), F.lit(low) + F.col("j") * step - F.col(y)
-    form = (F.col("b") * dx * dx - 2 * F.col("c") * dx * dy + F.col("a") * dy * dy) / det
+    form = (b * dx * dx - 2 * c * dx * dy + a * dy * dy) / det
     summed = (
-        pairs.join(shape, "_one").select(x, y, "w", "n", "a", "b", "c", places)
+        pairs.select(x, y, "w", "_s", places)
         .withColumn("i", F.floor(F.col("_p") / mesh)).withColumn("j", F.col("_p") % mesh)
         .groupBy("i", "j").agg(
-            F.sum(F.col("w") * F.exp(-0.5 * form)).alias("k"), F.first("n").alias("n"), F.first(det).alias("det")))
+            F.sum(F.col("w") * F.exp(-0.5 * form)).alias("k"), F.first("_s.n").alias("n"), F.first(det).alias("det")))
     return summed.select("i", "j", (F.col("k") / (F.col("n") * 2 * math.pi * F.sqrt("det"))).alias("density"))
 
 

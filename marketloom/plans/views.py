@@ -59,10 +59,9 @@ def calendar(px: DataFrame) -> DataFrame:
 def calendar_panel(px: DataFrame) -> DataFrame:
     """Panel with one row per market and calendar day, activity flags and zero-filled activity."""
     px = settle(px)
-    span = px.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.collect_set("market").alias("markets"))
+    low, high = px.agg(F.min("date")).scalar(), px.agg(F.max("date")).scalar()
     grid = (
-        span.select(F.explode("markets").alias("market"), "lo", "hi")
-        .select("market", F.explode(F.sequence("lo", "hi")).alias("date"))
+        px.select("market").distinct().select("market", F.explode(F.sequence(low, high)).alias("date"))
         .withColumn("is_open", F.weekday("date") < 5))
     return (
         grid.join(px, ["market", "date"], "left")

@@ -42,6 +42,7 @@ WITH b AS (SELECT market, min(date) AS lo, max(date) AS hi FROM px GROUP BY mark
 SELECT p.market, p.date, p.is_open, p.has_trade, p.is_quiet FROM panel p JOIN b ON b.market = p.market AND p.date BETWEEN lo AND hi
 """, ("panel",))
 def _(t):
+    t.share_px()
     days = series.date_spine(t.px, M)
     flagged = cleaning.activity_flags(days, t.cal.filter("is_open"))
     return flagged.select("market", "date", "is_open", "has_trade", "is_quiet")
@@ -213,6 +214,7 @@ def _(t):
 SELECT date FROM px WHERE market = 'ASIA' INTERSECT SELECT date FROM px WHERE market = 'EUROPE'
 """, ("px",))
 def _(t):
+    t.share_px()
     d = t.px.select("market", "date")
     return d.filter("market = 'ASIA'").select("date").intersect(d.filter("market = 'EUROPE'").select("date"))
 

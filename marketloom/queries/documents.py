@@ -243,7 +243,7 @@ def _(t):
 SELECT doc_id, source, CAST(floor((row_number() OVER (ORDER BY source, doc_id) - 1) / 20) AS BIGINT) AS batch FROM documents
 """)
 def _(t):
-    return ordering.batches(t.documents.select("doc_id", "source"), "source", "doc_id", 20)
+    return ordering.batches(t.documents.select("doc_id", "source"), ["source", "doc_id"], 20)
 
 
 @query("F26_cue_words", """

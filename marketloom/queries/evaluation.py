@@ -200,6 +200,7 @@ def _(t):
 
 @query("J06_price_lookup", "SELECT market, date, prob, close FROM pred", ("pred",))
 def _(t):
+    t.share_px()
     from marketloom.operators.alignment import lookup
 
     return lookup(t.pred.select("market", "date", "prob"), t.px.select("market", "date", "close"), ["market", "date"])
@@ -210,6 +211,7 @@ WITH a AS (SELECT market, pred, row_number() OVER (PARTITION BY market ORDER BY
 SELECT market, date, pred FROM a JOIN b USING (market, i)
 """, ("pred", "px"))
 def _(t):
+    t.share_px()
     from marketloom.operators.alignment import align_tail
 
     return align_tail(t.pred.select("market", "date", "pred"), t.px.select("market", "date"), M, ["pred"])
@@ -220,6 +222,7 @@ WITH a AS (SELECT market, pred, row_number() OVER (PARTITION BY market ORDER BY
 SELECT market, date, pred FROM a JOIN b USING (market, i)
 """, ("pred", "px"))
 def _(t):
+    t.share_px()
     from marketloom.operators.alignment import align_head
 
     return align_head(t.pred.select("market", "date", "pred"), t.px.select("market", "date"), M, ["pred"])
@@ -394,7 +397,9 @@ def _(t):
 SELECT market, arg_max(model, sharpe_ratio) FILTER (model <> 'Buy&Hold') AS best_model, R6(max(sharpe_ratio) FILTER (model <> 'Buy&Hold')) AS sharpe_ratio, arg_max(model, sharpe_ratio) AS best_with_benchmark FROM met GROUP BY market
 """, ("nav", "ret"))
 def _(t):
-    m = performance.return_metrics(t.nav, K)
+    from marketloom.session import settle
+
+    m = settle(performance.return_metrics(t.nav, K))
     with_all = performance.best_model(m, M, None).select("market", F.col("best_model").alias("best_with_benchmark"))
     return rounded(performance.best_model(m, M, "Buy&Hold").join(with_all, "market"), "sharpe_ratio")
 
@@ -448,6 +453,7 @@ BOTH = MET + "," + _weekly_metrics()
 
 
 def all_nav(t):
+    t.share_px()
     daily = t.nav.withColumn("frequency", F.lit("daily"))
     return daily.unionByName(t.weekly_nav.withColumn("frequency", F.lit("weekly")))
 
@@ -464,13 +470,14 @@ def _(t):
 SELECT model, market, R6(d.total_return) AS d_total_return, R6(d.sharpe_ratio) AS d_sharpe_ratio, R6(w.total_return) AS w_total_return, R6(w.sharpe_ratio) AS w_sharpe_ratio FROM met d JOIN wmet w USING (model, market)
 """, ("nav", "ret", "wret"))
 def _(t):
-    m = performance.return_metrics(all_nav(t), ["frequency", *K]).select("frequency", *K, "total_return", "sharpe_ratio")
-    side = lambda f, p: m.filter(F.col("frequency") == f).select(*K, *[F.round(c, 6).alias(f"{p}_{c}") for c in ("total_return", "sharpe_ratio")])
-    return side("daily", "d").join(side("weekly", "w"), K)
+    m = performance.return_metrics(all_nav(t), ["frequency", *K])
+    wide = performance.side_by_side(m, K, "frequency", {"daily": "d", "weekly": "w"}, ["total_return", "sharpe_ratio"])
+    return rounded(wide, *[f"{p}_{c}" for p in "dw" for c in ("total_return", "sharpe_ratio")])
 
 
 @query("U06_model_union", "SELECT DISTINCT model FROM (SELECT model FROM sig UNION ALL SELECT concat(model, '_w') FROM wsig) ORDER BY model", ("sig", "wsig"))
 def _(t):
+    t.share_px()
     daily = t.sig.select("model")
     return daily.union(t.weekly_nav.select(F.concat("model", F.lit("_w")).alias("model"))).distinct().orderBy("model")
 
@@ -540,6 +547,7 @@ def _(t):
 SELECT strategy, market, date, signal FROM all_
 """, ("px", "sig"))
 def _(t):
+    t.share_px()
     from marketloom.operators.strategies import Strategies
 
     strategies = Strategies()

@@ -94,8 +94,8 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS ended, count(*) AS n, R4(sum(value)) AS total FROM s GROUP BY user_id, k
 """)
 def _(t):
-    # A session grows while events come in, so its rows are written whole at each trigger.
-    rows = streamed(t, lambda e: windows.sessions(e, ["user_id"]), ["user_id"], mode="complete")
+    closed = streamed(t, lambda e: windows.sessions(e, ["user_id"]), ["user_id"], mode="append")
+    rows = closed.unionByName(windows.open_sessions(t.events, ["user_id"]))
     return rows.select(
         "user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("started"), F.unix_micros(F.col("end").cast("timestamp")).alias("ended"),
         "n", F.round("total", 4).alias("total"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketloom.operators import portfolio, weekly
 from marketloom.plans import views
 from marketloom.queries import view_sql
+from marketloom.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,11 @@ class Tables:
     def px(self) -> DataFrame:
         return views.price_panel(self)
 
+    def share_px(self) -> "Tables":
+        """Checkpoint the price panel, for queries that use it more than once."""
+        self.__dict__["px"] = settle(self.px)
+        return self
+
     @cached_property
     def cal(self) -> DataFrame:
         return views.calendar(self.px)

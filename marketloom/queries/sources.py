@@ -13,6 +13,7 @@ from marketloom.sources import documents, indicators, prices, sinks
 SELECT market, date, close, vwap, volume AS volume_tons, turnover AS turnover_cny, turnover AS cum_turnover_cny FROM px
 """, ("px",))
 def _(t):
+    t.share_px()
     allow_charsets(t.spark)
     path = fresh_path(t.spark, "prices")
     number = lambda c: F.col(c).cast("string")

@@ -18,8 +18,11 @@ def write_panel(df: DataFrame, path: str, by: Sequence[str] = ("market",), mode:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for report tables of a row per model."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    """One CSV file with a header, for report tables of a row per model.
+
+    Only the finished rows move to the one writing task; the work before keeps its partitions.
+    """
+    df.repartition(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_metrics(df: DataFrame, keys: Sequence[str], path: str) -> None:

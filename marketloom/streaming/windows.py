@@ -32,8 +32,9 @@ def run_available(spark: SparkSession, path: str, schema: T.StructType, build: C
                   checkpoint: str, keys: Sequence[str], mode: str = "update", files_per_batch: int = 100) -> DataFrame:
     """Run a windowed aggregate over all files present and return its current rows.
 
-    Every trigger writes its changed windows under its own number; the current row of a window is the one of the
-    highest number. Nothing passes through the driver.
+    Every trigger writes its windows under its own number. In update mode these are the changed ones, and the current
+    row of a window is the one of the highest number; in append mode they are the windows the watermark has closed.
+    State is bounded by the watermark and nothing passes through the driver.
     """
     def write(batch: DataFrame, number: int) -> None:
         flat = batch.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in batch.columns if c != "window"])
@@ -45,7 +46,14 @@ def run_available(spark: SparkSession, path: str, schema: T.StructType, build: C
         .trigger(availableNow=True).start())
     query.awaitTermination()
     rows = spark.read.parquet(output)
-    if mode == "complete":
-        last = rows.agg(F.max("batch"))
-        return rows.filter(F.col("batch") == last.scalar()).drop("batch")
+    if mode == "append":
+        return rows.drop("batch")
     return first_per_key(rows, ["start", "end", *keys], [-F.col("batch")]).drop("batch")
+
+
+def open_sessions(events: DataFrame, keys: Sequence[str], gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions the watermark has not closed yet, from the table: what an append-mode stream still holds as state."""
+    timed_events = timed(events)
+    mark = timed_events.agg(F.max("ts") - F.expr(f"INTERVAL {late}"))
+    rows = timed_events.groupBy(F.session_window("ts", gap).alias("window"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total").filter(F.col("end") > mark.scalar())
