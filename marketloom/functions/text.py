@@ -156,14 +156,26 @@ def links(html) -> Column:
     return F.regexp_extract_all(_col(html), F.lit(r'href="([^"]+)"'), F.lit(1))
 
 
-def title_of(html, redirect: str = "您访问的链接") -> Column:
-    """First of title, h1 and titled containers with more than 5 cleaned characters and no redirect notice."""
+# Where a title is looked for, in order.
+TITLE_FORMS = (
+    r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<h1[^>]*>(.*?)</h1>", r'(?s)<div class="title"[^>]*>(.*?)</div>',
+    r'(?s)<div class="article-title"[^>]*>(.*?)</div>', r'(?s)<div id="title"[^>]*>(.*?)</div>')
+REDIRECT = "您访问的链接"
+
+
+def title_of(html, redirect: str = REDIRECT, forms: Sequence[str] = TITLE_FORMS) -> Column:
+    """First place with more than 5 cleaned characters and no redirect notice, else the last place that exists."""
     html = _col(html)
-    forms = (
-        r"(?s)<title[^>]*>(.*?)</title>", r"(?s)<h1[^>]*>(.*?)</h1>", r'(?s)<div class="title"[^>]*>(.*?)</div>',
-        r'(?s)<div class="article-title"[^>]*>(.*?)</div>', r'(?s)<div id="title"[^>]*>(.*?)</div>')
-    tried = [clean_text(F.regexp_extract(html, f, 1)) for f in forms]
-    return F.coalesce(*[F.when((F.length(x) > 5) & ~x.contains(redirect), x) for x in tried])
+    tried = [(html.rlike(f), clean_text(F.regexp_extract(html, f, 1))) for f in forms]
+    good = [F.when((F.length(x) > 5) & ~x.contains(redirect), x) for _, x in tried]
+    last = [F.when(there, x) for there, x in reversed(tried)]
+    return F.coalesce(*good, *last)
+
+
+def document_links(html, base, pattern: str) -> Column:
+    """Absolute links of a page that match the pattern, without anchors and scripts."""
+    usable = F.filter(links(html), lambda x: ~x.contains("#") & ~F.lower(x).contains("javascript:") & x.rlike(pattern))
+    return F.transform(usable, lambda x: absolute_url(x, base))
 
 
 # Words that end the leading clause of an official document.

@@ -100,6 +100,16 @@ def deep_episodes(nav: DataFrame, keys: Sequence[str], depth: float = -20.0, fir
     return one.filter("end IS NOT NULL").withColumn("nth", nth).filter(F.col("nth") <= first).select(*keys, "nth", "start", "end")
 
 
+def severity(depth: Column, mild: float, grave: float) -> Column:
+    """Band of a drawdown in percent: minor above ``mild``, moderate above ``grave``, else severe."""
+    return F.when(depth > mild, "minor").when(depth > grave, "moderate").otherwise("severe")
+
+
+def drawdown_band(depth: Column) -> Column:
+    """Band of a model's deepest drawdown in percent: severe below −30, moderate below −20."""
+    return F.when(depth < -30, "severe").when(depth < -20, "moderate").otherwise("minor")
+
+
 def rolling_performance(nav: DataFrame, keys: Sequence[str], rows: int = DAYS, rf: float = RISK_FREE) -> DataFrame:
     """Annual return, volatility and Sharpe over the last ``rows`` returns; null before the window is full."""
     w = ordered(keys)

@@ -56,14 +56,20 @@ def best_per_slot(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def merged_slots(candidates: DataFrame) -> DataFrame:
-    """All twelve slots: the best candidate, else the runner-up of the adjacent outer slot, else empty."""
+    """All twelve slots: the best candidate, else the runner-up of the adjacent outer slot, else empty.
+
+    The top two of a slot offer themselves to their own slot and, as runner-up, to the adjacent inner one.
+    """
     ranked = top_per_key(candidates, SLOT, [F.desc("score"), F.asc("doc_id")], 2)
-    outer = list(ADJACENT)
     inner = F.create_map(*[F.lit(x) for kv in ADJACENT.items() for x in kv])
-    best = ranked.filter("rank = 1").select(*SLOT, F.lit(0).alias("_via"), "doc_id", "score")
-    spare = ranked.filter((F.col("rank") == 2) & F.col("category").isin(*outer) & (F.col("dimension") != "policy_strength")).select(
-        "dimension", F.try_element_at(inner, F.col("category")).alias("category"), F.lit(1).alias("_via"), "doc_id", "score")
-    chosen = best.unionByName(spare).groupBy(*SLOT).agg(F.min_by(F.struct("doc_id", "score", "_via"), "_via").alias("_c"))
+    second = (F.col("rank") == 2) & (F.col("dimension") != "policy_strength")
+    offers = F.array_compact(F.array(
+        F.when(F.col("rank") == 1, F.struct("category", F.lit(0).alias("via"))),
+        F.when(second & F.col("category").isin(*ADJACENT), F.struct(F.try_element_at(inner, F.col("category")).alias("category"), F.lit(1).alias("via")))))
+    chosen = (
+        ranked.select("dimension", "doc_id", "score", F.explode(offers).alias("o"))
+        .groupBy("dimension", F.col("o.category").alias("category"))
+        .agg(F.min(F.struct(F.col("o.via").alias("_via"), "doc_id", "score")).alias("_c")))
     filled = grid(candidates.sparkSession).join(chosen, SLOT, "left")
     return filled.select(
         *SLOT, "position", F.col("_c.doc_id").alias("doc_id"), F.col("_c.score").alias("score"),

@@ -176,9 +176,9 @@ def _title(expr):
 
 @query("F09_title_choice", f"""
 WITH p AS (SELECT page_id, {_title("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS a,
-   {_title("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS b, {clean_sql("html")} AS content FROM pages),
+   {_title("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS b, {clean_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS h, {clean_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS k, {clean_sql("html")} AS content FROM pages),
 q AS (SELECT *, regexp_extract(content, '^([^。]+(?: the | la | der ))', 1) AS clause, substr(content, 1, 100) AS sentence FROM p)
-SELECT page_id, coalesce(a, b) AS title, CASE WHEN length(content) > 20 THEN trim(CASE WHEN length(clause) > 0 THEN clause WHEN length(sentence) > 10 THEN sentence END, ' ') END AS from_content FROM q
+SELECT page_id, coalesce(a, b, h, k) AS title, CASE WHEN length(content) > 20 THEN trim(CASE WHEN length(clause) > 0 THEN clause WHEN length(sentence) > 10 THEN sentence END, ' ') END AS from_content FROM q
 """)
 def _(t):
     return t.pages.select(
@@ -197,8 +197,7 @@ WITH l AS (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS
 SELECT DISTINCT concat(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), link) AS link FROM l WHERE regexp_matches(link, '^/[a-z]+[.,]?$')
 """)
 def _(t):
-    found = t.pages.select("url", F.explode(text.links("html")).alias("link")).filter(F.col("link").rlike("^/[a-z]+[.,]?$"))
-    return found.select(text.absolute_url("link", "url").alias("link")).distinct()
+    return t.pages.select(F.explode(text.document_links("html", "url", "^/[a-z]+[.,]?$")).alias("link")).distinct()
 
 
 @query("F12_integers_in_text", r"""

@@ -274,12 +274,13 @@ def _(t):
 
 
 @query("P23_severity_bands", "WITH " + ISLANDS + """
-SELECT model, market, start, CASE WHEN drawdown * 100 > -10 THEN 'minor' WHEN drawdown * 100 > -20 THEN 'moderate' ELSE 'severe' END AS severity FROM ep
+SELECT model, market, start, CASE WHEN drawdown * 100 > -10 THEN 'minor' WHEN drawdown * 100 > -20 THEN 'moderate' ELSE 'severe' END AS severity,
+  CASE WHEN drawdown * 100 < -30 THEN 'severe' WHEN drawdown * 100 < -20 THEN 'moderate' ELSE 'minor' END AS band FROM ep
 """, ("dd",))
 def _(t):
-    e = performance.episodes(t.nav, K)
-    severity = F.when(F.col("drawdown") * 100 > -10, "minor").when(F.col("drawdown") * 100 > -20, "moderate").otherwise("severe")
-    return e.select(*K, "start", severity.alias("severity"))
+    depth = F.col("drawdown") * 100
+    return performance.episodes(t.nav, K).select(
+        *K, "start", performance.severity(depth, -10, -20).alias("severity"), performance.drawdown_band(depth).alias("band"))
 
 
 def _rolling_sql(n):
@@ -289,10 +290,16 @@ rp AS (SELECT model, market, date, mean * 252 AS ret, sd * sqrt(252) AS volatili
 """
 
 
-@query("W22_rolling_performance", "WITH " + _rolling_sql(252) + 'SELECT model, market, date, R6(ret) AS "return", R6(volatility) AS volatility FROM rp', ("ret",))
+@query("W22_rolling_performance", "WITH " + _rolling_sql(252) + 'SELECT model, market, date, R6(ret) AS "return", R6(volatility) AS volatility, R6(sharpe) AS sharpe FROM rp', ("ret",))
 def _(t):
     out = performance.rolling_performance(t.nav, K)
-    return rounded(out.select(*K, "date", "return", "volatility"), "return", "volatility")
+    return rounded(out.select(*K, "date", "return", "volatility", "sharpe"), "return", "volatility", "sharpe")
+
+
+@query("P23_strong_sharpe", "WITH " + _rolling_sql(60) + "SELECT model, market, date, round(sharpe, 6) > 1.5 AS strong FROM rp WHERE sharpe IS NOT NULL", ("ret",))
+def _(t):
+    out = performance.rolling_performance(t.nav, K, 60).filter("sharpe IS NOT NULL")
+    return out.select(*K, "date", (F.round("sharpe", 6) > 1.5).alias("strong"))
 
 
 @query("W23_rolling_max_drawdown", """
@@ -393,6 +400,14 @@ def _(t):
     return rounded(performance.pivot_metrics(long, ["market", "model"], NAMES), *NAMES)
 
 
+@query("A20_model_by_market", MET + "SELECT model, " + ", ".join(
+    f"R6(max(CASE WHEN market = '{m}' THEN sharpe_ratio END)) AS \"{m}\"" for m in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM met GROUP BY model", ("nav", "ret"))
+def _(t):
+    markets = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    m = performance.return_metrics(t.nav, K)
+    return rounded(performance.pivot_metrics(m, ["model"], markets, "market", "sharpe_ratio"), *markets)
+
+
 @query("A29_best_model", MET + """
 SELECT market, arg_max(model, sharpe_ratio) FILTER (model <> 'Buy&Hold') AS best_model, R6(max(sharpe_ratio) FILTER (model <> 'Buy&Hold')) AS sharpe_ratio, arg_max(model, sharpe_ratio) AS best_with_benchmark FROM met GROUP BY market
 """, ("nav", "ret"))

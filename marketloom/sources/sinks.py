@@ -48,7 +48,7 @@ def latest_results(registry: DataFrame, keys: Sequence[str], stamp: str = "ts")
     return newest.select(*keys, "_row.*").select(*registry.columns)
 
 
-def metric(name: str, columns: Sequence[str]) -> Column:
-    """Test value of a metric, else the plain one, else 0."""
-    present = [F.col(c) for c in (f"test_{name}", name) if c in columns]
+def metric(name: str, columns: Sequence[str], plain: str | None = None) -> Column:
+    """Test value of a metric, else the plain one (under its own name if that differs), else 0."""
+    present = [F.col(c) for c in (f"test_{name}", plain or name) if c in columns]
     return F.coalesce(*present, F.lit(0.0))
