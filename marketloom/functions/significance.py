@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,12 +58,16 @@ def _horner(coefficients, x: Column, last: float | None = None) -> Column:
     return out if last is None else out * x + last
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution as a column expression."""
-    low = 0.02425
-    q = p - 0.5
-    r = q * q
+def with_normal_quantile(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Add the inverse of the standard normal distribution at a column of probabilities.
+
+    The centred value and the tail argument are columns of their own, so the polynomials refer to them by name.
+    """
+    low, q, r, t = 0.02425, F.col("_q"), F.col("_r"), F.col("_t")
     middle = _horner(A, r) * q / _horner(B, r, 1.0)
-    tail = lambda x: _horner(C, x) / _horner(D, x, 1.0)
+    tail = _horner(C, t) / _horner(D, t, 1.0)
     return (
-        F.when(p < low, tail(F.sqrt(-2 * F.ln(p)))).when(p > 1 - low, -tail(F.sqrt(-2 * F.ln(1 - p)))).otherwise(middle))
+        df.withColumn("_q", F.col(p) - 0.5).withColumn("_r", q * q)
+        .withColumn("_t", F.sqrt(-2 * F.ln(F.least(F.col(p), 1 - F.col(p)))))
+        .withColumn(out, F.when(F.col(p) < low, tail).when(F.col(p) > 1 - low, -tail).otherwise(middle))
+        .drop("_q", "_r", "_t"))

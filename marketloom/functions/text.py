@@ -107,7 +107,11 @@ NUMBER_FORMS = (
 
 
 def document_number(c) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(_col(c), form, 1), F.lit("")) for form in NUMBER_FORMS])
+    """First form that occurs. The open-ended fourth form is tried only where its fixed tail occurs."""
+    c = _col(c)
+    found = [F.nullif(F.regexp_extract(c, form, 1), F.lit("")) for form in NUMBER_FORMS]
+    found[3] = F.when(c.rlike(r"发[〔\[]\d{4}[〕\]]\d+号"), found[3])
+    return F.when(c.contains("号"), F.coalesce(*found))
 
 
 def without_fragment(url) -> Column:
@@ -217,18 +221,6 @@ def has_keyword(title, content, keyword: str) -> Column:
     return both.contains(keyword.lower())
 
 
-def placeholder(content, nav_words: Sequence[str], short: int = 20, image_below: int | None = None) -> Column:
-    """Content, or a notice when it is mostly navigation words or too short."""
-    content = _col(content)
-    words = F.filter(F.split(content, f"[{SPACE}]+"), lambda w: F.length(w) > 0)
-    nav = F.filter(words, lambda w: F.exists(F.array(*[F.lit(n) for n in nav_words]), lambda n: F.contains(w, n)))
-    mostly = (F.size(words) > 0) & (F.size(nav) > F.size(words) * 0.5)
-    out = F.when(mostly, "[No article content available - only navigation]")
-    if image_below is not None:
-        out = out.when(F.length(content) < image_below, "[Image-based content - text extraction limited]")
-    return out.when(F.length(content) < short, "[Limited text content available]").otherwise(content)
-
-
 # Cue words of the enforcement levels, strongest first.
 CUES = (
     ("mandatory", ("必须", "应当", "不得")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,3 +125,23 @@ def boilerplate_cut(df: DataFrame, content: str, marker: str, prefixes: Sequence
     step = step.withColumn("_end", F.try_element_at(cuts, F.lit(1)))
     body = F.when(F.col("_end") > 1, F.substring(c, F.lit(1), F.col("_end") - 1)).otherwise(c)
     return step.withColumn(out, body).drop("_body", "_start", "_end")
+
+
+# Notices that stand for a content that is missing, pictured or too short.
+ONLY_NAVIGATION = "[No article content available - only navigation]"
+IMAGE_BASED = "[Image-based content - text extraction limited]"
+TOO_SHORT = "[Limited text content available]"
+
+
+def with_placeholders(df: DataFrame, content: str, nav_words: Sequence[str], short: int = 20, image_below: int | None = None,
+                      out: str = "content") -> DataFrame:
+    """Content, or a notice when more than half of its words hold a navigation word, or when it is too short."""
+    bare = text.strip(content)
+    words = F.when(F.length(bare) > 0, F.split(bare, f"[{text.SPACE}]+"))
+    nav = F.filter("_words", lambda w: reduce(lambda a, b: a | b, [F.contains(w, F.lit(n)) for n in nav_words]))
+    notice = F.when(F.size("_nav") > F.size("_words") * 0.5, ONLY_NAVIGATION)
+    if image_below is not None:
+        notice = notice.when(F.length(content) < image_below, IMAGE_BASED)
+    return (
+        df.withColumn("_words", words).withColumn("_nav", nav)
+        .withColumn(out, notice.when(F.length(content) < short, TOO_SHORT).otherwise(F.col(content))).drop("_words", "_nav"))

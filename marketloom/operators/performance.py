@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from marketloom.functions.significance import normal_p, normal_quantile, student_p
+from marketloom.functions.significance import normal_p, student_p, with_normal_quantile
 from marketloom.operators.series import ordered, trailing, until_now
 from marketloom.operators.statistics import average_rank
 
@@ -359,7 +359,8 @@ def normal_plot(returns: DataFrame, keys: Sequence[str], value: str = "r") -> Da
     i = F.row_number().over(Window.partitionBy(*keys).orderBy(value, "date"))
     edge = F.pow(F.lit(0.5), 1 / n)
     place = F.when(i == n, edge).when(i == 1, 1 - edge).otherwise((i - 0.3175) / (n + 0.365))
-    return returns.select(*keys, i.alias("nth"), normal_quantile(place).alias("theoretical"), F.col(value).alias("ordered"))
+    placed = returns.select(*keys, i.alias("nth"), place.alias("_p"), F.col(value).alias("ordered"))
+    return with_normal_quantile(placed, "_p", "theoretical").drop("_p")
 
 
 def performance_summary(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:

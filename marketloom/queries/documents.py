@@ -58,7 +58,7 @@ def _(t):
         .when(k == 1, F.concat("text", F.lit(" "), "y", F.lit("-"), "m", F.lit("-"), "d"))
         .when(k == 2, F.concat("y", F.lit("/"), "m", F.lit("/"), "d", F.lit(" "), "text"))
         .when(k == 3, F.concat("y", F.lit("-13-"), "d", F.lit(" "), "y", F.lit("/1/1 "), "text")).otherwise(F.col("text")))
-    return dated(t).select("doc_id", text.extract_date(body).alias("found"))
+    return dated(t).select("doc_id", body.alias("body")).select("doc_id", text.extract_date("body").alias("found"))
 
 
 @query("F04_date_fallbacks", f"""
@@ -78,7 +78,8 @@ def _(t):
         .when(k == 2, F.concat("m", F.lit("月"), "d", F.lit("日 "), "text")).otherwise(F.col("text")))
     url = F.when(k == 3, F.concat(F.lit("http://a.example.org/"), "y", two("m"), F.lit("/1.html"))).otherwise(F.lit("http://a.example.org/1.html"))
     title = F.when(k == 4, F.concat(F.lit("关于"), "y", F.lit("年安排的公告"))).otherwise(none)
-    return df.select("doc_id", text.publish_date(script, body, url, title).alias("found"))
+    parts = df.select("doc_id", script.alias("script"), body.alias("body"), url.alias("url"), title.alias("title"))
+    return parts.select("doc_id", text.publish_date("script", "body", "url", "title").alias("found"))
 
 
 @query("F05_document_number", f"""
@@ -94,7 +95,7 @@ def _(t):
     body = (
         F.when(k == 0, mark("京环发〔", "〕", "号 ")).when(k == 1, mark("见国办函[", "]", "号 "))
         .when(k == 2, mark("税务发〔", "〕", "号 ")).when(k == 3, mark("公告 ", "年 第", "号 ")).otherwise(F.col("text")))
-    return dated(t).select("doc_id", text.document_number(body).alias("number"))
+    return dated(t).select("doc_id", body.alias("body")).select("doc_id", text.document_number("body").alias("number"))
 
 
 @query("F06_url_normalisation", """
@@ -181,9 +182,9 @@ q AS (SELECT *, regexp_extract(content, '^([^。]+(?: the | la | der ))', 1) AS
 SELECT page_id, coalesce(a, b, h, k) AS title, CASE WHEN length(content) > 20 THEN trim(CASE WHEN length(clause) > 0 THEN clause WHEN length(sentence) > 10 THEN sentence END, ' ') END AS from_content FROM q
 """)
 def _(t):
-    return t.pages.select(
-        "page_id", text.title_of("html").alias("title"),
-        text.title_from_content(text.clean_text("html"), " the | la | der ").alias("from_content"))
+    pages = t.pages.select("page_id", "html", text.clean_text("html").alias("content"))
+    return pages.select(
+        "page_id", text.title_of("html").alias("title"), text.title_from_content("content", " the | la | der ").alias("from_content"))
 
 
 @query("F10_body_text")
@@ -285,7 +286,7 @@ SELECT doc_id, CASE WHEN len(words) > 0 AND len(list_filter(words, lambda x: con
    WHEN length(text) < 50 THEN '[Image-based content - text extraction limited]' WHEN length(text) < 20 THEN '[Limited text content available]' ELSE text END AS content FROM w
 """)
 def _(t):
-    return t.documents.select("doc_id", text.placeholder("text", ("th", "ea"), image_below=50).alias("content"))
+    return documents.with_placeholders(t.documents, "text", ("th", "ea"), image_below=50).select("doc_id", "content")
 
 
 @query("A21_distinct_documents", """

@@ -255,10 +255,10 @@ def _(t):
     return rounded(kept, "supply_decayed", "demand_decayed", "policy_decayed")
 
 
-@query("F17_market_pressure", DAILY + "SELECT market, effective_date, R6(market_pressure) AS market_pressure, R6(pressure_magnitude) AS pressure_magnitude FROM pressed", ("scored",))
+@query("F17_market_pressure", DAILY + "SELECT market, effective_date, R9(market_pressure) AS market_pressure, R9(pressure_magnitude) AS pressure_magnitude FROM pressed", ("scored",))
 def _(t):
     out = sentiment.pressure(sentiment.daily_weighted(market_docs(t)))
-    return rounded(out.select("market", "effective_date", "market_pressure", "pressure_magnitude"), "market_pressure", "pressure_magnitude")
+    return rounded(out.select("market", "effective_date", "market_pressure", "pressure_magnitude"), "market_pressure", "pressure_magnitude", places=9)
 
 
 MERGED = ["sentiment_supply", "sentiment_demand", "doc_count"]

@@ -54,6 +54,9 @@ def run_available(spark: SparkSession, path: str, schema: T.StructType, build: C
 def open_sessions(events: DataFrame, keys: Sequence[str], gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions the watermark has not closed yet, from the table: what an append-mode stream still holds as state."""
     timed_events = timed(events)
-    mark = timed_events.agg(F.max("ts") - F.expr(f"INTERVAL {late}"))
-    rows = timed_events.groupBy(F.session_window("ts", gap).alias("window"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total").filter(F.col("end") > mark.scalar())
+    mark = timed_events.agg(F.max("ts") - F.expr(f"INTERVAL {late}") - F.expr(f"INTERVAL {gap}"))
+    rows = timed_events.groupBy(F.session_window("ts", gap).alias("window"), *keys).agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.max("ts").alias("_last"))
+    # The condition is on an aggregate: one on the window itself would be pushed below the merging of sessions.
+    kept = rows.filter(F.col("_last") > mark.scalar())
+    return kept.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
