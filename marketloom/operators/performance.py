@@ -181,12 +181,12 @@ def return_metrics(nav: DataFrame, keys: Sequence[str], rf: float = RISK_FREE, c
 def paired_returns(nav: DataFrame, keys: Sequence[str], benchmark: str, model: str = "model") -> DataFrame:
     """Returns of every other model beside the benchmark's on the same key and date, without a self-join.
 
-    ``p_all`` and ``b_all`` are the means over all returns of the model and of the benchmark.
+    ``p_all`` is the mean over all returns of the model. A (key, date) group holds one row per model.
     """
     own = F.when(F.col(model) == benchmark, F.col("r"))
     rows = with_returns(nav, [model, *keys]).filter("r IS NOT NULL").select(
         model, *keys, "date", F.col("r").alias("p"), F.avg("r").over(Window.partitionBy(model, *keys)).alias("p_all"),
-        F.avg(own).over(Window.partitionBy(*keys)).alias("b_all"), F.max(own).over(Window.partitionBy(*keys, "date")).alias("b"))
+        F.max(own).over(Window.partitionBy(*keys, "date")).alias("b"))
     return rows.filter((F.col(model) != benchmark) & F.col("b").isNotNull())
 
 
@@ -194,10 +194,12 @@ def benchmark_metrics(nav: DataFrame, keys: Sequence[str], benchmark: str, rf: f
     """Beta, alpha, information ratio and share of days above the benchmark; alpha uses the means of all returns."""
     active = F.col("p") - F.col("b")
     one = paired_returns(nav, keys, benchmark, model).groupBy(model, *keys).agg(
-        F.try_divide(F.covar_samp("p", "b"), F.var_samp("b")).alias("beta"), F.first("p_all").alias("_p"), F.first("b_all").alias("_b"),
+        F.try_divide(F.covar_samp("p", "b"), F.var_samp("b")).alias("beta"), F.first("p_all").alias("_p"),
         (_safe(F.avg(active) * DAYS, F.stddev_samp(active) * ROOT)).alias("information_ratio"),
         F.avg((F.col("p") > F.col("b")).cast("double")).alias("win_rate_vs_benchmark"))
-    return one.withColumn("alpha", F.col("_p") * DAYS - (rf + F.col("beta") * (F.col("_b") * DAYS - rf))).drop("_p", "_b")
+    mean = with_returns(nav.filter(F.col(model) == benchmark), keys).groupBy(*keys).agg(F.avg("r").alias("_b"))
+    return one.join(mean, list(keys)).withColumn(
+        "alpha", F.col("_p") * DAYS - (rf + F.col("beta") * (F.col("_b") * DAYS - rf))).drop("_p", "_b")
 
 
 def side_by_side(metrics: DataFrame, keys: Sequence[str], by: str, sides: dict[str, str], columns: Sequence[str]) -> DataFrame:

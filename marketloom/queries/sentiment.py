@@ -255,10 +255,11 @@ def _(t):
     return rounded(kept, "supply_decayed", "demand_decayed", "policy_decayed")
 
 
-@query("F17_market_pressure", DAILY + "SELECT market, effective_date, R9(market_pressure) AS market_pressure, R9(pressure_magnitude) AS pressure_magnitude FROM pressed", ("scored",))
+@query("F17_market_pressure", DAILY + "SELECT market, effective_date, R6(market_pressure + 1e-9) AS market_pressure, R6(pressure_magnitude + 1e-9) AS pressure_magnitude FROM pressed", ("scored",))
 def _(t):
     out = sentiment.pressure(sentiment.daily_weighted(market_docs(t)))
-    return rounded(out.select("market", "effective_date", "market_pressure", "pressure_magnitude"), "market_pressure", "pressure_magnitude", places=9)
+    # Weights that are powers of two give exact halves in the last place; a nudge rounds them alike in both engines.
+    return out.select("market", "effective_date", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("market_pressure", "pressure_magnitude")])
 
 
 MERGED = ["sentiment_supply", "sentiment_demand", "doc_count"]

@@ -22,11 +22,11 @@ def write_lines(path, name, lines):
 
 def test_bad_lines_and_missing_paths(spark, tmp_path):
     good = '{"doc_id": "1", "content": "碳", "source": "X"}'
-    folder = write_lines(tmp_path, "mee/notices", [good, "not json", "", '{"doc_id": "2"}'])
+    folder = write_lines(tmp_path, "agency/notices", [good, "not json", "", '{"doc_id": "2"}'])
     df = documents.scan_jsonl(spark, [folder, str(tmp_path / "absent")]).cache()
     assert df.filter("_bad_line IS NOT NULL").count() == 1
     got = {r.doc_id: (r.source, r.section) for r in df.filter("doc_id IS NOT NULL").collect()}
-    assert got == {"1": ("X", "notices"), "2": ("mee", "notices")}
+    assert got == {"1": ("X", "notices"), "2": ("agency", "notices")}
     assert documents.scan_jsonl(spark, [str(tmp_path / "absent")]).count() == 0
 
 
