@@ -167,7 +167,7 @@ def classification_metrics(df: DataFrame, keys: Sequence[str], pred: str = "pred
             F.count_if(~p & a).alias("fn"))
         .withColumn("accuracy", safe(tp + tn, tp + tn + fp + fn)).withColumn("precision", safe(tp, tp + fp))
         .withColumn("recall", safe(tp, tp + fn))
-        .withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+        .withColumn("f1", safe(2 * tp, 2 * tp + fp + fn))
         .withColumn("specificity", safe(tn, tn + fp)).withColumn("sensitivity", F.col("recall")))
 
 

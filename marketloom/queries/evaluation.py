@@ -143,7 +143,7 @@ st AS (SELECT model, market, avg(r) AS mean, stddev_samp(r) AS sd, stddev_samp(r
    coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, abs(coalesce(avg(r) FILTER (r < 0), 0)) AS avg_loss FROM {ret} GROUP BY model, market),
 cv AS (SELECT model, market, any_value(var_95) AS var_95, avg(r) FILTER (r <= var_95) AS cvar_95 FROM {ret} JOIN q USING (model, market) GROUP BY model, market),
 met AS (SELECT *, pow(1 + total_return, 365.25 / days) - 1 AS cagr, mean * 252 AS annual_return, sd * sqrt(252) AS annual_volatility, down * sqrt(252) AS downside_volatility,
-   (mean - 0.02 / 252) / sd * sqrt(252) AS sharpe_ratio, coalesce((mean - 0.02 / 252) / nullif(below, 0) * sqrt(252), 0) AS sortino_ratio,
+   coalesce((mean - 0.02 / 252) / nullif(sd, 0) * sqrt(252), 0) AS sharpe_ratio, coalesce((mean - 0.02 / 252) / nullif(below, 0) * sqrt(252), 0) AS sortino_ratio,
    coalesce((pow(1 + total_return, 365.25 / days) - 1) / nullif(abs(max_drawdown), 0), 0) AS calmar_ratio
   FROM st JOIN lim USING (model, market) JOIN low USING (model, market) JOIN cv USING (model, market))
 """
