@@ -45,14 +45,17 @@ def bands(num: int, den: int, upto: int) -> tuple[tuple[int, int], ...]:
 
 @lru_cache(maxsize=None)
 def allocation(high: int, num: int, den: int, documents: int) -> tuple[int, int]:
-    """(exact segments, one-deletion segments) for the band up to size ``high``: least cost that covers every difference."""
+    """(exact segments, one-deletion segments) for the band up to size ``high``: least cost that covers every difference.
+
+    The cost of a set is its signatures plus, per segment, the chance collisions: its part is empty and so are others'.
+    """
     partner = high * den // num
     k = (high + partner) * (den - num) // (den + num)
     best = None
     for q in sorted({round(i * (k + 1) / 64) // 2 for i in range(65)} | {(k + 2) // 2}):
         m = max(0, k + 1 - 2 * q)
         size = high / RATIO / (m + q)
-        cost = m + q * (1 + size) + (m + q) * documents * math.exp(-size)
+        cost = m + q * (1 + size) + (m + q) * documents * math.exp(-2 * size)
         if best is None or cost < best[0]:
             best = (cost, m, q)
     return best[1], best[2]
