@@ -7,7 +7,9 @@ least one segment of two similar sets agrees that far. How many segments are of
 signatures written against the collisions that near-empty segments would make among the given number of documents.
 
 Links within a bucket are found without its pairs: every member is verified against one hub, and only members which are
-still in different components go on to further hubs and at last to an exact join of what remains.
+still in different components go on to further hubs and at last to an exact join of what remains. Before texts are
+fetched, and inside that join, a pair must pass a bound that loses nothing: elements are hashed to places of a bit row,
+each bit the parity of its elements' number, and two rows never differ in more bits than the sets in elements.
 
 Defined cases: null and empty texts have an empty set and no links; rows with a null id keep their size, with a null
 component; rows of one id count as one node; other columns are ignored; an empty table gives no rows.
@@ -21,13 +23,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import blocks, components, mix, staged
 
 NUM, DEN = 90, 100
-RATIO = 1.35
+RATIO = 1.2
+#: Pairs left per member of the buckets above which members try another hub before the exact join.
+PAIRS_PER_MEMBER = 200
 _A, _B, _C, _D = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -37,7 +41,7 @@ def bands(num: int, den: int, upto: int) -> tuple[tuple[int, int], ...]:
     low = next(n for n in range(1, 10_000) if den * n >= num * (n + 1))
     out = []
     while low <= upto:
-        high = max(low, int(low * max(RATIO, 1.1 * den / num)))
+        high = max(low, int(low * max(RATIO, den / num)))
         out.append((low, high))
         low = high + 1
     return tuple(out)
@@ -72,56 +76,75 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(total + np.uint64(width)))
 
 
-def signatures(shingles: np.ndarray, num: int, den: int, documents: int) -> np.ndarray:
-    """Bucket keys of a set, for its own band and, as the larger partner, for the band below."""
-    n = len(shingles)
+def schemes(n: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(band, its largest size): the set's own band and, as the larger partner, the band below if it reaches there."""
     all_bands = bands(num, den, n)
-    out = []
-    for smallest in {n, -(-n * num // den)}:
-        j = next((j for j, (low, high) in enumerate(all_bands) if low <= smallest <= high), None)
-        if j is not None:
-            out.append((j, *allocation(all_bands[j][1], num, den, documents)))
-    keys = []
-    for j, exact, loose in set(out):
-        g = exact + loose
-        element = mix(shingles * _B + np.uint64(j))
-        segment = (mix(shingles ^ _C) % np.uint64(g)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        segment, element = segment[order], element[order]
-        present, first = np.unique(segment, return_index=True)
-        total = np.zeros(g, dtype=np.uint64)
-        if len(element):
-            total[present] = np.add.reduceat(element, first)
-        place = np.arange(g, dtype=np.uint64) * _D + np.full(g, j, dtype=np.uint64) * _B
-        keys.append(mix(total + place))
-        inside = segment >= exact
-        keys.append(mix(total[segment[inside]] - element[inside] + place[segment[inside]]))
-    return np.concatenate(keys) if keys else shingles[:0]
+    found = {j for smallest in (n, -(-n * num // den)) for j, (low, high) in enumerate(all_bands) if low <= smallest <= high}
+    return [(j, all_bands[j][1]) for j in sorted(found)]
+
+
+def signatures(shingles: np.ndarray, band: int, exact: int, loose: int) -> np.ndarray:
+    """Bucket keys of a set in a band: one per segment, and one per element of the loose segments without that element."""
+    g = exact + loose
+    element = mix(shingles * _B + np.uint64(band))
+    segment = (mix(shingles ^ _C) % np.uint64(g)).astype(np.int64)
+    order = np.argsort(segment, kind="stable")
+    segment, element = segment[order], element[order]
+    present, first = np.unique(segment, return_index=True)
+    total = np.zeros(g, dtype=np.uint64)
+    total[present] = np.add.reduceat(element, first)
+    place = np.arange(g, dtype=np.uint64) * _D + np.full(g, band, dtype=np.uint64) * _B
+    inside = segment >= exact
+    return np.unique(np.concatenate([mix(total + place), mix(total[segment[inside]] - element[inside] + place[segment[inside]])])).astype(np.int64)
+
+
+def parities(shingles: np.ndarray, exact: int, loose: int) -> np.ndarray:
+    """Bit row of the set, as longs: eight bits per difference that the band allows."""
+    bits = 64 * max(1, (exact + 2 * loose) // 8)
+    odd = np.bincount((mix(shingles ^ _D) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0), kind))
 
 
 def sketch(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, set size, 128-bit digest of the set, bucket keys."""
+    """Per row: doc_id, set size, 128-bit digest of the set, and per band: number, bucket keys, bit row."""
     documents = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, block, count in blocks(texts):
-                size, one, two, keys = [], [], [], []
+                size, one, two, per, band, keys, bits = [], [], [], [], [], [], []
                 for i in range(count):
                     s = shingle_hashes(block.hash[block.first[i]: block.first[i + 1]], words)
                     size.append(len(s))
                     one.append(int(np.add.reduce(mix(s ^ _A)).astype(np.int64)) if len(s) else 0)
                     two.append(int(np.add.reduce(mix(s ^ _D)).astype(np.int64)) if len(s) else 0)
-                    keys.append(np.unique(signatures(s, num, den, documents)).astype(np.int64))
-                lengths = np.zeros(count + 1, dtype=np.int32)
-                np.cumsum([len(k) for k in keys], out=lengths[1:])
-                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+                    found = schemes(len(s), num, den)
+                    per.append(np.arange(len(found)))
+                    for j, high in found:
+                        exact, loose = allocation(high, num, den, documents)
+                        band.append(j)
+                        keys.append(signatures(s, j, exact, loose))
+                        bits.append(parities(s, exact, loose))
+                inner = pa.StructArray.from_arrays([pa.array(band, pa.int32()), _lists(keys, pa.int64()), _lists(bits, pa.int64())], ["band", "keys", "bits"])
+                outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in per])]), pa.int32()), inner)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, count), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists],
-                    ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                    [ids.slice(begin, count), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), outer],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<struct<band:int,keys:array<long>,bits:array<long>>>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+def near_enough(num: int, den: int) -> Column:
+    """Bound on rows (n_a, bits_a, n_b, bits_b): similar sets differ in at most (n_a + n_b)(den - num)/(den + num) elements."""
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return differing * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
 
 
 def text_set(text: str | None, words: int) -> set:
@@ -158,7 +181,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                       num: int = NUM, den: int = DEN, hub_rounds: int = 12) -> DataFrame:
+                       num: int = NUM, den: int = DEN, hub_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id: exact components of the links ``den * |A & B| >= num * |A | B|``."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = staged(sketch(docs, words, num, den), "sketch")
@@ -166,19 +189,29 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     # Equal sets collapse to their smallest id before anything is compared.
     equal = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     equal = staged(equal, "classes")
-    keys = (
+    chosen = (
         some.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", F.explode("keys").alias("key")))
+        .select("doc_id", "n_shingles", F.explode("bands").alias("b")))
+    keys = chosen.select("doc_id", F.col("b.band").alias("band"), F.explode("b.keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     member = staged(keys.join(shared.select("key", "lo"), "key"), "buckets")
-    pairs = member.filter("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = staged(pairs, "pairs")
+    some_bits = chosen.select("doc_id", F.col("b.band").alias("band"), F.col("n_shingles").alias("n"), F.col("b.bits").alias("bits"))
+    bits = staged(some_bits.join(member.select("doc_id", "band").distinct(), ["doc_id", "band"], "left_semi"), "bits")
+
+    def side(name: str) -> DataFrame:
+        return bits.select(F.col("doc_id").alias(name), "band", F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b, band) within the bound."""
+        return pairs.distinct().join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).filter(near_enough(num, den)).select("a", "b").distinct()
+
+    tested = staged(passing(member.filter("doc_id <> lo").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"), "band")), "pairs")
     links = staged(verified(tested, docs, words, num, den), "links")
     for round_ in range(hub_rounds + 1):
         root = components(links)
         member = (
-            member.select("key", "doc_id").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-            .select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
+            member.select("key", "band", "doc_id").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+            .select("key", "band", "doc_id", F.coalesce("root", "doc_id").alias("root")))
         mixed = member.groupBy("key").agg(
             F.min("root").alias("x"), F.max("root").alias("y"),
             F.min_by("doc_id", F.xxhash64("doc_id", F.lit(round_))).alias("hub"), F.count("*").alias("n")).filter("x < y")
@@ -188,14 +221,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         left, held = sizes.agg(F.sum(F.col("own") * (F.col("n") - F.col("own"))) / 2, F.sum("own")).first()
         if not left:
             break
-        last = left <= 4 * held or round_ == hub_rounds
+        last = left <= PAIRS_PER_MEMBER * held or round_ == hub_rounds
         if last:
-            x, y = member.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra")), member.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").filter("ra < rb")
+            placed = member.select("key", "band", "doc_id", "root").join(bits, ["doc_id", "band"])
+            x, y = (placed.select("key", F.col("doc_id").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & near_enough(num, den)).select("a", "b")
         else:
             hubs = root.select(F.col("node").alias("hub"), F.col("root").alias("of"))
             pairs = member.filter("doc_id <> hub").join(hubs, "hub", "left").filter(F.coalesce("of", "hub") != F.col("root"))
-            pairs = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+            pairs = passing(pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "band"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(fresh)
