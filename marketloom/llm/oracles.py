@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketloom.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES, classes, template_shingles, template_words
 from marketloom.llm.mixing import BUDGET_SHARE, DEFAULT_WEIGHT, MAX_EPOCHS, SEED, WEIGHTS
 from marketloom.llm.quality import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_COMMON
 
@@ -109,5 +110,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP2 = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha256(html) AS d FROM page),
+first AS (SELECT d, min(page_id) AS f FROM sized WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f IS NULL OR page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN f END AS refers_to FROM sized LEFT JOIN first USING (d)
+"""
+
+
+def _op3() -> str:
+    arms = []
+    for group in classes(TEMPLATES):
+        longest = max(len(template_words(t)) for t in group.values())
+        listed = ", ".join(f"('{k}', {template_shingles(t)!r})" for k, t in group.items())
+        arms.append(f"""SELECT doc_id, k AS template, max(n_found) AS n_found, any_value(len(t))::BIGINT AS n_template FROM (
+  SELECT doc_id, k, t, len(list_intersect(list_transform(range(1, len(v) - {SHINGLE - 2}), lambda i: array_to_string(v[i:i + {SHINGLE - 1}], ' ')), t))::BIGINT AS n_found
+  FROM (SELECT doc_id, w[p:p + {2 * longest - 1}] AS v FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1, {longest})) AS p FROM doc WHERE len(w) >= {SHINGLE})), (VALUES {listed}) AS x(k, t)
+  WHERE len(v) >= {SHINGLE}) WHERE n_found >= {CONTAINMENT} * len(t) GROUP BY doc_id, k""")
+    union = " UNION ALL ".join(arms)
+    return f"""WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)
+SELECT doc_id, template, n_found, n_template, n_found / n_template AS containment FROM ({union})"""
+
+
 ORACLES: dict[str, str] = {
-    "op4_benchmark_decontamination": OP4, "op6_ngram_jaccard_join": OP6, "op7_source_mixing": _op7(), "op8_quality_rules": _op8()}
+    "op2_warc_normaliser": OP2, "op3_license_scan": _op3(), "op4_benchmark_decontamination": OP4, "op6_ngram_jaccard_join": OP6, "op7_source_mixing": _op7(), "op8_quality_rules": _op8()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import contamination, jaccard, mixing, quality, sharding
+from marketloom.llm import brown, contamination, jaccard, licenses, mixing, quality, sharding, toxicity, urls, warc
 from marketloom.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -15,6 +15,18 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op2_warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_read(spark, folder, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_matches(_read(spark, folder, "documents")).drop("word")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination.scan(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     return contamination.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -41,6 +53,15 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(_read(spark, folder, "documents")).drop("class_distance", "word_distance")
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged_urls(_read(spark, folder, "pages"), urls.seed_label(F.col("url"))).drop("n_rules")
+
+
+def op10_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.class_scores(_read(spark, folder, "documents")).drop("perplexity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_benchmark_decontamination, op5_sharding, op6_ngram_jaccard_join, op7_source_mixing, op8_quality_rules)}
+        op1_toxicity, op2_warc_normaliser, op3_license_scan, op4_benchmark_decontamination, op5_sharding, op6_ngram_jaccard_join,
+        op7_source_mixing, op8_quality_rules, op9_url_filter, op10_class_ngrams)}
