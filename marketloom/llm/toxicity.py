@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import id_crc, staged
 
 LABEL_ROWS, ATOMS, MIN_SUPPORT, MIN_WEIGHT = 20_000, 4_000, 3, 3.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 
 #: Grammar words by symbol, in natural order of the languages de, en, es, fr.
@@ -44,6 +44,8 @@ SYMBOLS = {word: symbol for symbol, words in LISTS.items() for word in words.spl
 #: Words after a negation, and around a target, that it still reaches.
 REACH = 4
 OUTPUTS = ("insult", "negated", "reported", "aimed", "threat")
+FEATURES = (*OUTPUTS, "strongest", "density")
+THREAT_WEIGHT = 5.0
 _CLAUSE = re.compile(r"[.!?;:\n]+|,\s")
 _TOKEN = re.compile(r"\w+")
 
@@ -111,28 +113,31 @@ def _weigher(atoms: dict[str, float]):
     return weight
 
 
-def clause_sums(text: str | None, weight, machine: Transducer) -> list[float]:
-    """Sums over the clauses of what the grammar puts out, each clause's part damped so that many clauses outweigh one."""
-    sums = [0.0] * len(OUTPUTS)
+def clause_features(text: str | None, weight, machine: Transducer) -> list[float]:
+    """Logarithms of what the grammar puts out by kind, of the strongest clause, and of the whole per word.
+
+    A word that comes again in the text adds nothing: repeated lines are no stronger than one.
+    """
+    sums, strongest, seen = [0.0] * len(OUTPUTS), 0.0, set()
     lower = (text or "").lower()
     tokens = _TOKEN.findall(lower)
-    matched = {t for t in set(tokens) if weight(t) > 0 or SYMBOLS.get(t) == "threat"}
-    if not matched:
-        return sums
-    for clause in _CLAUSE.split(lower):
-        words = _TOKEN.findall(clause)
-        if matched.isdisjoint(words):
-            continue
-        state, part = 0, [0.0] * len(OUTPUTS)
-        for word in words:
-            value = weight(word) if word in matched else 0.0
-            symbol = "insult" if value > 0 else SYMBOLS.get(word, "word")
-            state, out = machine.table[state, symbol]
-            if out in OUTPUTS:
-                part[OUTPUTS.index(out)] += value or 5.0
-        for i, p in enumerate(part):
-            sums[i] += math.log1p(p)
-    return sums
+    matched = {t: w for t in set(tokens) if (w := weight(t) or (THREAT_WEIGHT if SYMBOLS.get(t) == "threat" else 0.0))}
+    if matched:
+        for clause in _CLAUSE.split(lower):
+            words = _TOKEN.findall(clause)
+            if matched.keys().isdisjoint(words):
+                continue
+            state, value = 0, 0.0
+            for word in words:
+                symbol = SYMBOLS.get(word, "insult" if word in matched else "word")
+                state, out = machine.table[state, symbol]
+                if out in OUTPUTS and word not in seen:
+                    seen.add(word)
+                    gained = matched.get(word, 0.0) - MIN_WEIGHT + 1
+                    sums[OUTPUTS.index(out)] += gained
+                    value += gained
+            strongest = max(strongest, value)
+    return [*(math.log1p(x) for x in sums), math.log1p(strongest), math.log1p(100 * sum(sums) / (len(tokens) + 20))]
 
 
 def learned_atoms(labelled: DataFrame, most: int = ATOMS) -> dict[str, float]:
@@ -168,12 +173,12 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = _weigher(atoms)
         for batch in batches:
-            sums = [clause_sums(t, weight, machine) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(**{o: [s[i] for s in sums] for i, o in enumerate(OUTPUTS)})
+            rows = [clause_features(t, weight, machine) for t in batch["text"]]
+            yield batch.drop(columns="text").assign(**{o: [s[i] for s in rows] for i, o in enumerate(FEATURES)})
 
-    kinds = ", ".join(f"{o} double" for o in OUTPUTS)
-    features = array_to_vector(F.array(*OUTPUTS))
-    fit = staged(taught.filter("part = 2").select("toxic", "text").mapInPandas(run, f"toxic int, {kinds}").withColumn("x", F.array(*OUTPUTS)), "fit")
+    kinds = ", ".join(f"{o} double" for o in FEATURES)
+    features = array_to_vector(F.array(*FEATURES))
+    fit = staged(taught.filter("part = 2").select("toxic", "text").mapInPandas(run, f"toxic int, {kinds}").withColumn("x", F.array(*FEATURES)), "fit")
     share, low, high = fit.agg(F.avg("toxic"), F.min("toxic"), F.max("toxic")).first()
     sums = docs.mapInPandas(run, f"doc_id long, {kinds}")
     if low == high:
@@ -182,8 +187,8 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
         model = LogisticRegression(featuresCol="f", labelCol="toxic", regParam=1e-3, maxIter=60, standardization=False).fit(
             fit.select("toxic", features.alias("f")))
         line = F.lit(float(model.intercept))
-        for name, c in zip(OUTPUTS, model.coefficients):
+        for name, c in zip(FEATURES, model.coefficients):
             line = line + F.col(name) * F.lit(float(c))
         score = 1 / (1 + F.exp(-line))
     return sums.select(
-        "doc_id", (part == 1).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *OUTPUTS)
+        "doc_id", (part == 1).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *FEATURES)
