@@ -116,7 +116,8 @@ def normalise(spark: SparkSession, folder: str, target: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 yield _normalised(path, target)
 
-    return staged(archives.repartition(F.col("path")).mapInArrow(
+    # As many partitions as archives, by number, so that adaptive execution does not join these tiny rows in one task.
+    return staged(archives.repartition(max(1, archives.count()), "path").mapInArrow(
         run, "archive string, offset long, length long, page_id long, record_type string, refers_to long, url string"), "index")
 
 
