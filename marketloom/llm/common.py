@@ -107,6 +107,13 @@ class Block:
         self.first = np.searchsorted(self.start, at)
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in slices, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocks(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[tuple[int, Block, int]]:
     """(position of the first text, its block, number of texts), cut by bytes so that memory stays bounded by a text."""
     begin, held, size = 0, [], 0

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import slices
+
 SIZE = 13
 BLOCK_BYTES = 8 << 20
 #: Bytes that separate words become blanks, A-Z become a-z.
@@ -102,16 +104,22 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
 def scan(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
          item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: ``carry``, n_words, n_hit, items (sorted as strings), spans (start, end in characters of the text)."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    return _found(rows, None, benchmark, item_id, item_text, size, block_bytes).select("_row.*", "n_words", "n_hit", "items", "spans")
+
+
+def _found(docs: DataFrame, field: str | None, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text",
+           size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (_row, and _text unless the text is ``field`` of _row) with n_words, n_hit, items, spans."""
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     keys = [sha256(repr((size, b)).encode()).hexdigest() for b in blocks]
-    shipped = documents.sparkSession.sparkContext.broadcast(blocks) if blocks else None
-    docs = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    shipped = docs.sparkSession.sparkContext.broadcast(blocks) if blocks else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # With few automata texts pass in small slices; with many, each automaton is fetched once per batch.
+        for batch in slices(batches) if len(keys) <= 2 else batches:
             n_words, n_hit, items, spans = [], [], [], []
-            texts = batch.column(1).to_pylist()
+            texts = (batch.column(1) if field is None else batch.column(0).field(field)).to_pylist()
             joined = [(b" " + b" ".join(normalised_words(t)) + b" ").decode("latin-1") for t in texts]
             found: list[list[tuple[int, int]]] = [[] for _ in texts]
             named: list[set[int]] = [set() for _ in texts]
@@ -131,8 +139,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", car
                 ["_row", "n_words", "n_hit", "items", "spans"])
 
     kind = docs.schema["_row"].dataType.simpleString()
-    found = docs.mapInArrow(run, f"_row {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    return found.select("_row.*", "n_words", "n_hit", "items", "spans")
+    return docs.mapInArrow(run, f"_row {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -144,6 +151,5 @@ def judged(found: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **kwargs) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    names = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col(text_col).alias("_scanned"))
-    return judged(scan(packed, benchmark, "_scanned", ("_doc",), **kwargs)).filter("not contaminated").select("_doc.*")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    return judged(_found(rows, text_col, benchmark, **kwargs)).filter("not contaminated").select("_row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import blocks, components, mix, staged
+from marketloom.llm.common import blocks, components, mix, slices, staged
 
 NUM, DEN = 90, 100
 RATIO = 1.2
@@ -111,12 +111,12 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0), kind))
 
 
-def sketch(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def sketch(docs: DataFrame, words: int, num: int, den: int, expected: int | None = None) -> DataFrame:
     """Per row: doc_id, set size, 128-bit digest of the set, and per band: number, bucket keys, bit row."""
-    documents = docs.count()
+    documents = docs.count() if expected is None else expected
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, block, count in blocks(texts):
                 size, one, two, per, band, keys, bits = [], [], [], [], [], [], []
@@ -167,7 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_set = None, set()
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text_a, text_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if text_a != held:
@@ -181,10 +181,14 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                       num: int = NUM, den: int = DEN, hub_rounds: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id: exact components of the links ``den * |A & B| >= num * |A | B|``."""
+                       num: int = NUM, den: int = DEN, hub_rounds: int = 4,
+                       expected: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id: exact components of the links ``den * |A & B| >= num * |A | B|``.
+
+    ``expected`` stands for the number of documents in the cost of segments; by default they are counted.
+    """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(sketch(docs, words, num, den), "sketch")
+    rows = staged(sketch(docs, words, num, den, expected), "sketch")
     some = rows.filter("doc_id is not null and n_shingles > 0")
     # Equal sets collapse to their smallest id before anything is compared.
     equal = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))

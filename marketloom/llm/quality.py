@@ -136,8 +136,8 @@ def _judged(measured: DataFrame) -> DataFrame:
     reference = measured.filter("not base_failed").groupBy("_lang").agg(
         F.array(*[F.sum(F.get("_classes", F.lit(i))) for i in range(bins)]).alias("_ref_classes"),
         F.array(*[F.sum(F.get("_common", F.lit(i))) for i in range(words)]).alias("_ref_common"))
-    # At most one reference row per listed language, so Spark's own size check broadcasts it.
-    joined = measured.join(reference, "_lang", "left")
+    # At most one reference row per listed language; written, so that Spark's own size check broadcasts it.
+    joined = measured.join(staged(reference, "references"), "_lang", "left")
     chars = F.aggregate("_classes", F.lit(0).cast("long"), lambda t, x: t + x)
     common = F.coalesce(F.aggregate("_common", F.lit(0).cast("long"), lambda t, x: t + x), F.lit(0))
     far = joined.select(
