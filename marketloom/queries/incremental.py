@@ -66,17 +66,17 @@ def _(t):
     return intake.run_summary(log, ["source"]).withColumns({"success_rate": F.round("success_rate", 6), "avg_seconds": F.round("avg_seconds", 8)})
 
 
-def streamed(t, build, keys, mode="update"):
+def streamed(t, build, keys, merge=windows.summed_windows):
     output = fresh_path(t.spark, "windows")
     return windows.run_available(
-        t.spark, f"{t.folder}/events*.parquet", t.events.schema, build, output, f"{output}-log", keys, mode)
+        t.spark, f"{t.folder}/events*.parquet", t.events.schema, build, output, f"{output}-log", keys, merge)
 
 
 @query("I05_tumbling_windows", """
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, R4(sum(value)) AS total FROM events GROUP BY 1, 2
 """)
 def _(t):
-    rows = streamed(t, lambda e: windows.tumbling(e, ["event_type"]), ["event_type"])
+    rows = streamed(t, windows.tumbling, ["event_type"])
     return rows.select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -84,7 +84,7 @@ def _(t):
 SELECT CAST(ts AS DATE) - CAST(k.range AS INTEGER) AS first_day, event_type, count(*) AS n, R4(sum(value)) AS total FROM events, range(7) k GROUP BY 1, 2
 """)
 def _(t):
-    rows = streamed(t, lambda e: windows.sliding(e, ["event_type"]), ["event_type"])
+    rows = streamed(t, windows.sliding, ["event_type"])
     return rows.select(F.to_date("start").alias("first_day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -94,8 +94,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS ended, count(*) AS n, R4(sum(value)) AS total FROM s GROUP BY user_id, k
 """)
 def _(t):
-    closed = streamed(t, lambda e: windows.sessions(e, ["user_id"]), ["user_id"], mode="append")
-    rows = closed.unionByName(windows.open_sessions(t.events, ["user_id"]))
+    rows = streamed(t, windows.sessions, ["user_id"], windows.merged_sessions)
     return rows.select(
         "user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("started"), F.unix_micros(F.col("end").cast("timestamp")).alias("ended"),
         "n", F.round("total", 4).alias("total"))
@@ -108,6 +107,6 @@ SELECT event_type, day, R6(n / (avg(n) OVER (PARTITION BY event_type ORDER BY da
 def _(t):
     from marketloom.operators.series import ordered, trailing
 
-    rows = streamed(t, lambda e: windows.tumbling(e, ["event_type"]), ["event_type"]).withColumn("day", F.to_date("start"))
+    rows = streamed(t, windows.tumbling, ["event_type"]).withColumn("day", F.to_date("start"))
     w = trailing(ordered(["event_type"], "day"), 7)
     return rows.select("event_type", "day", F.round(F.col("n") / (F.avg("n").over(w) + 0.1), 6).alias("news_shock"))

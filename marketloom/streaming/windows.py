@@ -1,62 +1,68 @@
-"""Event-time windows over a stream of events: tumbling, sliding, sessions, and sentiment features by day."""
+"""Windows over a stream of events: tumbling, sliding, sessions. No event is ever too late.
+
+Each micro-batch is reduced to partial windows, which are written under the batch's number; partial windows of one window
+add up, and partial sessions that overlap become one. So the result does not depend on how many files the events lie in,
+in which order these arrive or how many a trigger takes, no state is held in memory, and a batch repeated after a failure
+replaces its own folder.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.operators.ordering import first_per_key
-
 
 def timed(events: DataFrame) -> DataFrame:
-    """Event times as instants, which watermarks need; times without a zone count in the session's zone."""
+    """Event times as instants; times without a zone count in the session's zone."""
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def tumbling(events: DataFrame, keys: Sequence[str], width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def _totals(events: DataFrame, keys: Sequence[str], window: Column, *spread: Column) -> DataFrame:
+    rows = timed(events).groupBy(window.alias("window"), *keys, *spread).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
+
+
+def tumbling(events: DataFrame, keys: Sequence[str], width: str = "1 day") -> DataFrame:
+    return _totals(events, keys, F.window("ts", width))
+
+
+def sliding(events: DataFrame, keys: Sequence[str], width: str = "7 days", slide: str = "1 day") -> DataFrame:
+    return _totals(events, keys, F.window("ts", width, slide))
+
 
+def sessions(events: DataFrame, keys: Sequence[str], gap: str = "30 minutes") -> DataFrame:
+    """Partial sessions within a day, so the events of a hot key spread over its days; :func:`merged_sessions` joins them."""
+    return _totals(events, keys, F.session_window("ts", gap), F.to_date("ts").alias("_day"))
 
-def sliding(events: DataFrame, keys: Sequence[str], width: str = "7 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
-    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", width, slide), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
+def summed_windows(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial windows added up."""
+    return parts.groupBy("start", "end", *keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
-def sessions(events: DataFrame, keys: Sequence[str], gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    return timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("window"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
+def merged_sessions(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sessions from partial ones: those that overlap or touch are one. A key has at most a session per gap and batch."""
+    parts = summed_windows(parts, keys)
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0)
+    nth = F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_opens", opens).withColumn("_nth", nth).groupBy(*keys, "_nth").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("total").alias("total")).drop("_nth")
 
-def run_available(spark: SparkSession, path: str, schema: T.StructType, build: Callable[[DataFrame], DataFrame], output: str,
-                  checkpoint: str, keys: Sequence[str], mode: str = "update", files_per_batch: int = 100) -> DataFrame:
-    """Run a windowed aggregate over all files present and return its current rows.
 
-    Every trigger writes its windows under its own number. In update mode these are the changed ones, and the current
-    row of a window is the one of the highest number; in append mode they are the windows the watermark has closed.
-    State is bounded by the watermark and nothing passes through the driver.
-    """
+def run_available(spark: SparkSession, path: str, schema: T.StructType, build: Callable[[DataFrame, Sequence[str]], DataFrame], output: str,
+                  checkpoint: str, keys: Sequence[str], merge: Callable[[DataFrame, Sequence[str]], DataFrame] = summed_windows,
+                  files_per_batch: int = 100) -> DataFrame:
+    """Take in all files present that were not taken before, and return the windows of all events up to now."""
     def write(batch: DataFrame, number: int) -> None:
-        flat = batch.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in batch.columns if c != "window"])
-        flat.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        build(batch, keys).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
     query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start())
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    rows = spark.read.parquet(output)
-    if mode == "append":
-        return rows.drop("batch")
-    return first_per_key(rows, ["start", "end", *keys], [-F.col("batch")]).drop("batch")
-
-
-def open_sessions(events: DataFrame, keys: Sequence[str], gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions the watermark has not closed yet, from the table: what an append-mode stream still holds as state."""
-    timed_events = timed(events)
-    mark = timed_events.agg(F.max("ts") - F.expr(f"INTERVAL {late}") - F.expr(f"INTERVAL {gap}"))
-    rows = timed_events.groupBy(F.session_window("ts", gap).alias("window"), *keys).agg(
-        F.count("*").alias("n"), F.sum("value").alias("total"), F.max("ts").alias("_last"))
-    # The condition is on an aggregate: one on the window itself would be pushed below the merging of sessions.
-    kept = rows.filter(F.col("_last") > mark.scalar())
-    return kept.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
+    return merge(spark.read.parquet(output).drop("batch"), keys)
