@@ -53,14 +53,17 @@ def score_documents(spark: SparkSession, source: str, schema: T.StructType, outp
     """
     def write(batch: DataFrame, number: int) -> None:
         done = [p for p in existing_paths(spark, [f"{output}/scored/batch=*"]) if p]
-        fresh = first_per_key(batch, [key], [F.xxhash64(*[c for c in batch.columns if c != key])])
+        # Lines that are no documents have no key: they are rejected as they are, once per line.
+        broken = batch.filter(F.col(key).isNull())
+        fresh = first_per_key(batch.filter(F.col(key).isNotNull()), [key], [F.xxhash64(*[c for c in batch.columns if c != key])])
         if done:
             earlier = spark.read.option("basePath", f"{output}/scored").parquet(f"{output}/scored").filter(F.col("batch") != number)
             fresh = fresh.join(earlier.select(key), key, "left_anti")
         scored = scorer(fresh).withColumn("_ok", valid_scores()).persist()
         try:
             scored.filter("_ok").drop("_ok").write.mode("overwrite").parquet(f"{output}/scored/batch={number}")
-            scored.filter("NOT _ok").drop("_ok").write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
+            rejected = scored.filter("NOT _ok").drop("_ok").unionByName(broken, allowMissingColumns=True)
+            rejected.write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
         finally:
             scored.unpersist()
 
