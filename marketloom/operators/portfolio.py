@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.series import lagged, ordered, reversed_until_now, until_now
@@ -72,39 +73,58 @@ def nav_costed(df: DataFrame, keys: Sequence[str], **options) -> DataFrame:
     return out.drop("units", "action", "trade_units", "trade_price", "trade_cost")
 
 
+def _cash_of_trips(capital: float, keys: Sequence[str]):
+    """Cash before and after each trip of one series, and the place and price of its entry (none if never affordable)."""
+    def fold(trips: pd.DataFrame) -> pd.DataFrame:
+        cash, out = float(capital), []
+        trips = trips.sort_values("_trip")
+        for trip, prices, places, sell in zip(trips["_trip"], trips["_prices"], trips["_places"], trips["_sell"]):
+            entry = next(((p, i) for p, i in zip(prices, places) if p <= cash), (None, None))
+            after = cash if entry[0] is None or pd.isna(sell) else cash + cash // entry[0] * (sell - entry[0])
+            out.append((trip, cash, after, *entry))
+            cash = after
+        folded = pd.DataFrame(out, columns=["_trip", "_cash", "_after", "_entry", "_from"])
+        for k in keys:
+            folded[k] = trips[k].iloc[0]
+        return folded.astype({"_entry": "float64", "_from": "Int64"})
+
+    return fold
+
+
 def nav_whole_units(df: DataFrame, keys: Sequence[str], capital: float = 1_000_000.0, signal: str = "signal",
                     price: str = "close") -> DataFrame:
     """Value in whole units: a buy takes the floor of cash over price and keeps the rest as cash.
 
-    The floor makes cash depend on the trips before, so the trips of a series (a few hundred rows, one array) are
-    folded once and the cash before each trip is joined back to its days.
+    Where cash buys no unit, the series stays out and tries again on the next row that asks for a position. The floor
+    makes cash depend on the trips before, so the trips of a series, one row each, are folded in order. A trip offers
+    the fold only those prices that are lower than all before: the first affordable price is always one of them.
     """
+    keys = list(keys)
     w = ordered(keys)
     p = F.col(price)
+    opened = (F.col("_in") == 1) & (F.col("_was") == 0)
     rows = (
         df.withColumn("_acting", lagged(signal, w))
         .withColumn("_in", held(F.col("_acting"), w))
         .withColumn("_was", lagged("_in", w))
-        .withColumn("_trip", F.sum(((F.col("_in") == 1) & (F.col("_was") == 0)).cast("int")).over(until_now(w)))
-        .withColumn("_entry", F.last(F.when((F.col("_in") == 1) & (F.col("_was") == 0), p), ignorenulls=True).over(until_now(w))))
-    exits = F.when((F.col("_in") == 0) & (F.col("_was") == 1), F.struct(
-        F.col("_trip").alias("trip"), F.col("_entry").alias("buy"), p.alias("sell")))
-    trips = F.array_sort(F.collect_list(exits))
-    cash_after = F.aggregate(
-        "trips", F.array(F.lit(float(capital))),
-        lambda acc, t: F.concat(acc, F.array(
-            F.element_at(acc, -1) + F.floor(F.element_at(acc, -1) / t["buy"]) * (t["sell"] - t["buy"]))))
-    cash = (
-        rows.groupBy(*keys).agg(trips.alias("trips"))
-        .select(*keys, F.posexplode(cash_after).alias("_done", "_cash")))
-    sold = ((F.col("_in") == 0) & (F.col("_trip") > 0)).cast("int")
+        .withColumn("_nth", F.row_number().over(w).cast("long"))
+        .withColumn("_trip", F.sum(opened.cast("int")).over(until_now(w))))
+    asked = F.when((F.col("_in") == 1) & (F.col("_acting") == 1), p)
+    earlier = Window.partitionBy(*keys, "_trip").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    lower = asked < F.coalesce(F.min(asked).over(earlier), F.lit(float("inf")))
+    offers = F.array_sort(F.collect_list(F.when(F.col("_lower"), F.struct(F.col("_nth").alias("i"), p.cast("double").alias("p")))))
+    trips = (
+        rows.filter("_trip > 0").withColumn("_lower", lower).groupBy(*keys, "_trip")
+        .agg(offers.alias("_offers"), F.max(F.when((F.col("_in") == 0) & (F.col("_was") == 1), p.cast("double"))).alias("_sell"))
+        .select(*keys, "_trip", F.col("_offers.p").alias("_prices"), F.col("_offers.i").alias("_places"), "_sell"))
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    cash = trips.groupBy(*keys).applyInPandas(_cash_of_trips(capital, keys), ", ".join(["_trip long, _cash double, _after double, _entry double, _from long", *kinds]))
+    inside = (F.col("_in") == 1) & (F.col("_nth") >= F.col("_from"))
     return (
-        rows.withColumn("_done", F.greatest(F.col("_trip") - 1, F.lit(0)) + sold)
-        .join(cash, [*keys, "_done"])
-        .withColumn("nav", F.when(
-            F.col("_in") == 1, F.col("_cash") + F.floor(F.col("_cash") / F.col("_entry")) * (p - F.col("_entry"))
-        ).otherwise(F.col("_cash")))
-        .drop("_acting", "_in", "_was", "_trip", "_entry", "_done", "_cash"))
+        rows.join(cash, [*keys, "_trip"], "left")
+        .withColumn("nav", F.when(inside, F.col("_cash") + F.floor(F.col("_cash") / F.col("_entry")) * (p - F.col("_entry")))
+                    .when(F.col("_in") == 1, F.col("_cash")).otherwise(F.coalesce("_after", F.lit(float(capital)))))
+        .drop("_acting", "_in", "_was", "_nth", "_trip", "_cash", "_after", "_entry", "_from"))
 
 
 def trade_log(positions: DataFrame, keys: Sequence[str]) -> DataFrame:

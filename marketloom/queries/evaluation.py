@@ -7,6 +7,7 @@ from marketloom.operators.series import ordered
 from marketloom.queries.features import RSI_SIGNAL, strength_signal
 from marketloom.queries.registry import query
 from marketloom.queries.sentiment import rounded
+from marketloom.session import settle
 
 K = ["model", "market"]
 M = ["market"]
@@ -29,20 +30,29 @@ def _(t):
     return rounded(nav.select("model", "market", "date", "nav"), "nav", places=2)
 
 
+#: Capital that seldom buys a unit of the fixture's prices at once, so entries wait for a lower one.
+SMALL_CAPITAL = 101.0
+
+
 @query("B04_whole_unit_value", f"""
 WITH RECURSIVE a AS (SELECT model, market, date, close, coalesce(lag(signal) OVER ({W}), 0) AS held FROM sig),
 b AS (SELECT *, coalesce(lag(held) OVER ({W}), 0) AS was FROM a),
-c AS (SELECT *, sum(CASE WHEN held = 1 AND was = 0 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS trip,
-        last_value(CASE WHEN held = 1 AND was = 0 THEN close END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS entry FROM b),
-s AS (SELECT model, market, CAST(trip AS BIGINT) AS trip, entry, close FROM c WHERE held = 0 AND was = 1),
-r AS (SELECT DISTINCT model, market, CAST(0 AS BIGINT) AS done, CAST(1000000 AS DOUBLE) AS cash FROM sig
-      UNION ALL SELECT r.model, r.market, s.trip, r.cash + floor(r.cash / s.entry) * (s.close - s.entry) FROM r JOIN s ON s.model = r.model AND s.market = r.market AND s.trip = r.done + 1)
-SELECT c.model, c.market, c.date, R2(CASE WHEN held = 1 THEN cash + floor(cash / entry) * (close - entry) ELSE cash END) AS nav
-FROM c JOIN r ON r.model = c.model AND r.market = c.market AND r.done = greatest(c.trip - 1, 0) + CASE WHEN held = 0 AND c.trip > 0 THEN 1 ELSE 0 END
+c AS (SELECT *, sum(CASE WHEN held = 1 AND was = 0 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS trip FROM b),
+s AS (SELECT model, market, CAST(trip AS BIGINT) AS trip, list({{'d': date, 'p': close}} ORDER BY date) FILTER (held = 1) AS asked,
+             max(CASE WHEN held = 0 AND was = 1 THEN close END) AS sold FROM c WHERE trip > 0 GROUP BY model, market, trip),
+r AS (SELECT DISTINCT model, market, k.capital, CAST(0 AS BIGINT) AS trip, CAST(NULL AS STRUCT(d DATE, p DOUBLE)) AS entry, k.capital AS cash, k.capital AS after
+      FROM sig, (VALUES (CAST(1000000 AS DOUBLE)), (CAST({SMALL_CAPITAL} AS DOUBLE))) k(capital)
+      UNION ALL SELECT e.model, e.market, e.capital, e.trip, e.entry, e.cash, e.cash + coalesce(floor(e.cash / e.entry.p) * (e.sold - e.entry.p), 0)
+      FROM (SELECT r.model, r.market, r.capital, s.trip, s.sold, r.after AS cash, list_filter(s.asked, lambda x: x.p <= r.after)[1] AS entry
+            FROM r JOIN s ON s.model = r.model AND s.market = r.market AND s.trip = r.trip + 1) e)
+SELECT r.capital, c.model, c.market, c.date, R2(CASE WHEN held = 0 THEN after WHEN c.date >= entry.d THEN cash + floor(cash / entry.p) * (close - entry.p) ELSE cash END) AS nav
+FROM c JOIN r ON r.model = c.model AND r.market = c.market AND r.trip = c.trip
 """, ("sig",))
 def _(t):
-    nav = portfolio.nav_whole_units(t.sig, K)
-    return rounded(nav.select("model", "market", "date", "nav"), "nav", places=2)
+    sig = settle(t.sig)
+    both = [portfolio.nav_whole_units(sig, K, capital).select(F.lit(capital).alias("capital"), "model", "market", "date", "nav")
+            for capital in (1_000_000.0, SMALL_CAPITAL)]
+    return rounded(both[0].union(both[1]), "nav", places=2)
 
 
 LOG = "log AS (SELECT model, market, date, action, trade_units AS units, trade_price AS price, trade_cost AS cost FROM pos WHERE action IS NOT NULL)"
@@ -412,7 +422,6 @@ def _(t):
 SELECT market, arg_max(model, sharpe_ratio) FILTER (model <> 'Buy&Hold') AS best_model, R6(max(sharpe_ratio) FILTER (model <> 'Buy&Hold')) AS sharpe_ratio, arg_max(model, sharpe_ratio) AS best_with_benchmark FROM met GROUP BY market
 """, ("nav", "ret"))
 def _(t):
-    from marketloom.session import settle
 
     m = settle(performance.return_metrics(t.nav, K))
     with_all = performance.best_model(m, M, None).select("market", F.col("best_model").alias("best_with_benchmark"))
@@ -433,7 +442,6 @@ WITH s AS (SELECT max(d) AS start FROM (SELECT market, min(date) AS d FROM px GR
 SELECT market, date, R6(close / first_value(close) OVER (PARTITION BY market ORDER BY date) * 100) AS rebased FROM px WHERE date >= (SELECT start FROM s)
 """, ("px",))
 def _(t):
-    from marketloom.session import settle
 
     px = settle(t.px.select("market", "date", F.col("close").alias("nav")))
     return rounded(performance.common_start(px, "market").select("market", "date", "rebased"), "rebased")
