@@ -1,20 +1,31 @@
-"""Exponentially decayed scans without overflow: ``y(t) = d^(t - t') · y(t') + x(t)``.
+"""Exponentially decayed scans without overflow: ``y(t) = d^(t - t') · y(t') + x(t)``, for any d from 0 to 1.
 
 The one-window closed form ``d^t · Σ x_i · d^(-i)`` overflows a double after some thousand steps. Here positions fall
-into blocks of 512 steps; the rescaled sum stays inside one block, and the value carried into a block is folded from
-the totals of the eight blocks before it, past which the weight left is below double precision for d ≤ 13/14.
-All windows share the partitioning by key.
+into blocks, at most 512 steps long and short enough for ``d^-block`` to stay finite; the rescaled sum stays inside one
+block, and the value carried into a block is folded from the totals of the blocks before it, back to where the weight left
+is below double precision (for d = 1 all of them). All windows share the partitioning by key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 512
-CARRY = 8
+LONGEST = 512
+
+
+def blocks_of(decay: float) -> tuple[int, int | None]:
+    """Steps of a block, and the blocks before one that still weigh (None: all)."""
+    if not 0 <= decay <= 1:
+        raise ValueError(f"decay must lie between 0 and 1: {decay}")
+    if decay in (0, 1):
+        return (1, 1) if decay == 0 else (LONGEST, None)
+    rate = -math.log(decay)
+    block = max(1, min(LONGEST, int(460 / rate)))  # e^460 is about 1e200
+    return block, math.ceil(42 / (rate * block))   # e^-42 is below 1e-18
 
 
 def decayed_sum(df: DataFrame, keys: Sequence[str], position: Column, values: dict[str, Column], decay: float) -> DataFrame:
@@ -22,14 +33,13 @@ def decayed_sum(df: DataFrame, keys: Sequence[str], position: Column, values: di
 
     ``position`` is an integer step (row number or day number), unique within a key.
     """
-    if decay ** (BLOCK * CARRY) > 1e-15:
-        raise ValueError("decay too slow for the carried blocks")
-    step = F.col("_p") - F.col("_b") * BLOCK
+    block, carried = blocks_of(decay)
+    step = F.col("_p") - F.col("_b") * block
     in_block = Window.partitionBy(*keys, "_b").orderBy("_p")
-    before = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-CARRY, -1)
+    before = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-carried if carried else Window.unboundedPreceding, -1)
     out = (
         df.withColumn("_p", position.cast("long"))
-        .withColumn("_b", F.floor(F.col("_p") / BLOCK))
+        .withColumn("_b", F.floor(F.col("_p") / block))
         .withColumn("_last", F.lead("_p").over(in_block).isNull()))
     running = in_block.rowsBetween(Window.unboundedPreceding, 0)
     for name, value in values.items():
@@ -39,7 +49,7 @@ def decayed_sum(df: DataFrame, keys: Sequence[str], position: Column, values: di
         totals = F.collect_list(total).over(before)
         # A block's sum is scaled to its own start; moving it to this block's start decays it by whole blocks.
         carry = F.aggregate(
-            totals, F.lit(0.0), lambda acc, x: acc + x["s"] * F.pow(F.lit(decay ** BLOCK), (F.col("_b") - x["b"]).cast("double")))
+            totals, F.lit(0.0), lambda acc, x: acc + x["s"] * F.pow(F.lit(decay ** block), (F.col("_b") - x["b"]).cast("double")))
         out = out.withColumn(f"_c_{name}", carry)
     kept = [c for c in out.columns if not c.startswith("_")]
     return out.select(*kept, *[

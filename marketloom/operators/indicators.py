@@ -100,15 +100,15 @@ def detected_frequency(df: DataFrame, keys: Sequence[str], value: str = "value")
 
 
 def shifted(df: DataFrame, keys: Sequence[str], lags: DataFrame, value: str = "value") -> DataFrame:
-    """Each series lagged by its own number of rows.
+    """Each series lagged by its own number of rows, whatever it is: rows meet the row that many places before by an equi-join.
 
-    Only the lags of the fixed table occur, so one column per distinct lag and a choice among them covers all series.
+    A null lag gives null values.
     """
-    w = ordered(keys)
-    with_lag = df.join(lags.select(*keys, "lag_rows"), list(keys))
-    choices = sorted(set(LAGS.values()))
-    out = F.coalesce(*[F.when(F.col("lag_rows") == n, F.lag(value, n).over(w)) for n in choices])
-    return with_lag.withColumn(value, out).withColumn("name", F.concat_ws("_", *keys, "lag_rows"))
+    keys = list(keys)
+    rows = df.join(lags.select(*keys, "lag_rows"), keys).withColumn("_nth", F.row_number().over(ordered(keys)))
+    earlier = rows.select(*keys, (F.col("_nth") + F.col("lag_rows")).alias("_nth"), F.col(value).alias("_earlier"))
+    out = rows.join(earlier, [*keys, "_nth"], "left").withColumn(value, F.col("_earlier")).drop("_nth", "_earlier")
+    return out.withColumn("name", F.concat_ws("_", *keys, "lag_rows"))
 
 
 def wide(df: DataFrame, names: Sequence[str], name: str = "indicator", value: str = "value") -> DataFrame:

@@ -23,13 +23,13 @@ from marketloom.operators.series import ordered
 
 @dataclass(frozen=True)
 class Split:
-    """Row counts of a walk-forward split."""
+    """Row counts of a walk-forward split; ``most`` walks at most, all that the series has room for if None."""
 
     train: int
     validation: int
     test: int
     step: int
-    most: int
+    most: int | None = None
     offset: int = 0
     reserve: int = 0
     clip: bool = False
@@ -39,9 +39,9 @@ class Split:
         return self.train + self.validation + self.test
 
 
-# The daily and weekly splits.
-DAILY = Split(700, 150, 200, 150, 10, reserve=60)
-WEEKLY = Split(180, 20, 30, 20, 14, offset=12, reserve=12, clip=True)
+# The daily and weekly splits. The published runs stop after 10 and 14 walks (``most``).
+DAILY = Split(700, 150, 200, 150, reserve=60)
+WEEKLY = Split(180, 20, 30, 20, offset=12, reserve=12, clip=True)
 
 
 def label(c: str = "log_return") -> Column:
@@ -53,7 +53,9 @@ def assign_walks(df: DataFrame, keys: Sequence[str], split: Split, date: str = "
     """Long (walk, role) assignment; a row appears once in each walk whose window covers it."""
     rows = df.withColumn("_i", F.row_number().over(ordered(keys, date)) - 1).withColumn(
         "_n", F.count("*").over(Window.partitionBy(*keys)))
-    walks = F.least(F.floor((F.col("_n") - split.length - split.reserve) / split.step) + 1, F.lit(split.most))
+    walks = F.floor((F.col("_n") - split.length - split.reserve) / split.step) + 1
+    if split.most is not None:
+        walks = F.least(walks, F.lit(split.most))
     at = F.col("_i") - split.offset
     first = F.greatest(F.ceil((at - (split.length - 1)) / split.step), F.lit(0))
     last = F.least(F.floor(at / split.step), walks - 1)

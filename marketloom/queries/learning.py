@@ -21,17 +21,17 @@ def _(t):
 
 WALKS = """
 n AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY market) AS n FROM {src}),
-k AS (SELECT n.*, w.range AS walk, i - {off} - w.range * {step} AS place FROM n, range({most}) w
+k AS (SELECT n.*, w.range AS walk, i - {off} - w.range * {step} AS place FROM n, unnest(range(n.n // {step} + 1)) AS w(range)
       WHERE w.range < floor((n - {length} - {reserve}) / {step}) + 1 AND i - {off} - w.range * {step} BETWEEN 0 AND {length} - 1 {whole}),
 walks AS (SELECT *, CASE WHEN place < {train} THEN 'train' WHEN place < {train} + {val} THEN 'val' ELSE 'test' END AS role FROM k)
 """
-DAILY_WALKS = WALKS.format(src="px", off=0, step=150, most=10, length=1050, reserve=60, train=700, val=150, whole="AND w.range * 150 + 1050 <= n")
+DAILY_WALKS = WALKS.format(src="px", off=0, step=150, length=1050, reserve=60, train=700, val=150, whole="AND w.range * 150 + 1050 <= n")
 
 WEEKS = """
 week AS (SELECT market, max(date) AS date, arg_max(close, date) AS close, avg(vwap) AS vwap, sum(volume) AS volume, sum(turnover) AS turnover
          FROM px GROUP BY market, date_trunc('week', date) HAVING count(*) >= 3)
 """
-WEEKLY_WALKS = WALKS.format(src="week", off=12, step=20, most=14, length=230, reserve=12, train=180, val=20, whole="")
+WEEKLY_WALKS = WALKS.format(src="week", off=12, step=20, length=230, reserve=12, train=180, val=20, whole="")
 
 
 @query("A17_weekly_roll_up", "WITH " + WEEKS + "SELECT market, date, close, R6(vwap) AS vwap, volume, R2(turnover) AS turnover FROM week", ("px",))
