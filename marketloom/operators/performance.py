@@ -263,9 +263,9 @@ def pivot_metrics(long: DataFrame, keys: Sequence[str], names: Sequence[str], na
 
 
 def best_model(metrics: DataFrame, keys: Sequence[str], benchmark: str | None, score: str = "sharpe_ratio", model: str = "model") -> DataFrame:
-    """Model with the highest score per key, without the benchmark where one is named."""
+    """Model with the highest score per key, without the benchmark where one is named; of equal ones the last by name."""
     rows = metrics if benchmark is None else metrics.filter(F.col(model) != benchmark)
-    return rows.groupBy(*keys).agg(F.max_by(model, score).alias("best_model"), F.max(score).alias(score))
+    return rows.groupBy(*keys).agg(F.max_by(model, F.when(F.col(score).isNotNull(), F.struct(score, model))).alias("best_model"), F.max(score).alias(score))
 
 
 def frontier(metrics: DataFrame, keys: Sequence[str], risk: str, gain: str) -> DataFrame:

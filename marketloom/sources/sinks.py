@@ -44,7 +44,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
 def latest_results(registry: DataFrame, keys: Sequence[str], stamp: str = "ts") -> DataFrame:
     """Current row per key of an append-only registry, as an aggregate over (stamp, row)."""
     rest = [c for c in registry.columns if c not in keys]
-    newest = registry.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(stamp)).alias("_row"))
+    newest = registry.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(stamp), F.to_json(F.struct(*rest)))).alias("_row"))
     return newest.select(*keys, "_row.*").select(*registry.columns)
 
 
