@@ -122,12 +122,14 @@ def license_matches(documents: DataFrame, templates: dict[str, str] = TEMPLATES,
             "doc_id", "row", "word", F.slice("w", F.col("word"), 2 * longest).alias("w"))
         window = window.filter((F.size("w") >= SHINGLE) & F.arrays_overlap("w", F.array(*[F.lit(a) for a in anchor])))
         window = staged(window.select("doc_id", "row", "word", _shingles(F.col("w")).alias("s")), "windows")
+        # The templates are a parameter held by the driver, and their bands too, so both are small enough to travel; a template
+        # that most documents carry is then no key of a shuffle.
         known = spark.createDataFrame([(k, template_shingles(t)) for k, t in group.items()], "template string, t array<string>")
         banded = known.select("template", "t", F.explode(_minima(F.col("t"), n)).alias("m"))
         hits = (
             window.select("row", "word", F.explode(_minima(F.col("s"), n)).alias("m"))
-            .join(banded.select("template", "m"), "m").select("row", "word", "template").distinct())
-        exact = hits.join(window, ["row", "word"]).join(known, "template").select(
+            .join(F.broadcast(banded.select("template", "m")), "m").select("row", "word", "template").distinct())
+        exact = hits.join(window, ["row", "word"]).join(F.broadcast(known), "template").select(
             "doc_id", "row", "template", "word", F.size(F.array_intersect("s", "t")).cast("long").alias("n_found"), F.size("t").cast("long").alias("n_template"))
         found.append(exact.filter(F.col("n_found") >= CONTAINMENT * F.col("n_template")))
     best = reduce(DataFrame.union, found).groupBy("doc_id", "row", "template", "n_template").agg(
