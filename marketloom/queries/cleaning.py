@@ -101,16 +101,16 @@ def _(t):
         "n_nationkey", "name", indicators.english_name(F.col("name")).alias("english"), indicators.region_of(F.col("name")).alias("region"))
 
 
+NAMES = ["M_A", "M_N", "M_R", "Q_F", "Q_O", "D_ALL"]
+
+
 @query("P22_lag_suffix", """
-WITH d AS (SELECT indicator, date, value FROM ind WHERE indicator = 'D_ALL')
-SELECT date, lag(value) OVER (ORDER BY date) AS "D_ALL_1" FROM d
+WITH d AS (SELECT indicator, date, lag(value) OVER (PARTITION BY indicator ORDER BY date) AS value FROM ind)
+SELECT date, """ + ", ".join(f"max(CASE WHEN indicator = '{n}' THEN value END) AS \"{n}_1\"" for n in NAMES) + """ FROM d GROUP BY date
 """, ("ind",))
 def _(t):
-    d = t.ind.filter("indicator = 'D_ALL'")
-    return d.withColumn("value", F.lag("value", 1).over(ordered(["indicator"]))).select("date", "value").withColumnRenamed("value", "D_ALL_1")
-
-
-NAMES = ["M_A", "M_N", "M_R", "Q_F", "Q_O", "D_ALL"]
+    lagged = t.ind.withColumn("value", F.lag("value", 1).over(ordered(["indicator"])))
+    return indicators.wide(lagged, NAMES).withColumnsRenamed({n: f"{n}_1" for n in NAMES})
 
 
 @query("J02_indicator_join", SPINE + """

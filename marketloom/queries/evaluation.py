@@ -550,13 +550,13 @@ def _(t):
 
 
 @query("B25_return_density", """
-WITH s AS (SELECT market, min(r) AS lo, max(r) AS hi, count(*) AS n, stddev_samp(r) AS sd, avg(r) AS mu FROM ret WHERE model = 'Buy&Hold' GROUP BY market),
+WITH s AS (SELECT model, market, min(r) AS lo, max(r) AS hi, count(*) AS n, stddev_samp(r) AS sd, avg(r) AS mu FROM ret GROUP BY model, market),
 g AS (SELECT *, range AS point, lo + range * (hi - lo) / 199 AS x, sd * pow(n, -0.2) AS h FROM s, range(200))
-SELECT g.market, point, R6(any_value(x)) AS x, R6(sum(exp(-0.5 * ((x - r) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))) AS density, R6(any_value(exp(-0.5 * ((x - mu) / sd) ** 2) / (sd * sqrt(2 * pi())))) AS normal
-FROM g JOIN ret ON ret.market = g.market AND ret.model = 'Buy&Hold' GROUP BY g.market, point
+SELECT g.model, g.market, point, R6(any_value(x)) AS x, R6(sum(exp(-0.5 * ((x - r) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))) AS density, R6(any_value(exp(-0.5 * ((x - mu) / sd) ** 2) / (sd * sqrt(2 * pi())))) AS normal
+FROM g JOIN ret ON ret.market = g.market AND ret.model = g.model GROUP BY g.model, g.market, point
 """, ("ret",))
 def _(t):
-    d = statistics.kernel_density(t.ret.filter("model = 'Buy&Hold'").select("market", "r"), M)
+    d = statistics.kernel_density(t.ret.select(*K, "r"), K)
     return rounded(d.withColumn("point", F.col("point").cast("long")), "x", "density", "normal")
 
 

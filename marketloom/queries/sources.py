@@ -82,10 +82,10 @@ def jsonl_folder(t):
 DOCS = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content, source, lang AS section, CAST(publish_date AS VARCHAR) AS publish_date FROM scored"
 
 
-@query("S06_jsonl_scan", DOCS + " WHERE source <> 'regional_b'", ("scored",))
+@query("S06_jsonl_scan", DOCS, ("scored",))
 def _(t):
     path = jsonl_folder(t)
-    df = documents.scan_jsonl(t.spark, [f"{path}/source=national", f"{path}/source=regional_a", f"{path}/source=absent"])
+    df = documents.scan_jsonl(t.spark, [f"{path}/source={s}" for s in ("national", "regional_a", "regional_b", "absent")])
     return df.filter("_bad_line IS NULL").select("doc_id", "content", "source", "section", "publish_date")
 
 
