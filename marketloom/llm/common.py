@@ -15,9 +15,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and reread: cuts lineage, survives lost executors, and gives the planner true sizes."""
+    """Write to the shared folder and reread: cuts lineage, survives lost executors, and gives the planner true sizes.
+
+    Written with zstd: these tables carry whole texts or sketches, and the folder's space and network are what they cost.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
