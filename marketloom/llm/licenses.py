@@ -107,8 +107,9 @@ def license_matches(documents: DataFrame, templates: dict[str, str] = TEMPLATES,
     """Per document and template with a window of at least ``CONTAINMENT``: doc_id, template, n_found, n_template, containment, word (of the window)."""
     spark = documents.sparkSession
     anchor = anchors(templates)
-    holds = r"\b(?:" + "|".join(anchor) + r")\b"
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(f"(?i){holds}"))
+    # Word ends as the words below have them: an underscore or a letter beyond a-z ends a word too.
+    holds = "(?<![a-z0-9])(?:" + "|".join(anchor) + ")(?![a-z0-9])"
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.lower("text").rlike(holds))
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     docs = staged(docs.select("doc_id", words.alias("w")).withColumn("row", F.monotonically_increasing_id()), "licensed")
     found = []

@@ -103,6 +103,8 @@ def test_licenses(spark, odd, empty):
     got = {(r.doc_id, r.template): round(r.containment, 3) for r in licenses.license_matches(docs).collect()}
     assert got[1, "MIT-notice"] == 1 and 0.8 <= got[2, "MIT-notice"] < 1 and got[3, "MIT"] == 1 and (None, "MIT-notice") in got
     assert not [k for k in got if k[0] in (4, 6)]
+    glued = spark.createDataFrame([(1, f"é{notice.replace(' ', '_')}é"), (2, notice.upper())], "doc_id long, text string")
+    assert sorted((r.doc_id, r.template) for r in licenses.license_matches(glued).collect()) == [(1, "MIT-notice"), (2, "MIT-notice")]
     assert licenses.license_matches(odd).count() == 0 and licenses.license_matches(empty).count() == 0
     for group in licenses.classes(licenses.TEMPLATES):
         sizes = [len(licenses.template_words(t)) for t in group.values()]
