@@ -272,3 +272,40 @@ def test_pipeline_stages(spark, items):
     sizes = Counter(r.shard for r in final.collect())
     assert sizes and max(sizes.values()) - min([sizes.get(s, 0) for s in range(16)]) <= 1
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]).count('"') == 10
+
+
+def cut_edges(got, groups):
+    """Pairs of one group in different shards, by brute force."""
+    return sum(got[a] != got[b] for g in groups for k, a in enumerate(g) for b in g[k + 1:])
+
+
+def test_sharding_follows_the_rounds(spark):
+    texts = {i: f"copy {i // 5}" if i < 600 else f"text {i}" for i in range(1000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = [range(i, i + 5) for i in range(0, 600, 5)]
+    cut, moved = [], []
+    for rounds in (0, 4):
+        got = {r.doc_id: r.shard for r in sharding.sharded(docs, rounds=rounds).collect()}
+        sizes = Counter(got.values())
+        assert len(got) == 1000 and max(sizes.values()) - min(sizes.values()) <= 1
+        cut.append(cut_edges(got, groups))
+        moved.append(got)
+    # A group of five by hash alone has about 9 of its 10 pairs cut.
+    assert cut[0] > 1000 and cut[1] < cut[0] / 20 and moved[0] != moved[1]
+
+
+def test_accepted_moves_keep_quotas():
+    import random
+
+    r = random.Random(5)
+    for _ in range(200):
+        load = [r.randrange(40, 60) for _ in range(5)]
+        asks = [(s, t, level, r.randrange(1, 4)) for s in range(5) for t in range(5) if s != t for level in r.sample(range(256), 3)]
+        cut = sharding.accepted(asks, load, 52)
+        size = list(load)
+        for s, t, level, n in asks:
+            if level >= cut.get((s, t), 999):
+                size[s] -= n
+                size[t] += n
+        assert all(x <= max(52, y) for x, y in zip(size, load)) and sum(size) == sum(load)
+    assert sharding.dealt({b"a": {0: 5, 1: 9}, b"b": {1: 4}}, 3, 6) == {b"a": {1: 6, 0: 6, 2: 2}, b"b": {2: 4}}
