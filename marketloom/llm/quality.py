@@ -2,7 +2,8 @@
 
 A document's character-class histogram and its histogram over common words of its language are compared with the
 references of that language by Jensen-Shannon distance (base 2, from 0 to 1). The references are summed over all documents
-that pass the base rules. Each test has a guard of a least length below which its histogram says too little.
+that pass the base rules. Each test has a guard of a least length below which its histogram says too little. The SQL of
+the query counts common words alone and guards by their number; :func:`kept_documents` adds a bin for all other words.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null or unlisted language is judged by the
 characters of all such documents together, and has no word test; repeated rows are judged one by one; other columns are
@@ -27,6 +28,9 @@ COMMON_WORDS = {
 CLASSES = (r"\P{Lu}+", r"\P{N}+", r"""[^.,;:!?'"()\-]+""", r"[\p{L}\p{N}\s.,;:!?'\"()\-]+")
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.3, 200
 MAX_WORD_DISTANCE, MIN_COMMON = 0.45, 60
+#: The word test with a bin for all other words: its guard is the length of the text, not what was found in it. Below 100
+#: words these histograms are too noisy: clean texts of 60 words fail by chance.
+MAX_WHOLE_DISTANCE, MIN_WHOLE = 0.22, 100
 
 
 def _let(value: Column, body) -> Column:
@@ -131,8 +135,12 @@ def _measured(documents: DataFrame, text_col: str, lang_col: str, carry: list[st
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _judged(measured: DataFrame) -> DataFrame:
+def _judged(measured: DataFrame, whole: bool = False) -> DataFrame:
+    """``whole`` adds all words that are not common to the word histograms, and guards that test by n_words."""
     bins, words = len(CLASSES) + 2, len(next(iter(COMMON_WORDS.values())))
+    if whole:
+        found = F.aggregate("_common", F.lit(0).cast("long"), lambda t, x: t + x)
+        measured, words = measured.withColumn("_common", F.concat("_common", F.array(F.col("n_words") - found))), words + 1
     reference = measured.filter("not base_failed").groupBy("_lang").agg(
         F.array(*[F.sum(F.get("_classes", F.lit(i))) for i in range(bins)]).alias("_ref_classes"),
         F.array(*[F.sum(F.get("_common", F.lit(i))) for i in range(words)]).alias("_ref_common"))
@@ -140,26 +148,30 @@ def _judged(measured: DataFrame) -> DataFrame:
     joined = measured.join(staged(reference, "references"), "_lang", "left")
     chars = F.aggregate("_classes", F.lit(0).cast("long"), lambda t, x: t + x)
     common = F.coalesce(F.aggregate("_common", F.lit(0).cast("long"), lambda t, x: t + x), F.lit(0))
+    long_enough, most = (F.col("n_words") >= MIN_WHOLE, MAX_WHOLE_DISTANCE) if whole else (common >= MIN_COMMON, MAX_WORD_DISTANCE)
     far = joined.select(
         "*", F.when(chars >= MIN_CHARS, js_distance(F.col("_classes"), F.col("_ref_classes"), bins)).alias("class_distance"),
-        F.when(common >= MIN_COMMON, js_distance(F.col("_common"), F.col("_ref_common"), words)).alias("word_distance"))
-    odd = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+        F.when(long_enough, js_distance(F.col("_common"), F.col("_ref_common"), words)).alias("word_distance"))
+    odd = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > most)
     return far.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
-def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
     """Per row: the id, base counts, base_failed, both distances (null where guarded) and kept."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     measured = staged(_measured(docs, "text", "lang", ["doc_id"]), "quality")
-    return _judged(measured).select(
+    return _judged(measured, whole).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "class_distance", "word_distance", "kept")
 
 
 def kept_documents(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows the rules keep, with all their columns: each row is judged by the text it carries, no id is joined."""
+    """The rows the rules keep, with all their columns: each row is judged by the text it carries, no id is joined.
+
+    The word test is the whole one: missing function words count, at any length from ``MIN_WHOLE`` words on.
+    """
     packed = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
         F.col(text_col).alias("_text"), F.col(lang_col).alias("_language"))
     measured = staged(_measured(packed, "_text", "_language", ["_row"]), "quality")
-    return _judged(measured).filter("kept").select("_row.*")
+    return _judged(measured, whole=True).filter("kept").select("_row.*")

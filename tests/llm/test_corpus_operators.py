@@ -309,3 +309,14 @@ def test_accepted_moves_keep_quotas():
                 size[t] += n
         assert all(x <= max(52, y) for x, y in zip(size, load)) and sum(size) == sum(load)
     assert sharding.dealt({b"a": {0: 5, 1: 9}, b"b": {1: 4}}, 3, 6) == {b"a": {1: 6, 0: 6, 2: 2}, b"b": {2: 4}}
+
+
+def test_kept_texts_have_function_words_in_long_texts(spark):
+    import random
+
+    r = random.Random(11)
+    words = [f"noun{i}" for i in range(500)]
+    clean = [" ".join(r.choice(quality.COMMON_WORDS["en"]) if r.random() < 0.3 else r.choice(words) for _ in range(n)) for n in (60, 120, 400) * 20]
+    lists = [" ".join(r.choice(words) for _ in range(n)) for n in (120, 400)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + lists)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.kept_documents(docs).collect()} == set(range(60))
