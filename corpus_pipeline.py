@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents stays."""
-    gone = staged(jaccard.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    """The document with the smallest doc_id of each group of linked documents stays: five-word shingles, 0.8 in common."""
+    gone = staged(jaccard.jaccard_components(docs, words=5, num=80, den=100).filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -320,3 +320,22 @@ def test_kept_texts_have_function_words_in_long_texts(spark):
     lists = [" ".join(r.choice(words) for _ in range(n)) for n in (120, 400)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + lists)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in quality.kept_documents(docs).collect()} == set(range(60))
+
+
+def test_near_copies_between_both_thresholds(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(4)
+    texts = {}
+    for _ in range(6):
+        words = [f"v{r.randrange(9000)}" for _ in range(300)]
+        for replaced in (0, 3, 5, 8):
+            copy = list(words)
+            for at in r.sample(range(20, 280), replaced):
+                copy[at] = f"new{r.randrange(9000)}"
+            texts[len(texts)] = " ".join(copy)
+    want, query = ({i for i, (_, c) in brute_components(texts, *how).items() if c == i} for how in ((5, 80, 100), (3, 90, 100)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()} == want != query
