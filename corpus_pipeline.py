@@ -34,7 +34,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.sharded(docs)
+    """Equal texts are gone by now; what still links documents is their source and the long passages they share."""
+    source = F.when(F.col("source").isNotNull(), F.array(F.xxhash64("source")))
+    return sharding.sharded(docs, links=F.concat(sharding.passage_links(F.col("text")), F.coalesce(source, F.array().cast("array<bigint>"))))
 
 
 STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_copies), ("benchmark decontamination", drop_contaminated),

@@ -339,3 +339,80 @@ def test_near_copies_between_both_thresholds(spark):
     want, query = ({i for i, (_, c) in brute_components(texts, *how).items() if c == i} for how in ((5, 80, 100), (3, 90, 100)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()} == want != query
+
+
+def test_decontamination_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    items = [contamination.normalised_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if r.item_id is not None]
+    wanted = {tuple(w[i: i + 13]) for w in items if w for i in range(max(1, len(w) - 12))}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = set()
+    for r in docs.collect():
+        w, hit = contamination.normalised_words(r.text), set()
+        for n in {len(x) for x in wanted}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i: i + n]) in wanted:
+                    hit.update(range(i, i + n))
+        if not hit or 20 * len(hit) < len(w):
+            want.add(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, SMALL).collect()} == want
+
+
+def brute_mix(docs):
+    tokens = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    node = {r.doc_id: (f"domain{int(r.source[-1]) % 3}", r.lang, r.source) for r in docs}
+    budget = {(): int(sum(tokens.values()) * 0.6)}
+    for depth in range(3):
+        for parent in [p for p in budget if len(p) == depth]:
+            held = Counter()
+            for i, n in tokens.items():
+                if node[i][:depth] == parent:
+                    held[node[i][: depth + 1]] += n
+            weight = {k: mixing.WEIGHTS["lang"].get(k[1], 100) if depth == 1 else 100 for k in held}
+            left, open_ = budget[parent], set(held)
+            # Children that cannot fill their share are full; what they leave goes to the others.
+            while full := {k for k in open_ if held[k] * sum(weight[j] for j in open_) <= left * weight[k]}:
+                left -= sum(held[k] for k in full)
+                open_ -= full
+                budget.update((k, held[k]) for k in full)
+                if not open_:
+                    break
+            budget.update((k, min(held[k], int(left * weight[k] / sum(weight[j] for j in open_)))) for k in open_)
+    taken = set()
+    for leaf in set(node.values()):
+        ids = [i for i in tokens if node[i] == leaf]
+        if budget[leaf] >= sum(tokens[i] for i in ids):
+            taken.update(ids)
+            continue
+        upto = 0
+        for i in sorted(ids, key=lambda i: hashlib.md5(f"17-0-{i}".encode()).hexdigest()):
+            upto += tokens[i]
+            if upto <= budget[leaf]:
+                taken.add(i)
+    return taken
+
+
+def test_mixing_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null and lang is not null and source rlike '[0-9]$'").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, SMALL).collect()} == brute_mix(docs.collect())
+
+
+def test_sharding_stage_follows_passages(spark):
+    import corpus_pipeline
+
+    passage = lambda k: " ".join(f"p{k} w{i}" for i in range(30))
+    data = [(i, f"own {i}\n{passage(i // 4).upper() if i % 2 else passage(i // 4)}" if i < 600 else f"text {i}", f"src{i % 5}" if i % 7 else None) for i in range(1000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    linked = docs.select("doc_id", sharding.passage_links(F.col("text")).alias("k")).collect()
+    assert len({r.k[0] for r in linked if r.k}) == 150 and all(len(r.k) == (r.doc_id < 600) for r in linked)
+    groups = [range(i, i + 4) for i in range(0, 600, 4)]
+    cut = []
+    for out in (sharding.sharded(docs), corpus_pipeline.shard(spark, docs, SMALL)):
+        got = {r.doc_id: r.shard for r in out.collect()}
+        sizes = Counter(got.values())
+        assert len(got) == 1000 and max(sizes.values()) - min(sizes.values()) <= 1
+        cut.append(cut_edges(got, groups))
+    assert cut[0] > 700 and cut[1] < cut[0] / 2
