@@ -1,9 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the normalised windows of all items.
 
 Texts are normalised bytewise (A-Z folded, separators to blanks), so a word keeps its byte place and a match is mapped
-back to offsets of the original. Each text passes through the automaton once. The items' total size is summed before
-they are collected; above ``block_bytes`` they are dealt into several automata that are used one after another on each
-batch of texts, so memory stays bounded whatever the size of the benchmark.
+back to offsets of the original. Each text passes through the automaton once. The items are written to the shared folder, by hash in blocks
+of about ``block_bytes`` of text, and a task reads a block by its path when it builds that automaton; several automata are
+used one after another on each batch of texts. The driver holds no items, a task one block's and two automata.
 
 Defined cases: null and empty texts have no words, no hits and are not contaminated; items without words or without an
 id are left out; an item_id on several rows counts once; rows of documents are judged one by one, repeated ids included;
@@ -15,14 +15,16 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
-from hashlib import sha256
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import slices
+from marketloom.session import fresh_path
 
 SIZE = 13
 BLOCK_BYTES = 8 << 20
@@ -42,9 +44,23 @@ def windows(words: list[bytes], size: int = SIZE) -> list[bytes]:
     return [b" ".join(words[i: i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _automaton(items: list[tuple[int, str]], size: int, key: str) -> ahocorasick.Automaton:
-    """The items' automaton, built once per Python worker; at most two are held."""
+def block_items(path: str) -> list[tuple[int, str]]:
+    """The items of a block's folder."""
+    system, folder = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    files = [f for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    out: list[tuple[int, str]] = []
+    for file in files:
+        with system.open_input_file(file.path) as source:
+            table = pq.read_table(source)
+        out += zip(table.column("item").to_pylist(), table.column("text").to_pylist())
+    return out
+
+
+def _automaton(path: str, size: int) -> ahocorasick.Automaton:
+    """The automaton of a block, built once per Python worker; at most two are held."""
+    key = f"{size} {path}"
     if key not in _automata:
+        items = block_items(path)
         patterns: dict[bytes, set[int]] = {}
         for item, text in items:
             for window in windows(normalised_words(text), size):
@@ -93,12 +109,16 @@ def _original(text: str, joined: str, merged: list[list[int]]) -> list[dict[str,
     return spans
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most about ``block_bytes`` of text; their count is known before anything is collected."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[str]:
+    """Folders of the items' blocks, of about ``block_bytes`` of text each; only their count comes to the driver."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
-    return [[tuple(r) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i).orderBy("item", "text").collect()] for i in range(n)]
+    if not n:
+        return []
+    path = fresh_path(benchmark.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={i}" for i in range(n)]
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
@@ -112,19 +132,17 @@ def _found(docs: DataFrame, field: str | None, benchmark: DataFrame, item_id: st
            size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (_row, and _text unless the text is ``field`` of _row) with n_words, n_hit, items, spans."""
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
-    keys = [sha256(repr((size, b)).encode()).hexdigest() for b in blocks]
-    shipped = docs.sparkSession.sparkContext.broadcast(blocks) if blocks else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # With few automata texts pass in small slices; with many, each automaton is fetched once per batch.
-        for batch in slices(batches) if len(keys) <= 2 else batches:
+        for batch in slices(batches) if len(blocks) <= 2 else batches:
             n_words, n_hit, items, spans = [], [], [], []
             texts = (batch.column(1) if field is None else batch.column(0).field(field)).to_pylist()
             joined = [(b" " + b" ".join(normalised_words(t)) + b" ").decode("latin-1") for t in texts]
             found: list[list[tuple[int, int]]] = [[] for _ in texts]
             named: list[set[int]] = [set() for _ in texts]
-            for i, key in enumerate(keys):
-                automaton = _automaton(shipped.value[i], size, key)
+            for path in blocks:
+                automaton = _automaton(path, size)
                 for j, intervals, of in zip(joined, found, named):
                     _hits(j, automaton, intervals, of)
             for text, j, intervals, of in zip(texts, joined, found, named):

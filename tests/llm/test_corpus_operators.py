@@ -416,3 +416,11 @@ def test_sharding_stage_follows_passages(spark):
         assert len(got) == 1000 and max(sizes.values()) - min(sizes.values()) <= 1
         cut.append(cut_edges(got, groups))
     assert cut[0] > 700 and cut[1] < cut[0] / 2
+
+
+def test_benchmark_stays_out_of_the_driver(spark, items):
+    folders = contamination.item_blocks(items, "item_id", "text", 40)
+    held = [contamination.block_items(f) for f in folders]
+    assert all(isinstance(f, str) for f in folders) and len(folders) > 1
+    assert Counter(x for b in held for x in b) == Counter((r.item_id, r.text) for r in items.collect() if r.item_id is not None and r.text is not None)
+    assert contamination.item_blocks(items.limit(0), "item_id", "text", 40) == []
