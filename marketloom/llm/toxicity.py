@@ -116,7 +116,8 @@ def _weigher(atoms: dict[str, float]):
 def clause_features(text: str | None, weight, machine: Transducer) -> list[float]:
     """Logarithms of what the grammar puts out by kind, of the strongest clause, and of the whole per word.
 
-    A word that comes again in the text adds nothing: repeated lines are no stronger than one.
+    A word adds once to each kind it is put out as, whatever it was put out as before, and once to the value of each
+    clause: repeated lines are no stronger than one.
     """
     sums, strongest, seen = [0.0] * len(OUTPUTS), 0.0, set()
     lower = (text or "").lower()
@@ -127,15 +128,18 @@ def clause_features(text: str | None, weight, machine: Transducer) -> list[float
             words = _TOKEN.findall(clause)
             if matched.keys().isdisjoint(words):
                 continue
-            state, value = 0, 0.0
+            state, value, here = 0, 0.0, set()
             for word in words:
                 symbol = SYMBOLS.get(word, "insult" if word in matched else "word")
                 state, out = machine.table[state, symbol]
-                if out in OUTPUTS and word not in seen:
-                    seen.add(word)
+                if out in OUTPUTS:
                     gained = matched.get(word, 0.0) - MIN_WEIGHT + 1
-                    sums[OUTPUTS.index(out)] += gained
-                    value += gained
+                    if (out, word) not in seen:
+                        seen.add((out, word))
+                        sums[OUTPUTS.index(out)] += gained
+                    if word not in here:
+                        here.add(word)
+                        value += gained
             strongest = max(strongest, value)
     return [*(math.log1p(x) for x in sums), math.log1p(strongest), math.log1p(100 * sum(sums) / (len(tokens) + 20))]
 

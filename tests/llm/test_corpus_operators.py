@@ -424,3 +424,11 @@ def test_benchmark_stays_out_of_the_driver(spark, items):
     assert all(isinstance(f, str) for f in folders) and len(folders) > 1
     assert Counter(x for b in held for x in b) == Counter((r.item_id, r.text) for r in items.collect() if r.item_id is not None and r.text is not None)
     assert contamination.item_blocks(items.limit(0), "item_id", "text", 40) == []
+
+
+def test_clauses_are_scored_on_their_own():
+    machine, weight = toxicity.grammar(), lambda w: 8.0 if w == "vile" else 0.0
+    read = lambda text: dict(zip(toxicity.FEATURES, toxicity.clause_features(text, weight, machine)))
+    both = read("She said it was vile. You are vile.")
+    assert both["reported"] > 0 and both["aimed"] == read("You are vile.")["aimed"] > 0 and both["strongest"] == read("You are vile.")["strongest"]
+    assert read("not vile. it is vile")["insult"] > 0 and read("it is vile\nit is vile")["insult"] == read("it is vile")["insult"]
