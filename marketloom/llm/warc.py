@@ -2,7 +2,7 @@
 
 The writer is Spark's own text sink: a record's value is its header and payload, the separator between values is the
 blank line that closes a WARC record, and the codec makes one gzip stream of each file. The normaliser inflates such a
-file once, in pieces, rewrites every record as a member of its own and notes offset and length in a sidecar index. A
+file once, in pieces and through all its members, rewrites every record as a member of its own and notes offset and length in a sidecar index. A
 reader then seeks to a member and inflates nothing else. A file is written under a name of its own attempt and then
 renamed, so a repeated task replaces it and leaves no half-written file.
 
@@ -94,14 +94,29 @@ def _split(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _inflated(source) -> Iterator[bytes]:
-    machine = zlib.decompressobj(31)
+    """The bytes of all gzip members of a stream, in pieces; zeros after a member are padding."""
+    machine = None
     while piece := source.read(PIECE):
         while piece:
+            if machine is None:
+                piece = piece.lstrip(b"\0")
+                if not piece:
+                    break
+                machine = zlib.decompressobj(31)
             out = machine.decompress(piece, 4 * PIECE)
             if out:
                 yield out
-            piece = machine.unconsumed_tail
-    yield machine.flush()
+            piece = machine.unused_data if machine.eof else machine.unconsumed_tail
+            # What is left of a full piece comes out without further input.
+            while not piece and not machine.eof and len(out) == 4 * PIECE:
+                out = machine.decompress(b"", 4 * PIECE)
+                if out:
+                    yield out
+                piece = machine.unused_data if machine.eof else machine.unconsumed_tail
+            if machine.eof:
+                machine = None
+    if machine is not None:
+        raise ValueError("truncated archive: a gzip member without end")
 
 
 def normalise(spark: SparkSession, folder: str, target: str) -> DataFrame:

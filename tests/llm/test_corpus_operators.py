@@ -432,3 +432,23 @@ def test_clauses_are_scored_on_their_own():
     both = read("She said it was vile. You are vile.")
     assert both["reported"] > 0 and both["aimed"] == read("You are vile.")["aimed"] > 0 and both["strongest"] == read("You are vile.")["strongest"]
     assert read("not vile. it is vile")["insult"] > 0 and read("it is vile\nit is vile")["insult"] == read("it is vile")["insult"]
+
+
+def test_archive_of_several_members_is_read_whole(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<b>{i}</b>" * (i + 20)) for i in range(9)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "whole"))
+    one = next((tmp_path / "whole").glob("*.gz")).read_bytes()
+    (tmp_path / "several").mkdir()
+    (tmp_path / "several" / "two.warc.gz").write_bytes(one + one)
+    index = warc.normalise(spark, str(tmp_path / "several"), str(tmp_path / "members"))
+    assert Counter(r.page_id for r in index.collect()) == Counter({i: 2 for i in range(9)})
+    # The normaliser's own output, too, is an archive of several members.
+    assert warc.normalise(spark, str(tmp_path / "members"), str(tmp_path / "again")).count() == 18
+    with pytest.raises(ValueError, match="truncated"):
+        list(warc._inflated(open_bytes(one + one[:-9])))
+
+
+def open_bytes(raw):
+    from io import BytesIO
+
+    return BytesIO(raw)
