@@ -21,7 +21,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -60,7 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = staged(low.select("u", F.col("m").alias("v")).union(moved).distinct(), "edges")
+        before, cur = cur, staged(low.select("u", F.col("m").alias("v")).union(moved).distinct(), "edges")
+        release(before)
 
 
 # --- word hashes in numpy ------------------------------------------------------------------------------------------

@@ -4,11 +4,18 @@ Two sets of sizes a and b with Jaccard similarity of at least t differ in at mos
 All shingles are hashed into g segments, for each size band its own number. A segment that is looked up exactly stands
 for one difference, one that is looked up with its one-deletion neighbourhood for two; when these numbers exceed k, at
 least one segment of two similar sets agrees that far. How many segments are of which kind is chosen per band by cost:
-signatures written against the collisions that near-empty segments would make among the given number of documents.
+signatures, which are written and moved, against the collisions that near-empty segments would make among the given number
+of documents, each of which is a test of bit rows.
+
+Before any signature is made, sets that cannot have a partner are left out. A set keeps all but a share 1 - t of its elements
+in a partner, so among its elements in a fixed part of the universe, too, at most that many stand in no other set. These
+elements travel once, as short hashes by range of hash, with the ids they are of; what occurs in two different sets is counted
+back to them. Equal hashes of different shingles only let more sets through, never fewer.
 
 Links within a bucket are found without its pairs: every member is verified against one hub, and only members which are
-still in different components go on to further hubs and at last to an exact join of what remains. Before texts are
-fetched, and inside that join, a pair must pass a bound that loses nothing: elements are hashed to places of a bit row,
+still in different components go on to further hubs and at last to an exact join of what remains, in which a large bucket
+is cut into slices that meet pairwise in tasks of their own. A hub's text goes to as many tasks as its pairs fill. Before
+texts are fetched, and inside that join, a pair must pass a bound that loses nothing: elements are hashed to places of a bit row,
 each bit the parity of its elements' number, and two rows never differ in more bits than the sets in elements.
 
 Defined cases: null and empty texts have an empty set and no links; rows with a null id keep their size, with a null
@@ -26,10 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import blocks, components, mix, slices, staged
+from marketloom.llm.common import blocks, components, mix, release, slices, staged
 
 NUM, DEN = 90, 100
 RATIO = 1.2
+#: Cost of a chance collision, a test of two bit rows, in signatures, which are written, moved and sorted.
+PAIR_COST = 0.25
+#: Elements of one range of hashes, and the words a text is taken to have where the number of ranges is chosen.
+RANGE, USUAL_WORDS = 1 << 18, 512
+#: Pairs of one hub, and members of one slice of a bucket, that one task takes.
+HUB_SLICE, BUCKET_SLICE = 256, 512
 #: Pairs left per member of the buckets above which members try another hub before the exact join.
 PAIRS_PER_MEMBER = 200
 _A, _B, _C, _D = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -59,7 +72,7 @@ def allocation(high: int, num: int, den: int, documents: int) -> tuple[int, int]
     for q in sorted({round(i * (k + 1) / 64) // 2 for i in range(65)} | {(k + 2) // 2}):
         m = max(0, k + 1 - 2 * q)
         size = high / RATIO / (m + q)
-        cost = m + q * (1 + size) + (m + q) * documents * math.exp(-2 * size)
+        cost = m + q * (1 + size) + PAIR_COST * (m + q) * documents * math.exp(-2 * size)
         if best is None or cost < best[0]:
             best = (cost, m, q)
     return best[1], best[2]
@@ -111,34 +124,132 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0), kind))
 
 
-def sketch(docs: DataFrame, words: int, num: int, den: int, expected: int | None = None) -> DataFrame:
-    """Per row: doc_id, set size, 128-bit digest of the set, and per band: number, bucket keys, bit row."""
-    documents = docs.count() if expected is None else expected
+class Sample:
+    """A fixed part of all shingles, as hashes of as few bytes as tell the given number of documents' shingles apart."""
+
+    def __init__(self, documents: int, num: int, den: int):
+        elements = max(1, documents) * USUAL_WORDS
+        share = min(1.0, 2 * (den - num) / den)
+        self.bound = np.uint64(share * (1 << 20))
+        self.bytes = min(7, -(-(math.ceil(math.log2(elements)) + 5) // 8))
+        self.ranges = min(1 << 20, max(1, int(elements * share) // RANGE))
+
+    def pack(self, shingles: np.ndarray) -> bytes:
+        h = mix(shingles + _B)
+        return self.packed(np.unique(h[h >> np.uint64(44) < self.bound] & np.uint64((1 << 8 * self.bytes) - 1)))
+
+    def packed(self, values: np.ndarray) -> bytes:
+        return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.bytes].tobytes()
+
+    def unpacked(self, raw: bytes) -> np.ndarray:
+        wide = np.zeros((len(raw) // self.bytes, 8), dtype=np.uint8)
+        wide[:, : self.bytes] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, self.bytes)
+        return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+    def range_of(self, values: np.ndarray) -> np.ndarray:
+        high = values >> np.uint64(max(0, 8 * self.bytes - 24))
+        return (high * np.uint64(self.ranges) >> np.uint64(min(24, 8 * self.bytes))).astype(np.int64)
+
+
+def sketch(docs: DataFrame, words: int, sample: Sample) -> DataFrame:
+    """Per row: doc_id, set size, 128-bit digest of the set, its elements in the sample and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, block, count in blocks(texts):
-                size, one, two, per, band, keys, bits = [], [], [], [], [], [], []
+                size, one, two, part = [], [], [], []
                 for i in range(count):
                     s = shingle_hashes(block.hash[block.first[i]: block.first[i + 1]], words)
                     size.append(len(s))
                     one.append(int(np.add.reduce(mix(s ^ _A)).astype(np.int64)) if len(s) else 0)
                     two.append(int(np.add.reduce(mix(s ^ _D)).astype(np.int64)) if len(s) else 0)
+                    part.append(sample.pack(s))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(begin, count), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(part, pa.binary()),
+                     pa.array([len(x) // sample.bytes for x in part], pa.int64())],
+                    ["doc_id", "n_shingles", "d1", "d2", "part", "n_part"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, part binary, n_part long")
+
+
+def shared_counts(parts: DataFrame, sample: Sample) -> DataFrame:
+    """doc_id, shared: how many of a row's sampled elements (doc_id, part) stand in another row; none, no row.
+
+    Elements that two rows of a batch have are counted there and travel on once, so a passage that a third of all rows
+    share reaches its range once per batch.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            values = sample.unpacked(b"".join(raw))
+            owner = np.repeat(np.arange(len(raw)), [len(x) // sample.bytes for x in raw])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+            times = np.diff(np.append(first, len(values)))
+            alone = np.repeat(times == 1, times)
+            known = np.bincount(owner[~alone], minlength=len(raw))
+            twice, single, of = values[first[times > 1]], values[alone], owner[alone]
+            cut, cut_twice = (np.searchsorted(sample.range_of(x), np.arange(sample.ranges + 1)) for x in (single, twice))
+            names, counts, alones, twices = [], [], [], []
+            for p in range(sample.ranges):
+                lo, hi = cut[p], cut[p + 1]
+                by = np.argsort(of[lo:hi], kind="stable")
+                who, n = np.unique(of[lo:hi], return_counts=True)
+                names.append(ids[who])
+                counts.append(n)
+                alones.append(sample.packed(single[lo:hi][by]))
+                twices.append(sample.packed(twice[cut_twice[p]: cut_twice[p + 1]]))
+            # What is known already goes along with one of the ranges.
+            told, at = np.flatnonzero(known), int(ids[0]) % sample.ranges if len(ids) else 0
+            none = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(sample.ranges), pa.int32()), _lists(names, pa.int64()), _lists(counts, pa.int32()), pa.array(alones, pa.binary()), pa.array(twices, pa.binary()),
+                 _lists([ids[told] if p == at else none for p in range(sample.ranges)], pa.int64()),
+                 _lists([known[told] if p == at else none for p in range(sample.ranges)], pa.int32())],
+                ["p", "ids", "n", "alone", "twice", "told", "known"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        flat = {c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "n", "told", "known")}
+        single, twice = (sample.unpacked(b"".join(table.column(c).to_pylist())) for c in ("alone", "twice"))
+        owner = np.repeat(flat["ids"], flat["n"])
+        order = np.argsort(single, kind="stable")
+        single, owner = single[order], owner[order]
+        same = single[1:] == single[:-1]
+        shared = np.concatenate((same, np.zeros(min(1, len(single)), bool))) | np.concatenate((np.zeros(min(1, len(single)), bool), same)) | np.isin(single, twice)
+        who, n = np.unique(owner[shared], return_counts=True)
+        return pa.table({"doc_id": pa.array(np.concatenate((who, flat["told"])), pa.int64()), "shared": pa.array(np.concatenate((n, flat["known"])), pa.int64())})
+
+    dealt = parts.select("doc_id", "part").mapInArrow(
+        deal, "p int, ids array<long>, n array<int>, alone binary, twice binary, told array<long>, known array<int>")
+    return dealt.groupBy("p").applyInArrow(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+
+
+def keyed(texts: DataFrame, words: int, num: int, den: int, documents: int) -> DataFrame:
+    """Per row: doc_id, set size, and per band: number, bucket keys, bit row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            ids, raw = batch.column(0), batch.column(1).to_pylist()
+            for begin, block, count in blocks(raw):
+                size, per, band, keys, bits = [], [], [], [], []
+                for i in range(count):
+                    s = shingle_hashes(block.hash[block.first[i]: block.first[i + 1]], words)
                     found = schemes(len(s), num, den)
-                    per.append(np.arange(len(found)))
+                    size.append(len(s))
+                    per.append(len(found))
                     for j, high in found:
                         exact, loose = allocation(high, num, den, documents)
                         band.append(j)
                         keys.append(signatures(s, j, exact, loose))
                         bits.append(parities(s, exact, loose))
                 inner = pa.StructArray.from_arrays([pa.array(band, pa.int32()), _lists(keys, pa.int64()), _lists(bits, pa.int64())], ["band", "keys", "bits"])
-                outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in per])]), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, count), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), outer],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, count), pa.array(size, pa.int64()), outer], ["doc_id", "n_shingles", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<struct<band:int,keys:array<long>,bits:array<long>>>")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, bands array<struct<band:int,keys:array<long>,bits:array<long>>>")
 
 
 def near_enough(num: int, den: int) -> Column:
@@ -156,14 +267,15 @@ def text_set(text: str | None, words: int) -> set:
 _TABLE = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts pass the exact test."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts pass the exact test. The text of an ``a`` of many pairs goes to several tasks."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SLICE).cast("int").alias("shares"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(shares, "a")
+    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"))
     rows = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b"))
+        dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(left, ["a", "share"]).select("a", "b", "text_a", "text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_set = None, set()
@@ -185,17 +297,25 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
                        expected: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: exact components of the links ``den * |A & B| >= num * |A | B|``.
 
-    ``expected`` stands for the number of documents in the cost of segments; by default they are counted.
+    ``expected`` stands for the number of documents where hashes and segments are chosen; by default they are counted.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(sketch(docs, words, num, den, expected), "sketch")
+    sample = Sample(docs.count() if expected is None else expected, num, den)
+    rows = staged(sketch(docs, words, sample), "sketch")
     some = rows.filter("doc_id is not null and n_shingles > 0")
     # Equal sets collapse to their smallest id before anything is compared.
     equal = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     equal = staged(equal, "classes")
-    chosen = (
-        some.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", "n_shingles", F.explode("bands").alias("b")))
+    # A rep goes on if enough of its sampled elements stand in other sets; one with few elements in the sample always does.
+    parts = some.join(equal.select(F.col("rep").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
+    least = F.col("n_part") - F.floor(F.col("n_shingles") * (den - num) / den)
+    counted = staged(shared_counts(parts, sample), "shared")
+    able = some.select("doc_id", least.alias("least")).join(counted, "doc_id", "left").filter(F.coalesce("shared", F.lit(0)) >= F.col("least"))
+    able = able.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()
+    docs = staged(docs.join(able, "doc_id", "left_semi"), "able")
+    chosen = staged(keyed(docs, words, num, den, docs.count() if expected is None else expected), "keys")
+    release(counted)
+    chosen = chosen.select("doc_id", "n_shingles", F.explode("bands").alias("b"))
     keys = chosen.select("doc_id", F.col("b.band").alias("band"), F.explode("b.keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     member = staged(keys.join(shared.select("key", "lo"), "key"), "buckets")
@@ -227,9 +347,12 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
             break
         last = left <= PAIRS_PER_MEMBER * held or round_ == hub_rounds
         if last:
-            placed = member.select("key", "band", "doc_id", "root").join(bits, ["doc_id", "band"])
-            x, y = (placed.select("key", F.col("doc_id").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") < F.col("root_b")) & near_enough(num, den)).select("a", "b")
+            # A large bucket is cut into slices; each member meets each slice of the other side in a task of its own.
+            placed = member.select("key", "band", "doc_id", "root", F.ceil(F.col("n") / BUCKET_SLICE).cast("int").alias("cuts")).join(bits, ["doc_id", "band"])
+            x, y = (placed.select("key", F.col("doc_id").alias(s), F.col("root").alias(f"root_{s}"), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"),
+                                  F.pmod(F.xxhash64("doc_id"), "cuts").cast("int").alias(f"cut_{s}"),
+                                  F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut_b" if s == "a" else "cut_a")) for s in "ab")
+            pairs = x.join(y, ["key", "cut_a", "cut_b"]).filter((F.col("root_a") < F.col("root_b")) & near_enough(num, den)).select("a", "b")
         else:
             hubs = root.select(F.col("node").alias("hub"), F.col("root").alias("of"))
             pairs = member.filter("doc_id <> hub").join(hubs, "hub", "left").filter(F.coalesce("of", "hub") != F.col("root"))

@@ -452,3 +452,38 @@ def open_bytes(raw):
     from io import BytesIO
 
     return BytesIO(raw)
+
+
+def test_near_copies_in_slices_against_brute_force(spark, monkeypatch):
+    """Many sets around the threshold: hubs and buckets are cut into slices, five words and 0.8."""
+    import random
+
+    monkeypatch.setattr(jaccard, "HUB_SLICE", 3)
+    monkeypatch.setattr(jaccard, "BUCKET_SLICE", 4)
+    monkeypatch.setattr(jaccard, "RANGE", 64)
+    r = random.Random(5)
+    texts = {}
+    for _ in range(4):
+        words = [f"v{r.randrange(4000)}" for _ in range(r.choice((60, 120, 300)))]
+        for _ in range(40):
+            copy = list(words)
+            for _ in range(r.choice((0, 1, 2, 3, 5, 7))):
+                copy[r.randrange(len(copy))] = f"v{r.randrange(4000)}"
+            texts[len(texts)] = " ".join(copy)
+    for _ in range(30):
+        texts[len(texts)] = " ".join(f"x{r.randrange(10**6)}" for _ in range(80))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute_components(texts, 5, 80, 100)
+    for rounds in (0, 4):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, words=5, num=80, den=100, hub_rounds=rounds).collect()}
+        assert got == want
+
+
+def test_shared_elements_are_counted(spark):
+    sample = jaccard.Sample(1000, 80, 100)
+    texts = {1: "a b c d e f g h i j", 2: "a b c d e f g x y z", 3: "q1 q2 q3 q4 q5 q6 q7", 4: "h i j k l a b c d e"}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(4, "doc_id")
+    packed = {i: {x for x in sample.unpacked(r.part).tolist()} for i, r in ((r.doc_id, r) for r in jaccard.sketch(docs, 3, sample).collect())}
+    got = {r.doc_id: r.shared for r in jaccard.shared_counts(jaccard.sketch(docs, 3, sample), sample).collect()}
+    want = {i: sum(any(x in packed[j] for j in packed if j != i) for x in own) for i, own in packed.items()}
+    assert got == {i: n for i, n in want.items() if n}
