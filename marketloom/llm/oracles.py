@@ -133,5 +133,21 @@ def _op3() -> str:
 SELECT doc_id, template, n_found, n_template, n_found / n_template AS containment FROM ({union})"""
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_TERM}') AS w FROM documents WHERE text IS NOT NULL),
+size AS (SELECT doc_id, len(w)::BIGINT AS n FROM doc WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM size),
+asked AS (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ask AS (SELECT item_id, t, count(*)::BIGINT AS k FROM asked GROUP BY ALL),
+post AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM doc) SEMI JOIN ask USING (t) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM post, whole GROUP BY t, n_docs),
+part AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS c FROM post JOIN size USING (doc_id) JOIN weight USING (t), whole),
+score AS (SELECT item_id, doc_id, sum(k * c)::BIGINT AS score FROM ask JOIN part USING (t) GROUP BY ALL HAVING sum(k * c) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM score) WHERE rank <= 10
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_lexical_search": OP13,
     "op2_warc_normaliser": OP2, "op3_license_scan": _op3(), "op4_benchmark_decontamination": OP4, "op6_ngram_jaccard_join": OP6, "op7_source_mixing": _op7(), "op8_quality_rules": _op8()}

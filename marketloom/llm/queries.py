@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import brown, contamination, jaccard, licenses, mixing, quality, sharding, toxicity, urls, warc
+from marketloom.llm import bpe, brown, contamination, jaccard, licenses, mixing, quality, search, sharding, spelling, toxicity, urls, warc
 from marketloom.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -61,7 +61,21 @@ def op10_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return brown.class_scores(_read(spark, folder, "documents")).drop("perplexity")
 
 
+def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_read(spark, folder, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_warc_normaliser, op3_license_scan, op4_benchmark_decontamination, op5_sharding, op6_ngram_jaccard_join,
-        op7_source_mixing, op8_quality_rules, op9_url_filter, op10_class_ngrams)}
+        op7_source_mixing, op8_quality_rules, op9_url_filter, op10_class_ngrams, op11_bpe_codec, op12_spelling_variants, op13_lexical_search)}
