@@ -1,59 +1,13 @@
-"""Exponentially decayed scans without overflow: ``y(t) = d^(t - t') · y(t') + x(t)``, for any d from 0 to 1.
-
-The one-window closed form ``d^t · Σ x_i · d^(-i)`` overflows a double after some thousand steps. Here positions fall
-into blocks, at most 512 steps long and short enough for ``d^-block`` to stay finite; the rescaled sum stays inside one
-block, and the value carried into a block is folded from the totals of the blocks before it, back to where the weight left
-is below double precision (for d = 1 all of them). All windows share the partitioning by key.
-"""
+"""Exponentially weighted means and the strength index on the block scan of :mod:`marketloom.operators.scan`."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LONGEST = 512
-
-
-def blocks_of(decay: float) -> tuple[int, int | None]:
-    """Steps of a block, and the blocks before one that still weigh (None: all)."""
-    if not 0 <= decay <= 1:
-        raise ValueError(f"decay must lie between 0 and 1: {decay}")
-    if decay in (0, 1):
-        return (1, 1) if decay == 0 else (LONGEST, None)
-    rate = -math.log(decay)
-    block = max(1, min(LONGEST, int(460 / rate)))  # e^460 is about 1e200
-    return block, math.ceil(42 / (rate * block))   # e^-42 is below 1e-18
-
-
-def decayed_sum(df: DataFrame, keys: Sequence[str], position: Column, values: dict[str, Column], decay: float) -> DataFrame:
-    """Add, per output name, the decayed sum of its values up to and including each row.
-
-    ``position`` is an integer step (row number or day number), unique within a key.
-    """
-    block, carried = blocks_of(decay)
-    step = F.col("_p") - F.col("_b") * block
-    in_block = Window.partitionBy(*keys, "_b").orderBy("_p")
-    before = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-carried if carried else Window.unboundedPreceding, -1)
-    out = (
-        df.withColumn("_p", position.cast("long"))
-        .withColumn("_b", F.floor(F.col("_p") / block))
-        .withColumn("_last", F.lead("_p").over(in_block).isNull()))
-    running = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    for name, value in values.items():
-        out = out.withColumn(f"_s_{name}", F.sum(value * F.pow(F.lit(decay), -step)).over(running))
-    for name in values:
-        total = F.when(F.col("_last"), F.struct(F.col("_b").alias("b"), F.col(f"_s_{name}").alias("s")))
-        totals = F.collect_list(total).over(before)
-        # A block's sum is scaled to its own start; moving it to this block's start decays it by whole blocks.
-        carry = F.aggregate(
-            totals, F.lit(0.0), lambda acc, x: acc + x["s"] * F.pow(F.lit(decay ** block), (F.col("_b") - x["b"]).cast("double")))
-        out = out.withColumn(f"_c_{name}", carry)
-    kept = [c for c in out.columns if not c.startswith("_")]
-    return out.select(*kept, *[
-        ((F.col(f"_s_{n}") + F.col(f"_c_{n}")) * F.pow(F.lit(decay), step)).alias(n) for n in values])
+from marketloom.operators.scan import decayed_sum, running_sum, whole_position
 
 
 def ewm_mean(df: DataFrame, keys: Sequence[str], columns: dict[str, str], alpha: float, min_rows: int = 1,
@@ -64,14 +18,15 @@ def ewm_mean(df: DataFrame, keys: Sequence[str], columns: dict[str, str], alpha:
     and these rows stay null. Interior gaps are to be filled beforehand.
     """
     probe = next(iter(columns.values()))
-    w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    seen = df.withColumn("nth", F.count(probe).over(w))
+    placed, position = whole_position(df, keys, date)
+    seen = running_sum(placed, keys, position, {"_nth": F.col(probe).isNotNull().cast("int")}).withColumn("_nth", F.col("_nth").cast("long"))
     inputs = {
-        out: F.coalesce(F.when(F.col("nth") == 1, F.col(c)).otherwise(F.col(c) * alpha), F.lit(0.0))
+        out: F.coalesce(F.when(F.col("_nth") == 1, F.col(c)).otherwise(F.col(c) * alpha), F.lit(0.0))
         for out, c in columns.items()}
-    scanned = decayed_sum(seen, keys, F.col("nth") - 1, inputs, 1 - alpha)
-    ready = (F.col("nth") >= min_rows) & F.col(probe).isNotNull()
-    return scanned.withColumns({out: F.when(ready, F.col(out)) for out in columns}).drop("nth")
+    # Rows before the first value share a place; they add nothing.
+    scanned = decayed_sum(seen, keys, F.col("_nth") - 1, inputs, 1 - alpha)
+    ready = (F.col("_nth") >= min_rows) & F.col(probe).isNotNull()
+    return scanned.withColumns({out: F.when(ready, F.col(out)) for out in columns}).drop("_nth", "_place")
 
 
 def relative_strength(gain, loss, zero_loss: str = "null") -> Column:

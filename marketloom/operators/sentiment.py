@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators.decay import decayed_sum
+from marketloom.operators.scan import decayed_sum
 from marketloom.operators.series import ordered, trailing
 
 # Score limits and the labels of each band, closed on the upper side.

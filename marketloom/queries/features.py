@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import decay, series
+from marketloom.operators import decay, scan, series
 from marketloom.operators.series import ordered
 from marketloom.queries.registry import query
 
@@ -161,8 +161,7 @@ FFILL = "last_value({c} IGNORE NULLS) OVER (PARTITION BY market ORDER BY date RO
 
 @query("W12_forward_fill", f"SELECT market, date, {FFILL.format(c='close')} AS close, {FFILL.format(c='vwap')} AS vwap FROM panel", ("panel",))
 def _(t):
-    w = ordered(M)
-    return t.panel.select("market", "date", *[series.forward_fill(c, w).alias(c) for c in ("close", "vwap")])
+    return scan.filled_forward(t.panel.select("market", "date", "close", "vwap"), M, F.unix_date("date"), ["close", "vwap"])
 
 
 @query("W13_fill_flag", f"SELECT market, date, (close IS NULL AND {FFILL.format(c='close')} IS NOT NULL) AS filled FROM panel", ("panel",))

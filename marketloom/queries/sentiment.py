@@ -244,15 +244,17 @@ def _(t):
     return rounded(sentiment.decayed_influence(market_docs(t)), "supply_decayed", "demand_decayed", "policy_decayed")
 
 
-@query("J08_decay_range_join", "WITH " + DOCS + DECAY + ", days AS (SELECT market, date AS effective_date FROM px WHERE market IN ('ASIA', 'EUROPE'))"
-       + DECAYED_AT.format(cols=DECAY_COLS, dates="days"), ("scored", "px"))
+_DAY_TERM = "R6(coalesce(sum(b.{c} * pow(0.5, date_diff('day', b.effective_date, a.effective_date) / 7.0)), 0)) AS {n}_decayed"
+DAY_COLS = ", ".join(_DAY_TERM.format(c=c, n=n) for c, n in (("s", "supply"), ("d", "demand"), ("p", "policy")))
+
+
+@query("J08_decay_range_join", "WITH " + DOCS + DECAY + ", days AS (SELECT market, date AS effective_date FROM px)" + f"""
+SELECT a.market, a.effective_date, {DAY_COLS}
+FROM days a LEFT JOIN sums b ON b.market = a.market AND b.effective_date <= a.effective_date GROUP BY a.market, a.effective_date
+""", ("scored", "px"))
 def _(t):
-    days = t.px.filter(F.col("market").isin(*SOURCES)).select("market", F.col("date").alias("effective_date"))
-    docs = market_docs(t)
-    out = sentiment.decayed_influence(docs, dates=days)
-    first = docs.groupBy("market").agg(F.min("effective_date").alias("first"))
-    kept = out.join(first, "market").filter("effective_date >= first").drop("first")
-    return rounded(kept, "supply_decayed", "demand_decayed", "policy_decayed")
+    days = t.px.select("market", F.col("date").alias("effective_date"))
+    return rounded(sentiment.decayed_influence(market_docs(t), dates=days), "supply_decayed", "demand_decayed", "policy_decayed")
 
 
 @query("F17_market_pressure", DAILY + "SELECT market, effective_date, R6(market_pressure + 1e-9) AS market_pressure, R6(pressure_magnitude + 1e-9) AS pressure_magnitude FROM pressed", ("scored",))
