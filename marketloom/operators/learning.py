@@ -11,10 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,26 +195,12 @@ def error_features(df: DataFrame, prob: str = "prob", sentiment: str | None = No
         "interaction": p * F.col(sentiment)})
 
 
-def fit_error_model(train: DataFrame, features: Sequence[str], target: str = "wrong", positive_weight: float = 1.2,
-                    seed: int = 7):
-    """Boosted trees on the whole training table: 100 rounds of depth 3, step 0.05, row share 0.8."""
-    weighted = train.withColumn("_w", F.when(F.col(target) == 1, positive_weight).otherwise(1.0)).withColumn(
-        "_y", F.col(target).cast("double"))
-    trees = GBTClassifier(
-        featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=100, maxDepth=3, stepSize=0.05, subsamplingRate=0.8,
-        minInstancesPerNode=5, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), trees]).fit(weighted)
-
-
-def error_probability(model, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("p_err", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
-
-
-def importances(model, features: Sequence[str], spark, most: int = 10) -> DataFrame:
-    """Greatest feature importances; one value per feature, so a local list."""
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    rows = spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
-    return rows.orderBy(F.desc("importance"), "feature").limit(most)
+# The inputs of the error model beside those of the prediction itself.
+SENTIMENT_INPUTS = (
+    "sentiment_supply", "sentiment_demand", "supply_decayed", "demand_decayed", "policy_decayed", "supply_momentum",
+    "demand_momentum", "doc_count", "max_policy", "avg_policy")
+PREDICTION_INPUTS = ("pred", "prob", "confidence", "entropy", "uncertain", "extreme")
+AGREEMENT_INPUTS = ("agrees", "strong_disagree", "interaction")
 
 
 # Reversal thresholds tried, from 0.40 in steps of 0.05, the greatest reversal share and the default.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
-from marketloom.operators import cleaning, documents, indicators, learning, performance, portfolio, sentiment, series, technical
+from marketloom.operators import boosting, cleaning, documents, indicators, learning, performance, portfolio, sentiment, series, technical, weekly
 from marketloom.operators.series import ordered
 from marketloom.session import settle
 
@@ -71,19 +71,39 @@ def walk_forward(panel: DataFrame, features: Sequence[str], steps: int = 60, spl
     return out.withColumn("pred", learning.decide())
 
 
-def reverse_errors(predictions: DataFrame, extra: Sequence[str] = (), sentiment_column: str | None = None) -> DataFrame:
-    """Predictions with an error probability and the reversed decision.
+def error_rows(predictions: DataFrame, daily: DataFrame | None = None, weekly_too: bool = True) -> DataFrame:
+    """Daily and weekly predictions (market, date, close, prob, pred, actual) with all inputs of the error model and its target.
 
-    The error model is fitted on the first 60 % of each market's rows, the threshold chosen on the next 20 %, and both
-    are applied to the rows after the first part.
+    ``daily`` holds the sentiment features per market and effective_date; days without any have zeros. A week takes the
+    last prediction, rolls its features up by their rules, and rises if its last close is above the last week's.
     """
-    rows = learning.error_features(learning.chronological_split(predictions, KEYS), sentiment=sentiment_column)
-    rows = settle(rows.withColumn("wrong", (F.col("pred") != F.col("actual")).cast("int")))
-    used = ["prob", "confidence", "entropy", "uncertain", "extreme", *extra]
-    model = learning.fit_error_model(rows.filter("part = 'train'"), used)
-    later = settle(learning.error_probability(model, rows.filter("part <> 'train'")))
-    best = learning.best_threshold(later.filter("part = 'val'"), KEYS).select(*KEYS, "threshold")
-    return learning.reverse(later.join(best, KEYS), F.col("threshold"))
+    rows = predictions.select("market", "date", "close", "prob", "pred", "actual")
+    if daily is not None:
+        rows = sentiment.merge_same_day(rows, daily, learning.SENTIMENT_INPUTS)
+    both = rows.withColumn("frequency", F.lit("daily"))
+    if weekly_too:
+        week = weekly.roll_up(rows.drop("actual"), KEYS).withColumn("frequency", F.lit("weekly"))
+        rise = (F.col("close") > F.lag("close").over(ordered(KEYS))).cast("int")
+        both = both.unionByName(week.withColumn("actual", rise).filter("actual IS NOT NULL"))
+    mean = "sentiment_mean" if daily is not None else None
+    if mean:
+        both = both.withColumn(mean, (F.col("sentiment_supply") + F.col("sentiment_demand")) / 2)
+    return learning.error_features(both, sentiment=mean).withColumn("wrong", (F.col("pred") != F.col("actual")).cast("int"))
+
+
+def reverse_errors(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = ("market", "frequency"),
+                   settings: boosting.Settings = boosting.Settings()) -> DataFrame:
+    """Rows of :func:`error_rows` with an error probability and the reversed decision.
+
+    Each key has an error model of its own, fitted on the first 60 % of its rows; its threshold is chosen on the next
+    20 %, and both are applied to the rows after the first part, which carry their ``part``.
+    """
+    keys = list(keys)
+    rows = settle(learning.chronological_split(rows, keys))
+    model = boosting.fit(rows.filter("part = 'train'"), keys, ["date"], features, "wrong", settings)
+    later = settle(boosting.probabilities(rows.filter("part <> 'train'"), keys, features, model, settings))
+    best = learning.best_threshold(later.filter("part = 'val'"), keys).select(*keys, "threshold")
+    return learning.reverse(later.join(best, keys), F.col("threshold"))
 
 
 def backtest(signals: DataFrame, keys: Sequence[str] = ("model", "market"), benchmark: str | None = "Buy&Hold", **costs) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import learning, slots, weekly
+from marketloom.operators import boosting, learning, sentiment, slots, weekly
 from marketloom.operators.series import ordered
+from marketloom.plans import flows
 from marketloom.queries.registry import query
-from marketloom.queries.sentiment import rounded
+from marketloom.queries.sentiment import market_docs, rounded
+from marketloom.session import settle
 
 M = ["market"]
 MW = ["market", "walk"]
@@ -145,68 +147,66 @@ def _(t):
     return t.pred.groupBy("market").agg(F.round(F.avg(wrong), 6).alias("error_rate"), F.sum(wrong).alias("errors"))
 
 
-FEATURES = ["prob", "confidence", "entropy", "uncertain", "extreme"]
+FEATURES = [*learning.PREDICTION_INPUTS, *learning.SENTIMENT_INPUTS, *learning.AGREEMENT_INPUTS]
+MF = ["market", "frequency"]
 
 
 def error_rows(t):
-    rows = learning.error_features(learning.chronological_split(t.pred, M))
-    return rows.withColumn("wrong", (F.col("pred") != F.col("actual")).cast("int"))
+    docs = settle(market_docs(t).select("market", "effective_date", "supply", "demand", "strength"))
+    return settle(learning.chronological_split(flows.error_rows(t.pred, sentiment.daily_sentiment(docs)), MF))
 
 
 @query("M13_error_predictor")
 def _(t):
-    from marketloom.session import settle
-
-    rows = settle(error_rows(t))
-    model = learning.fit_error_model(rows.filter("part = 'train'"), FEATURES)
-    return learning.error_probability(model, rows.filter("part = 'val'")).select("market", "date", "pred", "actual", "p_err")
+    rows = error_rows(t)
+    model = boosting.fit(rows.filter("part = 'train'"), MF, ["date"], FEATURES, "wrong")
+    later = boosting.probabilities(rows.filter("part <> 'train'"), MF, FEATURES, model)
+    return later.select("market", "frequency", "date", "part", "pred", "actual", "p_err")
 
 
 @query("T04_feature_importances")
 def _(t):
-    from marketloom.session import settle
-
-    rows = settle(error_rows(t).filter("part = 'train'"))
-    return learning.importances(learning.fit_error_model(rows, FEATURES), FEATURES, t.spark)
+    train = error_rows(t).filter("part = 'train'")
+    return boosting.importances(boosting.fit(train, MF, ["date"], FEATURES, "wrong"), MF, FEATURES, 10)
 
 
-# A fixed error probability per row stands in for the model, so that both engines see the same one.
+# A fixed error probability per row stands in for the model, so that both engines see the same one. The threshold is chosen
+# on the validation part and judged on the test part.
 ERRS = """
-errs AS (SELECT market, date, prob, pred, actual, e * e AS p_err FROM (SELECT *, CAST((date_diff('day', DATE '1995-01-01', date) * 57 + length(market) * 13) % 1000 AS DOUBLE) / 1000 AS e FROM pred))
+cut AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY market) AS n FROM pred),
+errs AS (SELECT market, date, prob, pred, actual, e * e AS p_err, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS part
+         FROM (SELECT *, CAST((date_diff('day', DATE '1995-01-01', date) * 57 + length(market) * 13) % 1000 AS DOUBLE) / 1000 AS e FROM cut))
 """
 
 
 def with_error(t):
     e = ((F.datediff("date", F.lit("1995-01-01").cast("date")) * 57 + F.length("market") * 13) % 1000).cast("double") / 1000
-    return t.pred.withColumn("_e", e).withColumn("p_err", F.col("_e") * F.col("_e")).drop("_e", "close")
+    return learning.chronological_split(t.pred.withColumn("_e", e).withColumn("p_err", F.col("_e") * F.col("_e")).drop("_e", "close"), M)
 
 
 THR = """
 thr AS (SELECT 0.4::DOUBLE + 0.05::DOUBLE * range AS threshold FROM range(8)),
 tab AS (SELECT market, threshold, avg(CASE WHEN (p_err > threshold) <> (pred = actual) THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN p_err > threshold THEN 1.0 ELSE 0.0 END) AS reversal_rate
-        FROM errs, thr GROUP BY market, threshold),
+        FROM errs, thr WHERE part = 'val' GROUP BY market, threshold),
 best AS (SELECT market, coalesce(arg_min(threshold, (-accuracy, threshold)) FILTER (reversal_rate < 0.3 AND accuracy > 0), 0.6::DOUBLE) AS threshold, coalesce(max(accuracy) FILTER (reversal_rate < 0.3 AND accuracy > 0), 0) AS accuracy FROM tab GROUP BY market)
 """
 
 
 @query("M14_threshold_search", "WITH " + ERRS + "," + THR + "SELECT market, R6(threshold) AS threshold, R6(accuracy) AS accuracy FROM best", ("pred",))
 def _(t):
-    return rounded(learning.best_threshold(with_error(t), M), "threshold", "accuracy")
+    return rounded(learning.best_threshold(with_error(t).filter("part = 'val'"), M), "threshold", "accuracy")
 
 
 def reversed_rows(t):
-    from marketloom.session import settle
-
     rows = settle(with_error(t))
-    best = learning.best_threshold(rows, M).select("market", "threshold")
-    return learning.reverse(rows.join(best, "market"), F.col("threshold"))
+    best = learning.best_threshold(rows.filter("part = 'val'"), M).select("market", "threshold")
+    return learning.reverse(rows.filter("part = 'test'").join(best, "market"), F.col("threshold"))
 
 
 REV = "WITH " + ERRS + "," + THR + """
-, rev AS (SELECT e.*, p_err > threshold AS rv, CASE WHEN p_err > threshold THEN 1 - pred ELSE pred END AS final FROM errs e JOIN best USING (market))
+, rev AS (SELECT e.*, p_err > threshold AS rv, CASE WHEN p_err > threshold THEN 1 - pred ELSE pred END AS final FROM errs e JOIN best USING (market) WHERE part = 'test')
 """
 
-
 @query("M15_selective_reversal", REV + "SELECT market, date, pred, rv AS reversed, final FROM rev", ("pred",))
 def _(t):
     return reversed_rows(t).select("market", "date", "pred", "reversed", "final")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import documents, learning
+from marketloom.operators import boosting, documents, learning, sentiment
 from marketloom.plans import flows
 from marketloom.session import settle
 
@@ -48,6 +48,16 @@ def test_predictions_to_backtest(tables, panel):
 
 
 def test_error_reversal(tables):
-    out = settle(flows.reverse_errors(tables.pred.select("market", "date", "prob", "pred", "actual")))
+    docs = settle(tables.scored.withColumn("market", F.lit("ASIA")).withColumn("effective_date", F.date_add("publish_date", 1)))
+    rows = flows.error_rows(tables.pred, sentiment.daily_sentiment(docs))
+    features = [*learning.PREDICTION_INPUTS, *learning.SENTIMENT_INPUTS, *learning.AGREEMENT_INPUTS]
+    out = settle(flows.reverse_errors(rows, features, settings=boosting.Settings(rounds=3, depth=2)))
     assert out.filter("reversed AND final = pred").count() == 0 and out.filter("NOT reversed AND final <> pred").count() == 0
     assert out.filter("p_err < 0 OR p_err > 1").count() == 0
+    seen = {(r.market, r.frequency, r.part) for r in out.select("market", "frequency", "part").distinct().collect()}
+    markets = {r.market for r in tables.pred.select("market").distinct().collect()}
+    assert seen == {(m, f, p) for m in markets for f in ("daily", "weekly") for p in ("val", "test")}
+    week = out.filter("frequency = 'weekly'")
+    assert week.groupBy("market", F.trunc("date", "week")).count().filter("count > 1").count() == 0
+    plain = flows.error_rows(tables.pred, weekly_too=False)
+    assert "agrees" not in plain.columns and plain.filter("frequency <> 'daily'").count() == 0
