@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,54 +100,6 @@ def class_weight(df: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
         F.try_divide(F.count_if(F.col(y) == 0), F.count_if(F.col(y) == 1)).alias("pos_weight"))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, the constant last and unpenalised."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(a.shape[1])
-    penalty = np.diag([ridge] * x.shape[1] + [1e-6])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        slope = a.T @ (weight * (y - p)) - penalty @ beta
-        curve = (a * (weight * p * (1 - p))[:, None]).T @ a + penalty
-        move = np.linalg.solve(curve, slope)
-        beta += move
-        if np.abs(move).max() < 1e-8:
-            break
-    return beta
-
-
-def walk_probabilities(rows: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """Probability of a rise for the test rows of every (series, walk), fitted on its training rows.
-
-    ``rows`` has role, y and x (sequence). Each group is one walk, a fixed number of rows, so thousands of small fits
-    run as tasks of one job; positives carry the class weight. Features are the sequence's last row, mean and change.
-    """
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, date]) + ", prob double, actual int"
-
-    def features(x: pd.Series) -> np.ndarray:
-        cube = np.stack([np.stack(list(v)) for v in x])
-        return np.hstack([cube[:, -1, :], cube.mean(axis=1), cube[:, -1, :] - cube[:, 0, :]])
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        train, test = part[part["role"] == "train"], part[part["role"] == "test"]
-        if test.empty or train["y"].nunique() < 2:
-            return pd.DataFrame({**{k: pd.Series(dtype=part[k].dtype) for k in [*keys, date]}, "prob": [], "actual": []})
-        y = train["y"].to_numpy(float)
-        weight = np.where(y == 1, (y == 0).sum() / max((y == 1).sum(), 1), 1.0)
-        xs = features(train["x"])
-        mu, sd = xs.mean(axis=0), xs.std(axis=0)
-        sd[sd == 0] = 1.0
-        beta = _fit_logistic((xs - mu) / sd, y, weight)
-        xt = np.hstack([(features(test["x"]) - mu) / sd, np.ones((len(test), 1))])
-        out = test[[*keys, date]].copy()
-        out["prob"] = 1 / (1 + np.exp(-np.clip(xt @ beta, -30, 30)))
-        out["actual"] = test["y"].astype("int32")
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
-
-
 def decide(prob="prob", threshold: float = 0.5) -> Column:
     return F.when(F.col(prob) > threshold, 1).otherwise(0)
 

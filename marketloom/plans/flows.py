@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
-from marketloom.operators import boosting, cleaning, documents, indicators, learning, performance, portfolio, sentiment, series, technical, weekly
+from marketloom.operators import boosting, cleaning, documents, indicators, learning, logistic, performance, portfolio, sentiment, series, technical, weekly
 from marketloom.operators.series import ordered
 from marketloom.session import settle
 
@@ -66,8 +66,8 @@ def walk_forward(panel: DataFrame, features: Sequence[str], steps: int = 60, spl
     """Feature panel to out-of-sample probabilities, predictions and labels per market, walk and date."""
     rows = panel.dropna(how="any").withColumn("y", learning.label())
     walks = learning.scaled(learning.assign_walks(rows, KEYS, split), [*KEYS, "walk"], features)
-    seq = learning.sequences(walks, [*KEYS, "walk", "role"], features, steps)
-    out = learning.walk_probabilities(seq.select(*KEYS, "walk", "role", "date", "y", "x"), [*KEYS, "walk"])
+    seq, columns = logistic.sequence_summaries(walks, [*KEYS, "walk", "role"], features, steps)
+    out = logistic.walk_probabilities(seq, [*KEYS, "walk"], columns)
     return out.withColumn("pred", learning.decide())
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import boosting, learning, sentiment, slots, weekly
+from marketloom.operators import boosting, learning, logistic, sentiment, slots, weekly
 from marketloom.operators.series import ordered
 from marketloom.plans import flows
 from marketloom.queries.registry import query
@@ -108,8 +108,8 @@ def _(t):
 @query("M08_direction_classifier")
 def _(t):
     rows = learning.scaled(daily_rows(t), MW, ["close", "vwap"])
-    seq = learning.sequences(rows, ["market", "walk", "role"], ["close", "vwap", "log_return"], 60)
-    probs = learning.walk_probabilities(seq.select("market", "walk", "role", "date", "y", "x"), MW)
+    seq, columns = logistic.sequence_summaries(rows, ["market", "walk", "role"], ["close", "vwap", "log_return"], 60)
+    probs = logistic.walk_probabilities(seq, MW, columns)
     return probs.withColumn("pred", learning.decide())
 
 
