@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from marketloom.queries.registry import query
 from marketloom.session import fresh_path
 from marketloom.sources import documents
-from marketloom.streaming import intake, windows
+from marketloom.streaming import intake, sessions, windows
 
 
 @query("I01_resume_by_log", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE 'https:%')")
@@ -94,7 +94,8 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS ended, count(*) AS n, R4(sum(value)) AS total FROM s GROUP BY user_id, k
 """)
 def _(t):
-    rows = streamed(t, windows.sessions, ["user_id"], windows.merged_sessions)
+    output = fresh_path(t.spark, "sessions")
+    rows = sessions.run_available(t.spark, f"{t.folder}/events*.parquet", t.events.schema, output, f"{output}-log", ["user_id"])
     return rows.select(
         "user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("started"), F.unix_micros(F.col("end").cast("timestamp")).alias("ended"),
         "n", F.round("total", 4).alias("total"))

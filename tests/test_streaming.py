@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from marketloom.streaming import intake, windows
+from marketloom.streaming import intake, sessions, windows
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 1, 1)
@@ -26,18 +26,56 @@ def rows_of(df):
     return sorted((r.user_id, r.start, r.end, r.n, round(r.total, 6)) for r in df.collect())
 
 
-@pytest.mark.parametrize("files, per_batch", [(1, 100), (4, 1), (60, 9)])
-def test_no_event_is_late(spark, events, tmp_path, files, per_batch):
+GAP = dt.timedelta(minutes=30)
+
+
+def whole_sessions(events):
+    """One after the other: an event a gap or more after the last one opens a session."""
+    out = []
+    for r in sorted(events.collect(), key=lambda r: (r.user_id, r.ts)):
+        if out and out[-1][0] == r.user_id and r.ts < out[-1][2]:
+            user, start, _, n, total = out[-1]
+            out[-1] = (user, start, r.ts + GAP, n + 1, total + r.value)
+        else:
+            out.append((r.user_id, r.ts, r.ts + GAP, 1, r.value))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files, per_batch, folders", [(1, 100, 100), (4, 1, 2), (60, 9, 3)])
+def test_no_event_is_late(spark, events, tmp_path, files, per_batch, folders):
     source = f"{tmp_path}/in"
     events.repartition(files, F.rand(3)).write.parquet(source)
-    whole = lambda window: events.groupBy(window.alias("w"), "user_id").agg(
-        F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", "w.start", "w.end", "n", "total")
-    for name, build, merge, window in (
-            ("day", windows.tumbling, windows.summed_windows, F.window("ts", "1 day")),
-            ("week", windows.sliding, windows.summed_windows, F.window("ts", "7 days", "1 day")),
-            ("session", windows.sessions, windows.merged_sessions, F.session_window("ts", "30 minutes"))):
-        got = windows.run_available(spark, source, events.schema, build, f"{tmp_path}/{name}", f"{tmp_path}/{name}-log", ["user_id"], merge, per_batch)
-        assert rows_of(got) == rows_of(whole(window))
+    whole = lambda window: rows_of(events.groupBy(window.alias("w"), "user_id").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", "w.start", "w.end", "n", "total"))
+    for name, build, merge, want in (
+            ("day", windows.tumbling, windows.summed_windows, whole(F.window("ts", "1 day"))),
+            ("week", windows.sliding, windows.summed_windows, whole(F.window("ts", "7 days", "1 day"))),
+            ("session", windows.sessions, windows.merged_sessions, whole_sessions(events))):
+        for _ in range(2):  # the second time there is nothing new
+            got = windows.run_available(spark, source, events.schema, build, f"{tmp_path}/{name}", f"{tmp_path}/{name}-log", ["user_id"], merge, per_batch, folders)
+            assert rows_of(got) == want
+        left = list((tmp_path / name).glob("batch=*"))
+        assert len(left) <= folders and (len(list((tmp_path / name).glob("merged=*"))) == 1 or files <= folders)
+
+
+@pytest.mark.parametrize("files, per_batch", [(1, 100), (4, 1), (200, 40)])
+def test_sessions_in_state(spark, events, tmp_path, files, per_batch):
+    source, out, log = (f"{tmp_path}/{x}" for x in ("in", "out", "log"))
+    events.repartition(files, F.rand(5)).write.parquet(source)
+    run = lambda: sessions.run_available(spark, source, events.schema, out, log, ["user_id"], delay="10 minutes", files_per_batch=per_batch)
+    assert rows_of(run()) == whole_sessions(events)
+    kinds = {r.kind: r["count"] for r in spark.read.parquet(out).groupBy("kind").count().collect()}
+    assert files == 1 or kinds["late"] > 0
+    # What is over has left the state; the rest is within the delay of the newest event, by day.
+    newest = max(r.ts for r in events.collect())
+    assert all(r.end > newest - dt.timedelta(minutes=10) for r in sessions.open_sessions(spark, log, ["user_id"]).collect())
+    # More files, among them some long past, are added to what is there.
+    more = spark.createDataFrame([(50, T0 + dt.timedelta(minutes=m), 1.0) for m in (15, 1440, 9000, 9030)] + [(None, T0, 2.0)], SCHEMA)
+    more.write.mode("append").parquet(source)
+    got = run()
+    known = got.filter("user_id IS NOT NULL")
+    assert rows_of(known) == whole_sessions(events.union(more.filter("user_id IS NOT NULL")))
+    assert [(r.n, r.total) for r in got.filter("user_id IS NULL").collect()] == [(1, 2.0)]
 
 
 def test_broken_lines_are_rejected_once(spark, tmp_path):
