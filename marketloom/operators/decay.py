@@ -26,7 +26,7 @@ def ewm_mean(df: DataFrame, keys: Sequence[str], columns: dict[str, str], alpha:
     # Rows before the first value share a place; they add nothing.
     scanned = decayed_sum(seen, keys, F.col("_nth") - 1, inputs, 1 - alpha)
     ready = (F.col("_nth") >= min_rows) & F.col(probe).isNotNull()
-    return scanned.withColumns({out: F.when(ready, F.col(out)) for out in columns}).drop("_nth", "_place")
+    return scanned.withColumns({out: F.when(ready, F.col(out)) for out in columns}).drop("_nth", "_at")
 
 
 def relative_strength(gain, loss, zero_loss: str = "null") -> Column:

@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -27,20 +27,31 @@ def _safe(n, d) -> Column:
     return F.coalesce(F.try_divide(n, d), F.lit(0.0))
 
 
-def rolling_drawdown(c: str, w: WindowSpec, rows: int) -> Column:
-    """Least (x − running maximum) inside each full window over the window's last running maximum.
+def rolling_drawdown(df: DataFrame, keys: Sequence[str], c: str, rows: int, date: str = "date", out: str = "max_dd") -> DataFrame:
+    """Add the least (x − running maximum) inside each full window over the window's maximum; null for a window with a gap.
 
-    The frame holds at most ``rows`` values; one fold keeps the running maximum and the least difference.
+    A stretch of rows has a summary: maximum, minimum and least drop. Two neighbouring stretches merge to the larger maximum,
+    the smaller minimum, and the least of both drops and of the second's minimum below the first's maximum. Rows fall into
+    blocks of the window's length, so a window is the end of one block and the start of the next: running windows over a
+    block from either side give both summaries, and each row merges two of them, whatever the window's length.
     """
-    frame = trailing(w, rows)
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("low"))
-
-    def step(acc, x):
-        top = F.greatest(acc["top"], x)
-        return F.struct(top.alias("top"), F.least(acc["low"], x - top).alias("low"))
-
-    folded = F.aggregate(F.collect_list(c).over(frame), start, step, lambda a: a["low"] / a["top"])
-    return F.when(F.count(c).over(frame) == rows, folded)
+    w = ordered(list(keys), date)
+    x = F.col("_x")
+    placed = df.withColumns({"_i": F.row_number().over(w) - 1, "_x": F.col(c).cast("double")}).withColumn("_b", F.floor(F.col("_i") / rows))
+    block = Window.partitionBy(*keys, "_b")
+    start, end = block.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0), block.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    after = block.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = placed.withColumns({"_h_top": F.max(x).over(start), "_h_low": F.min(x).over(start), "_h_n": F.count(x).over(start)})
+    heads = heads.withColumn("_h_drop", F.min(x - F.col("_h_top")).over(start))
+    # From the back: a row's drop is the least value after it in the block less its own.
+    tails = heads.withColumns({"_t_top": F.max(x).over(end), "_t_n": F.count(x).over(end), "_under": F.least(F.min(x).over(after) - x, F.lit(0.0))})
+    tails = tails.withColumn("_t_drop", F.min("_under").over(end))
+    tail = F.when(F.col("_i") % rows != rows - 1, F.lag(F.struct(F.col("_t_top").alias("top"), F.col("_t_drop").alias("drop"), F.col("_t_n").alias("n")), rows - 1).over(w))
+    met = tails.withColumn("_tail", tail)
+    n = F.col("_h_n") + F.coalesce("_tail.n", F.lit(0))
+    drop = F.least("_h_drop", "_tail.drop", F.col("_h_low") - F.col("_tail.top"))
+    whole = F.when((F.col("_i") >= rows - 1) & (n == rows), drop / F.greatest("_h_top", "_tail.top"))
+    return met.withColumn("_out", whole).select(*[k for k in df.columns if k != out], F.col("_out").alias(out))
 
 
 def with_returns(nav: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -315,41 +326,65 @@ def significance(pairs: DataFrame, keys: Sequence[str], confidence: float = 0.95
     return out.withColumns({f"significant_{n}": F.col(p) < 1 - confidence for n, p in (("mean", "p_value"), ("paired", "p_paired"), ("ranks", "p_ranks"))})
 
 
-def bootstrap_sharpe(pairs: DataFrame, keys: Sequence[str], samples: int = 1000, confidence: float = 0.95, seed: int = 17,
-                     per_task: int = 50) -> DataFrame:
+# Fixed values of the draws: factors of date, resample and seed, and the factor of a mixing round, all in 32 bits.
+DRAW_FACTORS, MIX_FACTOR, MIX_ROUNDS, WORD = (2_246_822_519, 2_654_435_769, 3_266_489_917), 73_244_475, 3, (1 << 32) - 1
+#: A row stands in a resample as often as the first place of this list its draw lies below: Poisson's distribution of mean 1.
+DRAW_BOUNDS = tuple(int(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(12))
+
+
+def resample_counts(day: np.ndarray, resample: np.ndarray, seed: int) -> np.ndarray:
+    """How often the row of a day stands in a resample; (day, resample)."""
+    a, b, c = DRAW_FACTORS
+    word = np.uint64(WORD)
+    x = (day.astype(np.uint64)[:, None] * np.uint64(a) + resample.astype(np.uint64)[None, :] * np.uint64(b) + np.uint64(seed * c & WORD)) & word
+    for _ in range(MIX_ROUNDS):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(MIX_FACTOR)) & word
+    return np.searchsorted(np.array(DRAW_BOUNDS, np.uint64), x ^ (x >> np.uint64(16)), side="right")
+
+
+def bootstrap_sharpe(pairs: DataFrame, keys: Sequence[str], samples: int = 1000, confidence: float = 0.95, seed: int = 17) -> DataFrame:
     """Paired bootstrap of the Sharpe difference: interval, two-tailed p and flag per key.
 
-    A series, one value per calendar day, travels as one array; blocks of resamples are rows of their own, so the
-    resampling of one series spreads over tasks. Draws follow from seed, key and resample number alone.
+    A row's count in a resample is drawn from a hash of its day, the resample and the seed, apart from all other rows. So
+    no series gathers: a task adds up counts, values and squares of its rows per resample, and an aggregate the tasks'
+    sums. All series see the same days drawn.
     """
-    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    series = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "p", "b"))).alias("s"))
-    blocks = series.select(
-        *keys, F.transform("s", lambda x: x["p"]).alias("p"), F.transform("s", lambda x: x["b"]).alias("b"), F.xxhash64(*keys).alias("h"),
-        F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // per_task))).alias("block")).repartition(*keys, "block")
-
-    def sharpe(x: np.ndarray) -> np.ndarray:
-        sd = x.std(axis=-1)
-        return np.where(sd > 0, x.mean(axis=-1) / np.where(sd > 0, sd, 1) * ROOT, 0.0)
-
-    def resample(batches):
-        for part in batches:
-            for _, row in part.iterrows():
-                p, b = np.asarray(row["p"], float), np.asarray(row["b"], float)
-                count = min(per_task, samples - row["block"] * per_task)
-                rng = np.random.default_rng([seed, row["h"] & 0x7FFFFFFF, int(row["block"])])
-                i = rng.integers(0, len(p), size=(count, len(p)))
-                out = {k: [row[k]] * count for k in keys}
-                yield pd.DataFrame({**out, "diff": sharpe(p[i]) - sharpe(b[i]), "sharpe_model": float(sharpe(p)), "sharpe_benchmark": float(sharpe(b))})
-
-    drawn = blocks.mapInPandas(resample, ", ".join(f"{k} {fields[k]}" for k in keys) + ", diff double, sharpe_model double, sharpe_benchmark double")
+    keys, sums = list(keys), ["c", "p", "pp", "b", "bb"]
+    rows = pairs.filter(F.col("p").isNotNull() & F.col("b").isNotNull()).select(
+        F.to_json(F.struct(*keys)).alias("key"), F.unix_date("date").cast("long").alias("day"), F.col("p").cast("double").alias("p"), F.col("b").cast("double").alias("b"))
+
+    def add_up(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            key = batch.column("key").dictionary_encode()
+            of, day, p, b = key.indices.to_numpy(), *(batch.column(c).to_numpy() for c in ("day", "p", "b"))
+            for k, name in enumerate(key.dictionary.to_pylist()):
+                at = np.flatnonzero(of == k)
+                for lo in range(0, len(at), 1024):
+                    own = at[lo: lo + 1024]
+                    counts = resample_counts(day[own], np.arange(samples), seed).astype(float)
+                    part = np.stack([np.ones(len(own)), p[own], p[own] ** 2, b[own], b[own] ** 2]) @ counts
+                    total[name] = total[name] + part if name in total else part
+        for name, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * samples), pa.array(np.arange(samples)), *map(pa.array, part)], ["key", "resample", *sums])
+
+    drawn = rows.mapInArrow(add_up, "key string, resample long, " + ", ".join(f"{c} double" for c in sums)).groupBy("key", "resample").agg(*[F.sum(c).alias(c) for c in sums])
+
+    def ratio(n, x: str, xx: str) -> Column:
+        mean = F.try_divide(F.col(x), n)
+        sd = F.sqrt(F.greatest(F.try_divide(F.col(xx), n) - mean * mean, F.lit(0.0)))
+        return F.when(sd > 1e-12, mean / sd * ROOT).otherwise(0.0)
+
+    diff = F.round(ratio(F.col("c"), "p", "pp") - ratio(F.col("c"), "b", "bb"), 10)
     alpha = 1 - confidence
-    observed = F.col("sharpe_model") - F.col("sharpe_benchmark")
-    one = drawn.groupBy(*keys).agg(
-        F.first("sharpe_model").alias("sharpe_model"), F.first("sharpe_benchmark").alias("sharpe_benchmark"),
+    whole = pairs.groupBy(*keys).agg(
+        F.count_if(F.col("p").isNotNull() & F.col("b").isNotNull()).alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    whole = whole.select(*keys, F.to_json(F.struct(*keys)).alias("key"), ratio(F.col("n"), "p", "pp").alias("sharpe_model"), ratio(F.col("n"), "b", "bb").alias("sharpe_benchmark"))
+    one = drawn.select("key", diff.alias("diff")).groupBy("key").agg(
         F.percentile("diff", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_ci"),
         F.avg((F.col("diff") <= 0).cast("double")).alias("_le"), F.avg((F.col("diff") >= 0).cast("double")).alias("_ge"))
-    return one.select(
+    observed = F.col("sharpe_model") - F.col("sharpe_benchmark")
+    return whole.join(one, "key").select(
         *keys, "sharpe_model", "sharpe_benchmark", observed.alias("difference"), F.col("_ci")[0].alias("ci_lower"), F.col("_ci")[1].alias("ci_upper"),
         (2 * F.when(observed > 0, F.col("_le")).otherwise(F.col("_ge"))).alias("p_value")
     ).withColumn("significant", (F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))

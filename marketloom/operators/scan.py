@@ -33,7 +33,7 @@ def whole_position(df: DataFrame, keys: Sequence[str], order: str) -> tuple[Data
         return df, F.col(order)
     from marketloom.operators.ordering import positions
 
-    return positions(df, list(keys), [order], "_place"), F.col("_place")
+    return positions(df, list(keys), [order], "_at"), F.col("_at")
 
 
 def _joined(rows: DataFrame, carried: DataFrame, on: Sequence[str]) -> DataFrame:

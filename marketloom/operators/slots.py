@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators.ordering import top_per_key
+from marketloom.operators.tournament import Judge, best_two
 
 # The slot grid with the position of each category on its dimension.
 GRID = (
@@ -55,12 +56,14 @@ def best_per_slot(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).select(*keys, *SLOT, F.col("_best.doc_id").alias("doc_id"), (-F.col("_best.order")).alias("score"))
 
 
-def merged_slots(candidates: DataFrame) -> DataFrame:
+def merged_slots(candidates: DataFrame, judge: Judge | None = None) -> DataFrame:
     """All twelve slots: the best candidate, else the runner-up of the adjacent outer slot, else empty.
 
-    The top two of a slot offer themselves to their own slot and, as runner-up, to the adjacent inner one.
+    The top two of a slot, by score or by a judge of pairs, offer themselves to their own slot and, as runner-up, to the
+    adjacent inner one.
     """
-    ranked = top_per_key(candidates, SLOT, [F.desc("score"), F.asc("doc_id")], 2)
+    rows = candidates.select(*SLOT, "doc_id", "score")
+    ranked = best_two(rows, SLOT, ["doc_id"], judge) if judge else top_per_key(rows, SLOT, [F.desc("score"), F.asc("doc_id")], 2)
     inner = F.create_map(*[F.lit(x) for kv in ADJACENT.items() for x in kv])
     second = (F.col("rank") == 2) & (F.col("dimension") != "policy_strength")
     offers = F.array_compact(F.array(

@@ -1,8 +1,7 @@
-"""Distributions of scores and features: summaries, histograms, outliers, correlations, densities."""
+"""Distributions of scores and features: summaries, histograms, outliers, correlations."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,56 +78,10 @@ def beta_parts(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
         F.try_divide(F.covar_samp(a, b), F.var_samp(b)).alias("beta"))
 
 
-def kernel_density(long: DataFrame, keys: Sequence[str], points: int = 200, value: str = "r") -> DataFrame:
-    """Gaussian kernel density on evenly spaced points with Scott's width, and the normal density beside it.
-
-    Each row meets a fixed number of points and is summed map-side, so the work is linear in the rows.
-    """
-    stats = long.groupBy(*keys).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"),
-        F.stddev_samp(value).alias("sd"), F.avg(value).alias("mu"))
-    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    grid = stats.withColumn("h", h)
-    i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    x = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
-    z = (F.col("x") - F.col(value)) / F.col("h")
-    root = math.sqrt(2 * math.pi)
-    summed = (
-        long.join(grid, list(keys)).select(*keys, value, "lo", "hi", "n", "h", "sd", "mu", i).withColumn("x", x)
-        .groupBy(*keys, "point").agg(
-            F.sum(F.exp(-0.5 * z * z)).alias("k"), *[F.first(c).alias(c) for c in ("x", "n", "h", "sd", "mu")]))
-    normal = F.exp(-0.5 * F.pow((F.col("x") - F.col("mu")) / F.col("sd"), 2)) / (F.col("sd") * root)
-    return summed.select(*keys, "point", "x", (F.col("k") / (F.col("n") * F.col("h") * root)).alias("density"), normal.alias("normal"))
-
-
 def grid_counts(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     return df.groupBy(F.floor(F.col(x) / width).alias("cell_x"), F.floor(F.col(y) / width).alias("cell_y")).agg(F.count("*").alias("n"))
 
 
-def kernel_density_2d(df: DataFrame, x: str, y: str, mesh: int, low: float, high: float) -> DataFrame:
-    """Gaussian kernel of two scores on a square mesh with the sample covariance scaled by n^(−1/3).
-
-    Equal score pairs are counted first, so the work follows the distinct pairs times the fixed mesh.
-    """
-    n = F.count("*").cast("double")
-    f = F.pow(n, F.lit(-1.0 / 3))
-    shape = df.agg(F.struct(
-        n.alias("n"), (F.var_samp(x) * f).alias("a"), (F.var_samp(y) * f).alias("b"), (F.covar_samp(x, y) * f).alias("c")))
-    step = (high - low) / (mesh - 1)
-    places = F.explode(F.sequence(F.lit(0), F.lit(mesh * mesh - 1))).alias("_p")
-    pairs = df.groupBy(x, y).agg(F.count("*").alias("w")).withColumn("_s", shape.scalar())
-    a, b, c = (F.col(f"_s.{k}") for k in "abc")
-    det = a * b - c * c
-    dx, dy = F.lit(low) + F.col("i") * step - F.col(x), F.lit(low) + F.col("j") * step - F.col(y)
-    form = (b * dx * dx - 2 * c * dx * dy + a * dy * dy) / det
-    summed = (
-        pairs.select(x, y, "w", "_s", places)
-        .withColumn("i", F.floor(F.col("_p") / mesh)).withColumn("j", F.col("_p") % mesh)
-        .groupBy("i", "j").agg(
-            F.sum(F.col("w") * F.exp(-0.5 * form)).alias("k"), F.first("_s.n").alias("n"), F.first(det).alias("det")))
-    return summed.select("i", "j", (F.col("k") / (F.col("n") * 2 * math.pi * F.sqrt("det"))).alias("density"))
-
-
 def average_rank(keys: Sequence[str], value, ascending: bool = True) -> Column:
     """Rank with the mean of tied positions."""
     v = F.col(value) if isinstance(value, str) else value
@@ -137,5 +90,4 @@ def average_rank(keys: Sequence[str], value, ascending: bool = True) -> Column:
 
 
 __all__ = [
-    "average_rank", "beta_parts", "correlations", "five_numbers", "grid_counts", "histogram", "kernel_density",
-    "kernel_density_2d", "outliers", "summary", "unpivot"]
+    "average_rank", "beta_parts", "correlations", "five_numbers", "grid_counts", "histogram", "outliers", "summary", "unpivot"]

@@ -233,5 +233,5 @@ SELECT market, date, R6(min(x - top) / max(top)) AS max_dd FROM p GROUP BY marke
 def _(t):
     from marketloom.operators import performance
 
-    dd = t.px.select("market", "date", performance.rolling_drawdown("close", ordered(M), 20).alias("d"))
-    return dd.filter("d IS NOT NULL").select("market", "date", F.round("d", 6).alias("max_dd"))
+    dd = performance.rolling_drawdown(t.px.select("market", "date", "close"), M, "close", 20)
+    return dd.filter("max_dd IS NOT NULL").select("market", "date", F.round("max_dd", 6).alias("max_dd"))

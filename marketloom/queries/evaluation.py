@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import cleaning, learning, performance, portfolio, series, statistics
+from marketloom.operators import cleaning, density, learning, performance, portfolio, series
 from marketloom.operators.series import ordered
 from marketloom.queries.features import RSI_SIGNAL, strength_signal
 from marketloom.queries.registry import query
@@ -319,8 +319,8 @@ p AS (SELECT a.model, a.market, a.date, a.i, b.nav AS x, max(b.nav) OVER (PARTIT
 SELECT model, market, date, R6(min(x - top) / max(top)) AS max_dd FROM p GROUP BY model, market, date
 """, ("nav",))
 def _(t):
-    d = t.nav.select(*K, "date", performance.rolling_drawdown("nav", ordered(K), 60).alias("max_dd"))
-    return rounded(d.filter("max_dd IS NOT NULL"), "max_dd")
+    d = performance.rolling_drawdown(t.nav.select(*K, "date", "nav"), K, "nav", 60)
+    return rounded(d.filter("max_dd IS NOT NULL").drop("nav"), "max_dd")
 
 
 @query("W25_volatility_regimes", "WITH " + _rolling_sql(60) + """
@@ -544,9 +544,35 @@ def _(t):
     return rounded(performance.rank_test(performance.paired_returns(t.nav, M, "Buy&Hold"), K), "z")
 
 
-@query("B22_bootstrap_sharpe")
+def _ratio(n, x, xx):
+    """Mean over deviation a year, 0 without a deviation, from count, sum and sum of squares."""
+    sd = f"sqrt(greatest({xx} / {n} - ({x} / {n}) * ({x} / {n}), 0))"
+    return f"CASE WHEN {sd} > 1e-12 THEN {x} / {n} / {sd} * sqrt(252) ELSE 0 END"
+
+
+def _bootstrap_sql(samples=1000, seed=17):
+    a, b, c = performance.DRAW_FACTORS
+    steps = [f"x0 AS (SELECT model, market, p, b, k.range AS resample, ((date_diff('day', DATE '1970-01-01', date) * {a} + k.range * {b} + {seed * c % 2**32}) & {performance.WORD}) AS x FROM pair, range({samples}) k)"]
+    for i in range(performance.MIX_ROUNDS):
+        steps.append(f"x{i + 1} AS (SELECT model, market, p, b, resample, (xor(x, x >> 16) * {performance.MIX_FACTOR}) & {performance.WORD} AS x FROM x{i})")
+    times = " + ".join(f"CAST(xor(x, x >> 16) >= {bound} AS INTEGER)" for bound in performance.DRAW_BOUNDS)
+    return f"""
+WITH pair AS (SELECT m.model, m.market, m.date, m.r AS p, h.r AS b FROM ret m JOIN ret h ON h.market = m.market AND h.date = m.date AND h.model = 'Buy&Hold' WHERE m.model <> 'Buy&Hold'),
+{", ".join(steps)},
+c AS (SELECT model, market, resample, p, b, CAST({times} AS DOUBLE) AS c FROM x{performance.MIX_ROUNDS}),
+s AS (SELECT model, market, resample, sum(c) AS c, sum(c * p) AS p, sum(c * p * p) AS pp, sum(c * b) AS b, sum(c * b * b) AS bb FROM c GROUP BY 1, 2, 3),
+d AS (SELECT model, market, round({_ratio('c', 'p', 'pp')} - {_ratio('c', 'b', 'bb')}, 10) AS diff FROM s),
+q AS (SELECT model, market, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END) AS le, avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END) AS ge FROM d GROUP BY 1, 2),
+w AS (SELECT model, market, {_ratio('count(*)', 'sum(p)', 'sum(p * p)')} AS sm, {_ratio('count(*)', 'sum(b)', 'sum(b * b)')} AS sb FROM pair GROUP BY 1, 2)
+SELECT model, market, R6(sm) AS sharpe_model, R6(sb) AS sharpe_benchmark, R6(sm - sb) AS difference, R6(lo) AS ci_lower, R6(hi) AS ci_upper, R6(2 * CASE WHEN sm - sb > 0 THEN le ELSE ge END) AS p_value,
+  lo > 0 OR hi < 0 AS significant FROM w JOIN q USING (model, market)
+"""
+
+
+@query("B22_bootstrap_sharpe", _bootstrap_sql(), ("ret",))
 def _(t):
-    return performance.bootstrap_sharpe(performance.paired_returns(t.nav, M, "Buy&Hold"), K)
+    out = performance.bootstrap_sharpe(performance.paired_returns(t.nav, M, "Buy&Hold"), K)
+    return rounded(out, *[c for c in out.columns if c not in (*K, "significant")])
 
 
 @query("B25_return_density", """
@@ -556,7 +582,7 @@ SELECT g.model, g.market, point, R6(any_value(x)) AS x, R6(sum(exp(-0.5 * ((x -
 FROM g JOIN ret ON ret.market = g.market AND ret.model = g.model GROUP BY g.model, g.market, point
 """, ("ret",))
 def _(t):
-    d = statistics.kernel_density(t.ret.select(*K, "r"), K)
+    d = density.kernel_density(t.ret.select(*K, "r"), K)
     return rounded(d.withColumn("point", F.col("point").cast("long")), "x", "density", "normal")
 
 

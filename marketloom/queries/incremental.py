@@ -7,13 +7,15 @@ from pyspark.sql import types as T
 from marketloom.queries.registry import query
 from marketloom.session import fresh_path
 from marketloom.sources import documents
-from marketloom.streaming import intake, sessions, windows
+from marketloom.streaming import intake, seen, sessions, windows
 
 
 @query("I01_resume_by_log", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE url LIKE 'https:%')")
 def _(t):
     log = intake.progress(t.pages.filter(F.col("url").startswith("https:")), "news")
-    return intake.pending(t.pages.select("page_id", "url"), log).select("page_id", "url")
+    done = seen.SeenKeys(t.spark, fresh_path(t.spark, "progress"), "url")
+    done.add(log, 0)
+    return done.unseen(t.pages.select("page_id", "url"))
 
 
 def local_scores(batch: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import boosting, learning, logistic, sentiment, slots, weekly
+from marketloom.operators import boosting, learning, logistic, sentiment, slots, tournament, weekly
 from marketloom.operators.series import ordered
 from marketloom.plans import flows
 from marketloom.queries.registry import query
@@ -330,14 +330,21 @@ def _(t):
     return slots.best_per_slot(c.withColumn("group", F.floor(F.col("doc_id") / 20)), ["group"])
 
 
-def merged(t):
-    c = slots.classify(t.scored.select("doc_id", "supply", "demand", "strength"))
-    return slots.merged_slots(c.filter("NOT (dimension = 'supply' AND category IN ('reduce', 'increase'))"))
+@query("T08_slot_tournament", "WITH " + CANDIDATES + """
+SELECT doc_id // 20 AS "group", dimension, category, arg_min(doc_id, (-score, doc_id)) AS doc_id, max(score) AS score FROM cand GROUP BY 1, 2, 3
+""", ("scored",))
+def _(t):
+    c = slots.classify(t.scored.select("doc_id", "supply", "demand", "strength")).withColumn("group", F.floor(F.col("doc_id") / 20))
+    won = tournament.bracket(c.select("group", *slots.SLOT, "doc_id", "score"), ["group", *slots.SLOT], ["doc_id"], tournament.by_score())
+    return won.select("group", *slots.SLOT, "won.doc_id", "won.score")
+
+
+def merged(t, judge=None):
+    return slots.merged_slots(slots.classify(t.scored.select("doc_id", "supply", "demand", "strength")), judge)
 
 
 MERGED = "WITH " + CANDIDATES + """
-, c AS (SELECT * FROM cand WHERE NOT (dimension = 'supply' AND category IN ('reduce', 'increase'))),
-r AS (SELECT *, row_number() OVER (PARTITION BY dimension, category ORDER BY score DESC, doc_id) AS i FROM c),
+, r AS (SELECT *, row_number() OVER (PARTITION BY dimension, category ORDER BY score DESC, doc_id) AS i FROM cand),
 grid(dimension, category, position) AS (VALUES ('supply', 'restrict', -100), ('supply', 'reduce', -50), ('supply', 'increase', 50), ('supply', 'expand', 100),
   ('demand', 'restrict', -100), ('demand', 'reduce', -50), ('demand', 'increase', 50), ('demand', 'expand', 100),
   ('policy_strength', 'informational', 0), ('policy_strength', 'encouraged', 33), ('policy_strength', 'binding', 67), ('policy_strength', 'mandatory', 100)),
@@ -352,12 +359,22 @@ def _(t):
     return merged(t)
 
 
+@query("T09_slots_by_tournament", MERGED + "SELECT dimension, category, position, doc_id, score, CASE WHEN doc_id IS NULL THEN 'empty' ELSE 'filled' END AS status, adapted FROM m", ("scored",))
+def _(t):
+    return merged(t, tournament.compared_by(lambda slot, a, b: a["score"] >= b["score"]))
+
+
 @query("T10_slot_fill_summary", MERGED + "SELECT count(*) AS total_slots, count(doc_id) AS filled, count(*) - count(doc_id) AS empty, R6(100.0 * count(doc_id) / count(*)) AS fill_rate FROM m", ("scored",))
 def _(t):
     return rounded(slots.fill_summary(merged(t)), "fill_rate")
 
 
-@query("F22_nested_json_build")
+@query("F22_nested_json_build", MERGED + """
+, e AS (SELECT dimension, category, '"' || category || '":{"status":"' || CASE WHEN doc_id IS NULL THEN 'empty' ELSE 'filled' END || '","document":' ||
+  CASE WHEN doc_id IS NULL THEN 'null' ELSE '{"doc_id":' || doc_id || ',"score":' || score || '}' END || '}' AS entry FROM m),
+d AS (SELECT dimension, '"' || dimension || '":{' || string_agg(entry, ',' ORDER BY category) || '}' AS entry FROM e GROUP BY dimension)
+SELECT '{' || string_agg(entry, ',' ORDER BY dimension) || '}' AS value FROM d
+""", ("scored",))
 def _(t):
     return slots.nested_json(merged(t), ["doc_id", "score"])
 

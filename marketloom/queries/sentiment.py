@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import cleaning, sentiment, statistics
+from marketloom.operators import cleaning, density, sentiment, statistics
 from marketloom.queries.registry import query
 
 SOURCES = {"ASIA": ("national", "regional_a"), "EUROPE": ("national", "regional_b")}
@@ -212,10 +212,10 @@ SELECT i, j, R9(sum(exp(-0.5 * (b * (x - supply) ** 2 - 2 * c * (x - supply) * (
 FROM m, s, scored GROUP BY i, j
 """, ("scored",))
 def _(t):
-    density = statistics.kernel_density_2d(t.scored, "supply", "demand", 21, -150.0, 150.0)
+    smooth = density.kernel_density_2d(t.scored, "supply", "demand", 21, -150.0, 150.0)
     counts = statistics.grid_counts(t.scored, "supply", "demand", 15.0).select(
         (F.col("cell_x") + 10).alias("i"), (F.col("cell_y") + 10).alias("j"), "n")
-    joined = density.select(F.col("i"), F.col("j").cast("long").alias("j"), "density").join(counts, ["i", "j"], "left")
+    joined = smooth.select(F.col("i"), F.col("j").cast("long").alias("j"), "density").join(counts, ["i", "j"], "left")
     return joined.select("i", "j", F.round("density", 9).alias("density"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 from marketloom.operators.ordering import first_per_key
 from marketloom.operators.sentiment import LIMITS, valid_scores
-from marketloom.sources.documents import existing_paths
+from marketloom.streaming import seen
 
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in LIMITS])
 
 
 def pending(items: DataFrame, log: DataFrame, key: str = "url") -> DataFrame:
-    """Items whose key the progress log does not hold yet."""
+    """Items whose key a progress log at hand does not hold yet; a log kept over runs is a :class:`seen.SeenKeys`."""
     return items.join(log.select(key), key, "left_anti")
 
 
@@ -47,25 +47,26 @@ def score_documents(spark: SparkSession, source: str, schema: T.StructType, outp
                     scorer: Callable[[DataFrame], DataFrame], files_per_batch: int = 50, key: str = "doc_id") -> None:
     """Score new documents batch by batch until none are left.
 
-    The stream's checkpoint remembers the files read. Each batch drops documents scored by an earlier one, splits off
-    rejected scores, and overwrites the folder of its own number, so a batch repeated after a failure or a lost
-    executor leaves no second copy. Documents already seen are found in the output itself; no state grows in memory.
+    The stream's checkpoint remembers the files read. Each batch drops documents that an earlier one has scored, found in the
+    store of seen keys below ``output``, splits off rejected scores, and overwrites the folder of its own number, so a batch
+    repeated after a failure or a lost executor leaves no second copy. No state grows in memory, and a batch reads only
+    those buckets and runs of the store that may hold its keys.
     """
+    done = seen.SeenKeys(spark, f"{output}/seen", key, schema[key].dataType.simpleString())
+
     def write(batch: DataFrame, number: int) -> None:
-        done = [p for p in existing_paths(spark, [f"{output}/scored/batch=*"]) if p]
         # Lines that are no documents have no key: they are rejected as they are, once per line.
         broken = batch.filter(F.col(key).isNull())
         fresh = first_per_key(batch.filter(F.col(key).isNotNull()), [key], [F.xxhash64(*[c for c in batch.columns if c != key])])
-        if done:
-            earlier = spark.read.option("basePath", f"{output}/scored").parquet(f"{output}/scored").filter(F.col("batch") != number)
-            fresh = fresh.join(earlier.select(key), key, "left_anti")
-        scored = scorer(fresh).withColumn("_ok", valid_scores()).persist()
+        scored = scorer(done.unseen(fresh, number)).withColumn("_ok", valid_scores()).persist()
         try:
             scored.filter("_ok").drop("_ok").write.mode("overwrite").parquet(f"{output}/scored/batch={number}")
             rejected = scored.filter("NOT _ok").drop("_ok").unionByName(broken, allowMissingColumns=True)
             rejected.write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
         finally:
             scored.unpersist()
+        kind = schema[key].dataType.simpleString()
+        done.add(spark.read.schema(f"`{key}` {kind}").parquet(f"{output}/scored/batch={number}"), number)
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
     query = (
