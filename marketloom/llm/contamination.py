@@ -2,8 +2,9 @@
 
 Texts are normalised bytewise (A-Z folded, separators to blanks), so a word keeps its byte place and a match is mapped
 back to offsets of the original. Each text passes through the automaton once. The items are written to the shared folder, by hash in blocks
-of about ``block_bytes`` of text, and a task reads a block by its path when it builds that automaton; several automata are
-used one after another on each batch of texts. The driver holds no items, a task one block's and two automata.
+of about ``block_bytes`` of text, and a task reads a block by its path when it builds that automaton. With several blocks a task holds ``text_bytes`` of texts and passes
+them through one automaton after the other, so that a block is built once per that many bytes. The driver holds no items, a task one block's and
+two automata.
 
 Defined cases: null and empty texts have no words, no hits and are not contaminated; items without words or without an
 id are left out; an item_id on several rows counts once; rows of documents are judged one by one, repeated ids included;
@@ -27,7 +28,7 @@ from marketloom.llm.common import slices
 from marketloom.session import fresh_path
 
 SIZE = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, TEXT_BYTES = 8 << 20, 64 << 20
 #: Bytes that separate words become blanks, A-Z become a-z.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -44,11 +45,11 @@ def windows(words: list[bytes], size: int = SIZE) -> list[bytes]:
     return [b" ".join(words[i: i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def block_items(path: str) -> list[tuple[int, str]]:
+def block_items(path: str) -> list[tuple[str, str]]:
     """The items of a block's folder."""
     system, folder = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
     files = [f for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".parquet")]
-    out: list[tuple[int, str]] = []
+    out: list[tuple[str, str]] = []
     for file in files:
         with system.open_input_file(file.path) as source:
             table = pq.read_table(source)
@@ -61,7 +62,7 @@ def _automaton(path: str, size: int) -> ahocorasick.Automaton:
     key = f"{size} {path}"
     if key not in _automata:
         items = block_items(path)
-        patterns: dict[bytes, set[int]] = {}
+        patterns: dict[bytes, set[str]] = {}
         for item, text in items:
             for window in windows(normalised_words(text), size):
                 patterns.setdefault(window, set()).add(item)
@@ -77,7 +78,7 @@ def _automaton(path: str, size: int) -> ahocorasick.Automaton:
     return _automata[key]
 
 
-def _hits(joined: str, automaton: ahocorasick.Automaton, intervals: list[tuple[int, int]], items: set[int]) -> None:
+def _hits(joined: str, automaton: ahocorasick.Automaton, intervals: list[tuple[int, int]], items: set[str]) -> None:
     """Adds the character intervals of the joined words that are windows, and the items these are of."""
     if len(automaton):
         for end, (length, of) in automaton.iter(joined):
@@ -111,7 +112,7 @@ def _original(text: str, joined: str, merged: list[list[int]]) -> list[dict[str,
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[str]:
     """Folders of the items' blocks, of about ``block_bytes`` of text each; only their count comes to the driver."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     if not n:
@@ -122,25 +123,37 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
-         item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+         item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block_bytes: int = BLOCK_BYTES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Per row: ``carry``, n_words, n_hit, items (sorted as strings), spans (start, end in characters of the text)."""
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    return _found(rows, None, benchmark, item_id, item_text, size, block_bytes).select("_row.*", "n_words", "n_hit", "items", "spans")
+    return _found(rows, None, benchmark, item_id, item_text, size, block_bytes, text_bytes).select("_row.*", "n_words", "n_hit", "items", "spans")
+
+
+def held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``most`` bytes."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= most:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
 
 
 def _found(docs: DataFrame, field: str | None, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text",
-           size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+           size: int = SIZE, block_bytes: int = BLOCK_BYTES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Rows (_row, and _text unless the text is ``field`` of _row) with n_words, n_hit, items, spans."""
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # With few automata texts pass in small slices; with many, each automaton is fetched once per batch.
-        for batch in slices(batches) if len(blocks) <= 2 else batches:
+        # With few automata texts pass in small slices; with many, in large ones, so that each is built few times.
+        for batch in slices(batches) if len(blocks) <= 2 else held(batches, text_bytes):
             n_words, n_hit, items, spans = [], [], [], []
             texts = (batch.column(1) if field is None else batch.column(0).field(field)).to_pylist()
             joined = [(b" " + b" ".join(normalised_words(t)) + b" ").decode("latin-1") for t in texts]
             found: list[list[tuple[int, int]]] = [[] for _ in texts]
-            named: list[set[int]] = [set() for _ in texts]
+            named: list[set[str]] = [set() for _ in texts]
             for path in blocks:
                 automaton = _automaton(path, size)
                 for j, intervals, of in zip(joined, found, named):
@@ -149,7 +162,7 @@ def _found(docs: DataFrame, field: str | None, benchmark: DataFrame, item_id: st
                 union = _union(intervals)
                 n_words.append(j.count(" ") - 1 if len(j) > 2 else 0)
                 n_hit.append(sum(j.count(" ", s + 1, e + 1) for s, e in union))
-                items.append(sorted(map(str, of)))
+                items.append(sorted(of))
                 spans.append(_original(text, j, union) if union else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
