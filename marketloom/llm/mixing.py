@@ -11,7 +11,7 @@ leaf may hold a third of all rows: the prefix is cut by range partitions with ca
 
 Defined cases: null and empty texts have 0 tokens, and are taken whenever their place in the order is reached; a null
 level is a node of its own; nodes without a given weight get the default; repeated rows are taken one by one, ties
-of the order (repeated ids) in the order of their text's digest; an empty table gives no rows; a budget above all capacity takes
+of the order (repeated ids) in the order of their text's digest; a node of weight 0 gets only what its siblings cannot take; an empty table gives no rows; a budget above all capacity takes
 everything.
 """
 
@@ -50,13 +50,18 @@ def water_fill(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     group = Window.partitionBy(*parent)
     order = group.orderBy("_fill", F.col(name).asc_nulls_first())
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = nodes.withColumn("_fill", F.col("capacity") / F.col("weight"))
+    # What weighs nothing is filled last: it gets what its siblings cannot take.
+    ranked = nodes.withColumn("_fill", F.when(F.col("weight") > 0, F.col("capacity") / F.nullif(F.col("weight"), F.lit(0))).otherwise(F.lit(float("inf"))))
     ranked = ranked.withColumn("_held", F.sum("capacity").over(upto)).withColumn(
         "_others", F.sum("weight").over(group) - F.sum("weight").over(upto))
-    ranked = ranked.withColumn("_full", F.col("_held") + F.col("_fill") * F.col("_others") <= F.col("budget"))
+    rest = F.when(F.col("_others") > 0, F.col("_fill") * F.col("_others")).otherwise(F.lit(0.0))
+    ranked = ranked.withColumn("_full", F.col("_held") + rest <= F.col("budget"))
     spent = F.coalesce(F.sum(F.when(F.col("_full"), F.col("capacity"))).over(group), F.lit(0))
     weight = F.sum(F.when(~F.col("_full"), F.col("weight"))).over(group)
-    share = F.floor((F.col("budget") - spent) / weight * F.col("weight"))
+    # Among children without weight alone, each takes what those before it in the order have left.
+    left = F.col("budget") - spent
+    before = F.coalesce(F.sum(F.when(~F.col("_full"), F.col("capacity"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.when(weight > 0, F.floor(left / F.nullif(weight, F.lit(0)) * F.col("weight"))).otherwise(F.greatest(F.lit(0), left - before))
     return ranked.withColumn("granted", F.when(F.col("_full"), F.col("capacity")).otherwise(F.least("capacity", share)).cast("long")).drop(
         "_fill", "_held", "_others", "_full")
 
