@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marketloom.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES, classes, template_shingles, template_words
 from marketloom.llm.mixing import BUDGET_SHARE, DEFAULT_WEIGHT, MAX_EPOCHS, SEED, WEIGHTS
-from marketloom.llm.quality import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_COMMON
+from marketloom.llm.quality import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WHOLE_DISTANCE, MIN_CHARS, MIN_WHOLE
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -87,7 +87,7 @@ def _op8() -> str:
     common = "CASE lang " + " ".join(
         f"WHEN '{k}' THEN [{', '.join(f'''len(list_filter(w, lambda x: x = '{x}'))''' for x in v)}]" for k, v in COMMON_WORDS.items()) + " END"
     listed = ", ".join(f"'{k}'" for k in COMMON_WORDS)
-    bins, words = 6, len(COMMON_WORDS["en"])
+    bins, words = 6, len(COMMON_WORDS["en"]) + 1
     sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, n + 1)) + "]"
     return rf"""
 WITH doc AS (SELECT doc_id, CASE WHEN lang IN ({listed}) THEN lang ELSE '' END AS lang, coalesce(text, '') AS text, {_words("text")} AS w FROM documents),
@@ -101,12 +101,12 @@ base AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_strin
   {common} AS common, length(text) AS len_, [length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')), length(regexp_replace(text, '[^\p{{N}}]+', '', 'g')),
   length(regexp_replace(text, '[^.,;:!?''"()\-]+', '', 'g')), length(regexp_replace(text, '[\p{{L}}\p{{N}}\s\x0B.,;:!?''"()\-]+', '', 'g'))] AS rare
   FROM doc d LEFT JOIN line l USING (doc_id) LEFT JOIN rep r USING (doc_id)),
-full_ AS (SELECT *, rare || [len_ - word_chars, word_chars - list_sum(rare)] AS cls, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+full_ AS (SELECT * REPLACE (common || [n_words - list_sum(common)] AS common), rare || [len_ - word_chars, word_chars - list_sum(rare)] AS cls, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 ref AS (SELECT lang, {sums("cls", bins)} AS rc, {sums("common", words)} AS rw FROM full_ WHERE NOT base_failed GROUP BY lang),
 far AS (SELECT f.*, CASE WHEN list_sum(cls) >= {MIN_CHARS} THEN {js("cls", "rc")} END AS cd,
-  CASE WHEN list_sum(common) >= {MIN_COMMON} THEN {js("common", "rw")} END AS wd FROM full_ f LEFT JOIN ref USING (lang))
+  CASE WHEN n_words >= {MIN_WHOLE} THEN {js("common", "rw")} END AS wd FROM full_ f LEFT JOIN ref USING (lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(cd, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {MAX_WORD_DISTANCE} AS kept FROM far
+  NOT base_failed AND coalesce(cd, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {MAX_WHOLE_DISTANCE} AS kept FROM far
 """
 
 

@@ -156,7 +156,7 @@ def _judged(measured: DataFrame, whole: bool = False) -> DataFrame:
     return far.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
-def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = True) -> DataFrame:
     """Per row: the id, base counts, base_failed, both distances (null where guarded) and kept."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     measured = staged(_measured(docs, "text", "lang", ["doc_id"]), "quality")
