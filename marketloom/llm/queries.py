@@ -54,7 +54,8 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return urls.judged_urls(_read(spark, folder, "pages"), urls.seed_label(F.col("url"))).drop("n_rules")
+    label = F.when(urls.taught(F.col("page_id")), urls.text_label(F.col("html")))
+    return urls.judged_urls(_read(spark, folder, "pages"), label).drop("n_rules")
 
 
 def op10_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:

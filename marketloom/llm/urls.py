@@ -5,8 +5,9 @@ plus one item for the label. Rules that lead to the label with enough support an
 add tokens to a rule which already holds are pruned. Each rule stands in the index under its rarest token; a url meets
 the rules of its tokens there, and blocks when it has all tokens of one. Listed host rules go before: the longest wins.
 
-Labels are a column of 0 and 1. The driver's tables have none for urls, so :func:`seed_label` marks urls with a listed
-word as 1; mining finds the tokens that go with them.
+Labels are a column of 0 and 1. The driver's tables have none for urls, so :func:`text_label` marks pages whose text, not url,
+holds a listed word; mining finds the url tokens that go with such pages, on the part of the ids that ``taught`` names.
+:func:`precision_recall` measures the mined verdicts on the rest.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is allowed; rows with a null label
 teach nothing; repeated rows are judged one by one and teach as often as they stand; other columns are ignored; without
@@ -21,11 +22,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import ascii_lower, staged
+from marketloom.llm.common import ascii_lower, id_crc, staged
 
 SUPPORT, CONFIDENCE, LONGEST = 0.001, 0.9, 4
+#: Pages a rule must hold on at least, whatever share of all they are.
+LEAST_PAGES = 5
 LABEL = "#label"
-#: Words of hosts that nobody wants, and the rules given for all hosts as (verdict, host and path).
+#: Words of pages that nobody wants, and the rules given for all hosts as (verdict, host and path).
 SEED_WORDS = ("adult", "bets", "casino", "porn", "spam")
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -42,9 +45,24 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(F.coalesce(url, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def seed_label(url: Column, words: Sequence[str] = SEED_WORDS) -> Column:
-    """1 where a token is a listed word, 0 elsewhere, null for no url."""
-    return F.when(url.isNotNull(), F.arrays_overlap(tokens_of(url), F.array(*[F.lit(w) for w in words])).cast("int"))
+def text_label(html: Column, words: Sequence[str] = SEED_WORDS) -> Column:
+    """1 where the text of a page, without markup and scripts, holds a listed word, 0 elsewhere, null for no page."""
+    text = F.regexp_replace(html.cast("string"), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    return text.rlike(rf"(?i)(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])").cast("int")
+
+
+def taught(id_col: Column) -> Column:
+    """Whether a page is of the two thirds that rules are learned from."""
+    return id_crc(id_col) % 3 != 0
+
+
+def precision_recall(judged: DataFrame, labels: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(n, positive, blocked, precision, recall) of the mined verdicts of pages without a listed rule; labels have the id and label."""
+    rows = judged.filter("rule is null").join(labels.filter("label is not null"), id_col)
+    block, bad = F.col("verdict") == "block", F.col("label") == 1
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(bad).alias("positive"), F.count_if(block).alias("blocked"),
+        F.try_divide(F.count_if(block & bad), F.count_if(block)).alias("precision"), F.try_divide(F.count_if(block & bad), F.count_if(bad)).alias("recall"))
 
 
 def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -65,11 +83,13 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     schema = "rule long, tokens array<string>, confidence double, support double"
     if not positive:
         return labelled.sparkSession.createDataFrame([], schema)
+    support = max(support, LEAST_PAGES / total)
     # Tokens that are frequent among positives are all a rule can hold; others are left out of the transactions.
     often = baskets.filter(F.array_contains("items", LABEL)).select(F.explode("items").alias("token")).groupBy("token").count()
     keep = [r.token for r in often.filter(F.col("count") >= support * total).select("token").collect()]  # 1/support per url token at most
     kept = baskets.select(F.array_intersect("items", F.array(*[F.lit(k) for k in keep])).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=8).fit(kept)
+    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=partitions).fit(kept)
     rules = staged(model.associationRules.filter((F.element_at("consequent", 1) == LABEL) & (F.size("antecedent") <= LONGEST)).select(
         F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "rules")
     # A rule falls when a part of it is a rule: all its parts are looked up, one equi-join.

@@ -227,16 +227,52 @@ def test_quality(odd, empty):
 
 
 def test_url_rules(spark):
-    bad = [(i, f"http://x{i % 5}.casino-win.example/p/{i}") for i in range(40)]
+    bad = [(i, f"http://x{i % 5}.casino-win.example/p/{i}", f"<p>Best CASINO of {i}") for i in range(40)]
     odd_urls = [(900, None), (901, "no scheme"), (902, "HTTP://A.NET/x?y#z"), (903, "http://b.example.net/en/1"), (904, "http://other.win.example/q"),
-                (905, "http://net"), (906, "http://example.com/de/1"), (None, "http://q.org/fr/"), (908, "http://xexample.com/de/")]
-    pages = spark.createDataFrame(bad + [(100 + i, f"http://fine{i}.example/p/{i}") for i in range(200)] + odd_urls, "page_id long, url string")
-    got = {r.page_id: r for r in urls.judged_urls(pages, urls.seed_label(F.col("url"))).collect()}
-    assert all(got[i].verdict == "block" for i, _ in bad) and all(got[100 + i].verdict == "allow" for i in range(200))
+                (905, "http://net"), (906, "http://example.com/de/1"), (None, "http://q.org/fr/"), (908, "http://xexample.com/de/"), (909, "http://y.example/" + "z/" * 50_000)]
+    rows_ = bad + [(100 + i, f"http://fine{i}.example/p/{i}", "<b>plain</b>") for i in range(200)] + [(i, u, None) for i, u in odd_urls]
+    pages = spark.createDataFrame([(*r, "a", 7, "t") for r in rows_], "page_id long, url string, html string, host string, row int, tokens string")
+    label = urls.text_label(F.col("html"))
+    got = {r.page_id: r for r in urls.judged_urls(pages, label).collect()}
+    assert all(got[i].verdict == "block" for i, *_ in bad) and all(got[100 + i].verdict == "allow" for i in range(200))
     assert (got[900].host, got[901].path, got[902].host, got[902].path) == ("", "", "a.net", "/x")
     assert [got[i].rule for i in (902, 903, 905, 906, None, 908)] == ["net/", "example.net/en/", None, "example.com/de/", "org/fr/", None]
-    assert got[904].verdict == "block" and got[903].verdict == "allow"
-    assert urls.judged_urls(pages.limit(0), urls.seed_label(F.col("url"))).count() == 0
+    assert got[904].verdict == "block" and got[903].verdict == "allow" and got[909].verdict == "allow"
+    assert urls.judged_urls(pages.limit(0), label).count() == 0
+    found = urls.precision_recall(urls.judged_urls(pages, label), pages.select("page_id", label.alias("label"))).first()
+    assert (found.positive, found.blocked, found.precision, found.recall) == (40, 40, 1.0, 1.0)
+
+
+def test_labels_come_from_the_text_of_a_page(spark):
+    html = ["<a href='http://casino.x'>go</a>", "<script>casino</script>x", "a Casino, here", "casinos", "<style>\n.spam{}</style>", "no</p>spam", None, ""]
+    got = spark.createDataFrame(list(enumerate(html)), "i int, html string").withColumn("y", urls.text_label(F.col("html"))).orderBy("i").collect()
+    assert [r.y for r in got] == [0, 0, 1, 0, 0, 1, None, 0]
+
+
+def test_mined_verdicts_against_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    r = random.Random(12)
+    pages = []
+    for i in range(500):
+        tokens = r.sample("abcdefgh", r.randrange(1, 6))
+        bad = ("a" in tokens and "b" in tokens) or "h" in tokens and r.random() < 0.95 or r.random() < 0.01
+        pages.append((i, f"http://{'.'.join(tokens)}/{r.choice(('x', 'y'))}", int(bad), i % 4 != 0))
+    df = spark.createDataFrame(pages, "page_id long, url string, bad int, seen boolean")
+    got = {x.page_id: x.verdict for x in urls.judged_urls(df, F.when(F.col("seen"), F.col("bad")), rules=()).collect()}
+    sets = {i: frozenset(re.findall("[a-z0-9]+", u)) for i, u, _, _ in pages}
+    known = [(sets[i], bad) for i, _, bad, seen in pages if seen]
+    least = max(urls.SUPPORT * len(known), urls.LEAST_PAGES)
+    every = sorted(set().union(*sets.values()))
+    rules = []
+    for k in range(1, urls.LONGEST + 1):
+        for part in map(frozenset, combinations(every, k)):
+            held = [bad for s, bad in known if part <= s]
+            if sum(held) >= least and sum(held) >= urls.CONFIDENCE * len(held):
+                rules.append(part)
+    assert any(len(x) > 1 for x in rules)
+    assert got == {i: "block" if any(x <= s for x in rules) else "allow" for i, s in sets.items()}
 
 
 def test_class_scores(spark, odd, empty):
@@ -422,7 +458,7 @@ def test_benchmark_stays_out_of_the_driver(spark, items):
     folders = contamination.item_blocks(items, "item_id", "text", 40)
     held = [contamination.block_items(f) for f in folders]
     assert all(isinstance(f, str) for f in folders) and len(folders) > 1
-    assert Counter(x for b in held for x in b) == Counter((r.item_id, r.text) for r in items.collect() if r.item_id is not None and r.text is not None)
+    assert Counter(x for b in held for x in b) == Counter((str(r.item_id), r.text) for r in items.collect() if r.item_id is not None and r.text is not None)
     assert contamination.item_blocks(items.limit(0), "item_id", "text", 40) == []
 
 
@@ -487,3 +523,32 @@ def test_shared_elements_are_counted(spark):
     got = {r.doc_id: r.shared for r in jaccard.shared_counts(jaccard.sketch(docs, 3, sample), sample).collect()}
     want = {i: sum(any(x in packed[j] for j in packed if j != i) for x in own) for i, own in packed.items()}
     assert got == {i: n for i, n in want.items() if n}
+
+
+def test_items_with_ids_that_are_no_numbers(spark, odd, items):
+    named = items.select(F.concat(F.lit("q-"), "item_id").alias("item_id"), "text")
+    got = {r.doc_id: r.items for r in contamination.scan(odd, named).collect()}
+    many = {r.doc_id: r.items for r in contamination.scan(odd, named, block_bytes=30, text_bytes=1000).collect()}
+    assert got == many and got[1] == ["q-2"] and got[5] == ["q-1"]
+
+
+def test_a_block_is_built_once_for_many_batches(monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * 100] * 10)], ["t"]) for _ in range(20)]
+    joined = list(contamination.held(iter(batches), 5000))
+    assert sum(b.num_rows for b in joined) == 200 and len(joined) <= 4
+
+
+def test_weight_zero_gets_what_is_left(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "en" if i < 30 else "de" if i < 60 else "fr") for i in range(90)], "doc_id long, text string, lang string")
+    levels = {"lang": F.col("lang")}
+    for weights, share, want in (
+            ({"en": 0, "de": 5, "fr": 5}, 0.5, {"en": 0, "de": 220, "fr": 220}), ({"en": 0, "de": 5, "fr": 5}, 0.9, {"en": 210, "de": 300, "fr": 300}),
+            ({"en": 0, "de": 0, "fr": 0}, 0.5, None)):
+        out = mixing.mixed(docs, levels, weights={"lang": weights}, budget_share=share, max_epochs=1)
+        taken = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum(F.col("epochs") * F.col("n_tokens")).alias("n")).collect()}
+        if want:
+            assert taken == want
+        else:
+            assert sum(taken.values()) == 450
