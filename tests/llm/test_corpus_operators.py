@@ -552,3 +552,93 @@ def test_weight_zero_gets_what_is_left(spark):
             assert taken == want
         else:
             assert sum(taken.values()) == 450
+
+
+@pytest.mark.parametrize("head, units", [(40, 16), (0, 0), (10**6, 64)])
+def test_class_scores_against_the_model_word_by_word(spark, head, units):
+    """Scores recomputed from the model's classes, and tables recounted from the texts."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 10 == 0).alias("held_out"))
+    model = brown.train(docs.filter("not held_out").select("text"), head=head, units=units, classes=8)
+    got = {r.doc_id: r.score for r in brown.scores(docs, model).collect()}
+    tail = {r.h: (r.c, r.k) for r in model.tail.collect()}
+    assert len(tail) + len(model.know.head) == model.total_types - 1 and (head or not len(model.know.head))
+    place = {int(h): i for i, h in enumerate(model.know.head.view(np.int64))}
+
+    def words(text):
+        block = brown.Block([(text or "").encode()])
+        return list(zip(block.hash.view(np.int64).tolist(), brown.buckets_of(block).tolist()))
+
+    def word(h, b):
+        """(count, class, class as history)."""
+        if h in place:
+            return int(model.head_count[place[h]]), int(model.know.head_class[place[h]]), int(model.know.head_class[place[h]])
+        c, k = tail.get(h, (0, None))
+        return c, int(model.know.bucket_class[b]) if k is None else k, int(model.know.bucket_class[b])
+
+    table, types = np.zeros((8, 8)), {}
+    rows_ = docs.collect()
+    for r in rows_:
+        if not r.held_out:
+            before = 0
+            for h, b in words(r.text):
+                _, k, as_history = word(h, b)
+                table[before, k] += 1
+                types[h] = k
+                before = as_history
+            table[before, 0] += 1
+    assert np.array_equal(table, model.table)
+    types = np.bincount(list(types.values()), minlength=8) + np.eye(8)[0]
+    assert np.array_equal(types, model.types) and model.tokens.sum() == model.total_tokens
+    alpha, mixture = brown.ALPHA, brown.MIX
+    base = model.total_tokens + alpha * (model.total_types + 1)
+
+    def chance(before, count, k):
+        within = (table[before, k] + 1 / 8) / (table[before].sum() + 1) * (count + alpha) / (table[:, k].sum() + alpha * (types[k] + 1))
+        return mixture * within + (1 - mixture) * (count + alpha) / base
+
+    for r in rows_[:60]:
+        total, before = 0.0, 0
+        for h, b in words(r.text):
+            c, k, as_history = word(h, b)
+            total += math.log10(chance(before, c, k))
+            before = as_history
+        total += math.log10(chance(before, model.ends, 0))
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-9)
+    # After each history the chances of all words, with one unseen word per class, add up to one, but for the unigram's unseen ones.
+    every = [(int(c), int(k)) for c, k in zip(model.head_count, model.know.head_class)] + list(tail.values()) + [(model.ends, 0)]
+    for before in range(8):
+        whole = sum(chance(before, c, k) for c, k in every) + sum(chance(before, 0, k) for k in range(8))
+        assert whole == pytest.approx(1 + (1 - mixture) * 7 * alpha / base, rel=1e-9)
+
+
+def test_words_move_to_the_class_of_highest_likelihood():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    classes, words = 5, 60
+    n = r.poisson(0.8, (words, classes)) + (np.arange(classes) == (np.arange(words) % classes)[:, None])
+    word, before = np.nonzero(n)
+    of = r.integers(1, classes, words)
+    rest = r.integers(0, 20, (classes, classes)).astype(float)
+    full = lambda c: rest + brown._table(word, before, n[word, before], c, classes)
+    free = np.arange(words) % 2 == 0
+    new = brown.moved(word, before, n[word, before], of, full(of), free)
+    assert np.array_equal(new[~free], of[~free]) and (new != of).any()
+    for w in np.flatnonzero(free):
+        tried = []
+        for k in range(1, classes):
+            one = of.copy()
+            one[w] = k
+            tried.append(brown.likelihood(full(one)))
+        assert tried[new[w] - 1] == pytest.approx(max(tried), abs=1e-6)
+    done = brown.swept(word, before, n[word, before], of, rest, 12)
+    assert brown.likelihood(full(done)) > brown.likelihood(full(of))
+
+
+def test_sweeps_over_rare_words_raise_the_likelihood(spark):
+    training = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text"))
+    tables = [brown.train(training, head=50, units=20, classes=8, tail_sweeps=k).table for k in (0, 2, 4)]
+    found = [brown.likelihood(t) for t in tables]
+    assert found[0] < found[1] <= found[2] and len({t.sum() for t in tables}) == 1
