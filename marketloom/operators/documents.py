@@ -56,17 +56,20 @@ def clean(df: DataFrame, patterns: Sequence[Pattern], content: str = "content",
         .drop("_text", "_fired", "_clean", *[f"_hit{n}" for n in range(len(ordered))]))
 
 
-def cleaning_audit(cleaned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Documents, documents cleaned and characters removed per level of the keys and overall.
+def cleaning_audit(cleaned: DataFrame, keys: Sequence[str], kept: Column | None = None) -> DataFrame:
+    """Documents, documents cleaned and characters removed per level of the keys and overall; with ``kept``, also the
+    documents it holds for and their share.
 
-    Documents are reduced to one row per key combination first; the levels are rolled up from those.
+    Documents are reduced to one row per key combination first, in one pass; the levels are rolled up from those.
     """
     removed = F.coalesce(F.col("cleaning.chars_removed"), F.lit(0))
+    matched = [] if kept is None else [F.count_if(kept).alias("_m")]
     base = cleaned.groupBy(*keys).agg(
-        F.count("*").alias("_d"), F.count_if(removed > 0).alias("_c"), F.sum(removed).alias("_r"))
+        F.count("*").alias("_d"), F.count_if(removed > 0).alias("_c"), F.sum(removed).alias("_r"), *matched)
+    shares = [] if kept is None else [F.sum("_m").alias("matched"), (100 * F.try_divide(F.sum("_m"), F.sum("_d"))).alias("retention_pct")]
     return base.rollup(*keys).agg(
         F.sum("_d").alias("documents"), F.sum("_c").alias("cleaned"), F.sum("_r").alias("chars_removed"),
-        F.coalesce(F.try_divide(F.sum("_r"), F.sum("_c")), F.lit(0.0)).alias("avg_removed"))
+        F.coalesce(F.try_divide(F.sum("_r"), F.sum("_c")), F.lit(0.0)).alias("avg_removed"), *shares)
 
 
 def pattern_usage(cleaned: DataFrame) -> DataFrame:

@@ -39,13 +39,15 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
         .drop("_part", "_place", "_rows", "_first", "_before", "_total"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q", weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, as an array per key.
 
     Equal values collapse to one counted row map-side; only the partitions that hold a wanted rank are summed up.
+    ``weight`` names the count of a row where values have been counted before, one row per key and value.
     """
     keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    known = df.filter(F.col(value).isNotNull())
+    counted = known.select(*keys, value, F.col(weight).alias("_n")) if weight else known.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     placed = _placed(counted, [*keys, value])
     totals = _before(placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows")), keys)
 
@@ -99,3 +101,22 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     """First k rows of each key; Spark limits each task to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: int | None = None, stop: int | None = None) -> DataFrame:
+    """Rows from position ``start`` up to before ``stop`` of each key, counted from 0, negative ones from the end.
+
+    A head or tail alone is a top-k with Spark's early limit; other slices number the rows of a key over its partitions.
+    """
+    if start in (None, 0) and stop is not None and stop >= 0:
+        return top_per_key(df, keys, [F.asc(c) for c in order], stop, "_rank").drop("_rank")
+    if stop is None and start is not None and start < 0:
+        return top_per_key(df, keys, [F.desc(c) for c in order], -start, "_rank").drop("_rank")
+    placed = positions(df, keys, order, "_at")
+    if (start or 0) < 0 or (stop or 0) < 0:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+        placed = placed.join(sizes, list(keys))
+    bound = lambda n: F.lit(n) if n >= 0 else F.greatest(F.col("_size") + n, F.lit(0))
+    at = F.col("_at") - 1
+    inside = F.lit(True) if start is None else at >= bound(start)
+    return placed.filter(inside if stop is None else inside & (at < bound(stop))).select(df.columns)

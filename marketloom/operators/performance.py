@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.significance import normal_p, student_p, with_normal_quantile
 from marketloom.operators.series import ordered, trailing, until_now
 from marketloom.operators.statistics import average_rank
+from marketloom.session import settle
 
 DAYS = 252
 RISK_FREE = 0.02
@@ -269,8 +270,13 @@ def year_returns(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
     return years.unionByName(mean)
 
 
-def pivot_metrics(long: DataFrame, keys: Sequence[str], names: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
-    return long.groupBy(*keys).pivot(name, list(names)).agg(F.first(value))
+def pivot_metrics(long: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None, name: str = "metric", value: str = "value") -> DataFrame:
+    """One column per name, all that there are or the listed ones; a listed name without rows is an error."""
+    rows = settle(long.select(*keys, name, value))
+    there = sorted(r[0] for r in rows.select(name).distinct().collect() if r[0] is not None)  # they become columns
+    if missing := set(names or ()) - set(there):
+        raise ValueError(f"no rows for {sorted(missing)}")
+    return rows.groupBy(*keys).pivot(name, list(names or there)).agg(F.first(value))
 
 
 def best_model(metrics: DataFrame, keys: Sequence[str], benchmark: str | None, score: str = "sharpe_ratio", model: str = "model") -> DataFrame:

@@ -7,7 +7,7 @@ calendar (36,525 rows in a century) however many orders or line items a market h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators import portfolio
@@ -48,12 +48,21 @@ def price_panel(t) -> DataFrame:
             (F.col("t").cast("double") / 100).alias("turnover")))
 
 
+#: Days of the year on which the fixtures' markets are closed: new year, labour day and three days of a national holiday.
+HOLIDAYS = ("01-01", "05-01", "10-01", "10-02", "10-03")
+
+
+def is_session(date: str = "date") -> Column:
+    """Monday to Friday, but for holidays."""
+    return (F.weekday(date) < 5) & ~F.date_format(date, "MM-dd").isin(*HOLIDAYS)
+
+
 def calendar(px: DataFrame) -> DataFrame:
-    """Every day between the first and last trade, Monday to Friday open."""
+    """Every day between the first and last trade, the sessions open."""
     return (
         px.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         .select(F.explode(F.sequence("lo", "hi")).alias("date"))
-        .withColumn("is_open", F.weekday("date") < 5))
+        .withColumn("is_open", is_session()))
 
 
 def calendar_panel(px: DataFrame) -> DataFrame:
@@ -62,7 +71,7 @@ def calendar_panel(px: DataFrame) -> DataFrame:
     low, high = px.agg(F.min("date")).scalar(), px.agg(F.max("date")).scalar()
     grid = (
         px.select("market").distinct().select("market", F.explode(F.sequence(low, high)).alias("date"))
-        .withColumn("is_open", F.weekday("date") < 5))
+        .withColumn("is_open", is_session()))
     return (
         grid.join(px, ["market", "date"], "left")
         .select(

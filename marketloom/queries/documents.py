@@ -63,14 +63,14 @@ def _(t):
 
 @query("F04_date_fallbacks", f"""
 WITH {FIELDS}
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN publish_date WHEN 1 THEN publish_date WHEN 2 THEN make_date(2022, month(publish_date), day(publish_date))
-   WHEN 3 THEN make_date(year(publish_date), month(publish_date), 1) WHEN 4 THEN make_date(year(publish_date), 1, 1) END AS found FROM f
-WHERE NOT (doc_id % 6 = 2 AND month(publish_date) = 2 AND day(publish_date) = 29)
+SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN publish_date WHEN doc_id % 6 = 2 AND month(publish_date) = 2 AND day(publish_date) = 29 THEN NULL
+   WHEN doc_id % 6 = 2 THEN make_date(2022, month(publish_date), day(publish_date))
+   WHEN doc_id % 6 = 3 THEN make_date(year(publish_date), month(publish_date), 1) WHEN doc_id % 6 = 4 THEN make_date(year(publish_date), 1, 1) END AS found FROM f
 """, ("scored",))
 def _(t):
     k = F.col("doc_id") % 6
     none = F.lit("")
-    df = dated(t).filter("NOT (doc_id % 6 = 2 AND m = '2' AND d = '29')")
+    df = dated(t)
     two = lambda c: F.lpad(c, 2, "0")
     script = F.when(k == 0, F.concat(F.lit('var tm = "'), "y", F.lit("-"), two("m"), F.lit("-"), two("d"), F.lit(' 09:25:25";'))).otherwise(none)
     body = (
@@ -134,9 +134,8 @@ r AS (SELECT *, length(text) - length(cleaned) AS removed FROM c)
 """
 
 
-def cleaned(t):
-    df = t.documents.select("doc_id", "source", "lang", F.col("text").alias("content"))
-    return documents.clean(df, RULES)
+def cleaned(t, docs=None):
+    return documents.clean((t.documents if docs is None else docs).withColumnRenamed("text", "content").drop("n_chars"), RULES)
 
 
 @query("F07_cleaning_chain", CLEANED + """
@@ -304,11 +303,10 @@ SELECT source, lang, count(*) AS documents, CAST(count_if(removed > 0) AS BIGINT
 FROM r GROUP BY ROLLUP (source, lang)
 """)
 def _(t):
-    keys = ["source", "lang"]
-    audit = documents.cleaning_audit(cleaned(t), keys).withColumn("avg_removed", F.round("avg_removed", 6))
-    kept = documents.filter_audit(t.documents, keys, text.has_keyword(F.lit(""), "text", "license"))
-    both = audit.alias("a").join(kept.alias("k"), F.col("a.source").eqNullSafe(F.col("k.source")) & F.col("a.lang").eqNullSafe(F.col("k.lang")))
-    return both.select("a.*", "k.matched", F.round("k.retention_pct", 6).alias("retention_pct"))
+    # The keyword is looked for in the text as it came; it travels beside the cleaned one.
+    marked = t.documents.withColumn("_kept", text.has_keyword(F.lit(""), "text", "license"))
+    audit = documents.cleaning_audit(cleaned(t, marked), ["source", "lang"], F.col("_kept"))
+    return audit.withColumns({c: F.round(c, 6) for c in ("avg_removed", "retention_pct")})
 
 
 @query("A23_corpus_statistics", """
@@ -349,14 +347,41 @@ def page_links(t):
 
 
 @query("T02_links_per_page", """
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages)
-SELECT page_id, link, i AS pos FROM l WHERE i <= 4
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages),
+u AS (SELECT page_id, link, min(i) AS i FROM l GROUP BY page_id, link),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS pos FROM u)
+SELECT page_id, link, pos FROM r WHERE pos <= 15
 """)
 def _(t):
-    found = t.pages.select("page_id", F.posexplode(F.slice(text.links("html"), 1, 4)).alias("i", "link"))
+    found = t.pages.select("page_id", F.posexplode(F.slice(F.array_distinct(text.links("html")), 1, 15)).alias("i", "link"))
     return found.select("page_id", "link", (F.col("i") + 1).cast("long").alias("pos"))
 
 
+def _slice_sql(low, high):
+    place = "row_number() OVER (PARTITION BY market ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY market) AS n"
+    return f"SELECT market, date, close FROM (SELECT market, date, close, {place} FROM px) WHERE i >= {low} AND i < {high}"
+
+
+@query("T02_series_head", _slice_sql("0", "20"), ("px",))
+def _(t):
+    return ordering.sliced(t.px.select("market", "date", "close"), ["market"], ["date"], stop=20)
+
+
+@query("T02_series_tail", _slice_sql("n - 20", "n"), ("px",))
+def _(t):
+    return ordering.sliced(t.px.select("market", "date", "close"), ["market"], ["date"], start=-20)
+
+
+@query("T02_series_slice", _slice_sql("30", "n - 30"), ("px",))
+def _(t):
+    return ordering.sliced(t.px.select("market", "date", "close"), ["market"], ["date"], 30, -30)
+
+
+@query("T02_document_limit", "SELECT doc_id, source, lang FROM documents ORDER BY doc_id LIMIT 50")
+def _(t):
+    return t.documents.select("doc_id", "source", "lang").orderBy("doc_id").limit(50)
+
+
 @query("U01_union_of_tables", "SELECT doc_id AS id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
 def _(t):
     from marketloom.operators.cleaning import union_all

@@ -413,9 +413,8 @@ def _(t):
 @query("A20_model_by_market", MET + "SELECT model, " + ", ".join(
     f"R6(max(CASE WHEN market = '{m}' THEN sharpe_ratio END)) AS \"{m}\"" for m in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM met GROUP BY model", ("nav", "ret"))
 def _(t):
-    markets = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    m = performance.return_metrics(t.nav, K)
-    return rounded(performance.pivot_metrics(m, ["model"], markets, "market", "sharpe_ratio"), *markets)
+    wide = performance.pivot_metrics(performance.return_metrics(t.nav, K), ["model"], None, "market", "sharpe_ratio")
+    return rounded(wide, *wide.columns[1:])
 
 
 @query("A29_best_model", MET + """

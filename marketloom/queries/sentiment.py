@@ -138,9 +138,8 @@ SELECT l.dim, CAST(least(greatest(ceil((value - lo) / ((hi - lo) / 10)), 1), 10)
 FROM long l JOIN e USING (dim) GROUP BY 1, 2
 """, ("scored",))
 def _(t):
-    long = long_scores(t)
-    shape = statistics.five_numbers(long, ["dim"]).select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "q25", "q50", "q75")
-    return statistics.histogram(long, ["dim"], 10, "right").select("dim", "bin", "n").join(shape, "dim")
+    whole = rounded(statistics.distribution(long_scores(t), ["dim"], 10, "right"), "mean", "std")
+    return whole.select("dim", "bin", F.col("count").alias("n"), "mean", "std", "q25", "q50", "q75")
 
 
 @query("A12_fixed_histogram", "WITH " + LONG + """

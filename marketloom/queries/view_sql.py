@@ -13,7 +13,7 @@ PX = """
   GROUP BY r_name, CAST(o_orderdate AS DATE)"""
 
 CAL = """
-  SELECT CAST(d AS DATE) AS date, isodow(d) < 6 AS is_open
+  SELECT CAST(d AS DATE) AS date, isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN ('01-01', '05-01', '10-01', '10-02', '10-03') AS is_open
   FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM px)"""
 
 PANEL = """
