@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -238,70 +236,71 @@ def enforcement(c, cues: Sequence[tuple[str, Sequence[str]]] = CUES, last: str =
     return out.otherwise(last)
 
 
-class _Body(HTMLParser):
-    """Collects the text of the page and of each wanted container, nested ones included."""
-
-    def __init__(self, wanted: frozenset[tuple[str, str]]):
-        super().__init__(convert_charrefs=True)
-        self.wanted = wanted
-        self.page: list[str] = []
-        self.found: dict[tuple[str, str], list[str]] = {}
-        self.open: list[tuple[str, tuple[str, str] | None]] = []
-        self.silent = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.silent += 1
-            return
-        if tag in ("br", "img", "meta", "link", "input", "hr"):
-            return
-        values = dict(attrs)
-        mark = next((m for m in ((tag, values.get("class") or ""), (tag, values.get("id") or ""), (tag, ""))
-                     if m in self.wanted), None)
-        if mark in self.found:
-            mark = None
-        if mark:
-            self.found[mark] = []
-        self.open.append((tag, mark))
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.silent = max(self.silent - 1, 0)
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        if self.silent:
-            return
-        self.page.append(data)
-        for _, mark in self.open:
-            if mark:
-                self.found[mark].append(data)
-
-
-def body_text(containers: Sequence[tuple[str, str]], least: int = 100):
-    """Arrow UDF: text of the first listed container with more than ``least`` characters, else of the whole page.
-
-    Nested containers need a parser, which no built-in expression offers; one batch of pages at a time.
+# --- text of page containers ---------------------------------------------------------------------------------------
+
+# Named character references that pages use; others stay as they are, numbers are read as code points.
+REFERENCES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "hellip": "…", "ndash": "–",
+    "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·"}
+_SILENT = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+_TAG = r"(?s)<[/!?]?[a-zA-Z][^>]*>"
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);"
+
+
+def _between(c: Column, pattern: str, replaced) -> Column:
+    """The text with each match of ``pattern`` replaced by ``replaced(match)``; matches and what lies between meet by place."""
+    found, pieces = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), F.split(c, pattern, -1)
+    return F.array_join(F.zip_with(pieces, found, lambda piece, match: F.concat(piece, F.coalesce(replaced(match), F.lit("")))), "")
+
+
+def unescaped(c) -> Column:
+    """Character references of a text as characters."""
+    names = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+
+    def one(reference: Column) -> Column:
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9))
+        number = digits.cast("long")
+        known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(name.startswith("#"), F.when(known, letter).otherwise(F.lit("\ufffd"))).otherwise(F.coalesce(F.try_element_at(names, name), reference))
+
+    return F.when(_col(c).contains("&"), _between(_col(c), _REFERENCE, one)).otherwise(_col(c))
+
+
+def _without_markup(c: Column) -> Column:
+    return unescaped(F.regexp_replace(c, _TAG, ""))
+
+
+def inner_markup(c, tag: str, mark: str) -> Column:
+    """Markup inside the first ``tag`` whose class or id is ``mark`` (any, if empty), nested ones of its kind included.
+
+    The start and end tags of that kind cut the page into pieces. From the wanted start tag on, a fold counts how deep each
+    tag leaves it; the container ends where the depth is back at 0, or with the page. Null without such a tag.
     """
-    wanted = frozenset(containers)
-
-    @F.pandas_udf("string")
-    def parse(pages: pd.Series) -> pd.Series:
-        def one(page):
-            if page is None:
-                return None
-            parser = _Body(wanted)
-            parser.feed(page)
-            for mark in containers:
-                text = "".join(parser.found.get(mark, []))
-                if len(text.strip()) > least:
-                    return text
-            return "".join(parser.page)
-
-        return pages.map(one)
-
-    return parse
+    pattern = rf"(?is)<{tag}(?=[\s/>])[^>]*>|</{tag}\s*>"
+    wanted = rf"(?is)^<{tag}\b" if not mark else rf"""(?is)^<{tag}\b[^>]*?\s(class|id)\s*=\s*("{mark}"|'{mark}'|{mark}(?=[\s>]))"""
+    found, pieces = F.regexp_extract_all(_col(c), F.lit(f"({pattern})"), F.lit(1)), F.split(_col(c), pattern, -1)
+    first = F.array_position(F.transform(found, lambda t: t.rlike(wanted)), True)  # from 1
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(acc: Column, tag_: Column) -> Column:
+        at = acc["at"] + 1
+        depth = F.when((acc["end"] > 0) | (at < first), acc["depth"]).otherwise(acc["depth"] + F.when(tag_.startswith("</"), -1).otherwise(1))
+        over = (acc["end"] == 0) & (at >= first) & (depth == 0)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when(over, at).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(found, start, step, lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(F.size(found) + 1))
+    # Piece i lies before tag i + 1; inside are the pieces after the first tag and the tags up to the last.
+    count = (end - first).cast("int")
+    inside = F.zip_with(F.slice(pieces, (first + 1).cast("int"), count), F.slice(found, (first + 1).cast("int"), F.greatest(count - 1, F.lit(0))),
+                        lambda piece, tag_: F.concat(piece, F.coalesce(tag_, F.lit(""))))
+    return F.when(first > 0, F.array_join(inside, ""))
+
+
+def body_text(c, containers: Sequence[tuple[str, str]], least: int = 100) -> Column:
+    """Text of the first listed container with more than ``least`` characters, else of the whole page."""
+    page = F.regexp_replace(_col(c), _SILENT, "")
+    texts = [_without_markup(inner_markup(page, tag, mark)) for tag, mark in containers]
+    chosen = F.filter(F.array(*texts), lambda t: F.length(F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))) > least)
+    return F.coalesce(F.get(chosen, F.lit(0)), _without_markup(page))

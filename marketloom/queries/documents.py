@@ -186,10 +186,41 @@ def _(t):
         "page_id", text.title_of("html").alias("title"), text.title_from_content("content", " the | la | der ").alias("from_content"))
 
 
-@query("F10_body_text")
-def _(t):
-    parse = text.body_text((("div", "content"), ("article", ""), ("div", "main-content")))
-    return t.pages.select("page_id", text.clean_text(parse("html")).alias("body"))
+def _plain_sql(x):
+    """Markup off; the given pages hold no other references than these."""
+    out = f"regexp_replace({x}, '(?s)<[/!?]?[a-zA-Z][^>]*>', '', 'g')"
+    for name, letter in (("nbsp", "chr(160)"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("amp", "'&'")):
+        out = f"replace({out}, '&{name};', {letter})"
+    return out
+
+
+def _body_sql(containers, least=100):
+    """Tags of a container's kind by place, their running depth from its start on, and what lies up to depth 0."""
+    quiet = "html"
+    for silent in ("<!--.*?-->", r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>]*>.*?</style\s*>"):
+        quiet = f"regexp_replace({quiet}, '(?is){silent}', '', 'g')"
+    steps, picks = [f"quiet AS (SELECT page_id, {quiet} AS page FROM pages)"], []
+    for i, (tag, mark) in enumerate(containers):
+        cut = rf"(?is)<{tag}(?:[\s/][^>]*)?>|</{tag}\s*>"
+        hit = f"""regexp_matches(x, '(?is)\\s(class|id)\\s*=\\s*("{mark}"|''{mark}''|{mark}[\\s>])')""" if mark else "true"
+        steps += [
+            f"f{i} AS (SELECT page_id, regexp_extract_all(page, '({cut})', 1) AS f, string_split_regex(page, '{cut}') AS p FROM quiet)",
+            f"s{i} AS (SELECT *, list_position(list_transform(f, lambda x: NOT starts_with(x, '</') AND {hit}), true) AS s FROM f{i})",
+            f"d{i} AS (SELECT *, list_transform(range(s, len(f) + 1), lambda j: list_sum(list_transform(f[s:j], lambda x: CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END))) AS d FROM s{i} WHERE s > 0)",
+            f"e{i} AS (SELECT *, coalesce(nullif(list_position(d, 0), 0), len(f) - s + 2) + s - 1 AS e FROM d{i})",
+            f"m{i} AS (SELECT page_id, array_to_string(list_transform(range(s + 1, e + 1), lambda j: p[j] || CASE WHEN j < e THEN f[j] ELSE '' END), '') AS m FROM e{i})",
+            f"t{i} AS (SELECT page_id, {_plain_sql('m')} AS t FROM m{i})"]
+        picks.append(rf"CASE WHEN length(regexp_replace(t{i}.t, '^\s+|\s+$', '', 'g')) > {least} THEN t{i}.t END")
+    joins = " ".join(f"LEFT JOIN t{i} USING (page_id)" for i in range(len(containers)))
+    return f"WITH {', '.join(steps)}, b AS (SELECT page_id, coalesce({', '.join(picks)}, {_plain_sql('page')}) AS body FROM quiet {joins}) "
+
+
+BODY = (("div", "content"), ("article", ""), ("div", "main-content"))
+
+
+@query("F10_body_text", _body_sql(BODY) + f"SELECT page_id, {clean_sql('body')} AS body FROM b")
+def _(t):
+    return t.pages.select("page_id", text.clean_text(text.body_text("html", BODY)).alias("body"))
 
 
 @query("F11_link_extraction", """
