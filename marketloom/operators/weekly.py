@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.operators import technical
+
 # How each column of the daily panel is rolled up; unlisted columns take the last value of the week.
 RULES = {
     "close": "last", "vwap": "mean", "volume": "sum", "turnover": "sum", "cum_turnover": "last", "gap_days": "min",
@@ -31,3 +33,13 @@ def roll_up(df: DataFrame, keys: Sequence[str], rules: dict[str, str] = RULES, w
         df.groupBy(*keys, week)
         .agg(F.max("date").alias("date"), F.count("*").alias("_days"), *[rule(c).alias(c) for c in values])
         .filter(F.col("_days") >= least_days).drop("_days", "_week"))
+
+
+#: Columns that a week does not take over from its days: they are made anew from the weekly prices and volumes.
+RECALCULATED = ("log_return", "return_5d", "bb_width", "volume_sma_20", "rsi_14", "dow_sin", "dow_cos", "month_sin", "month_cos")
+
+
+def panel(daily: DataFrame, keys: Sequence[str] = ("market",), **kwargs) -> DataFrame:
+    """Weekly feature panel of a daily one: rolled up, with the technical columns recalculated on weeks."""
+    kept = daily.drop(*RECALCULATED)
+    return technical.technical_features(roll_up(kept, list(keys), **kwargs), keys)

@@ -71,6 +71,11 @@ def walk_forward(panel: DataFrame, features: Sequence[str], steps: int = 60, spl
     return out.withColumn("pred", learning.decide())
 
 
+def weekly_walk_forward(panel: DataFrame, features: Sequence[str], steps: int = 12, split: learning.Split = learning.WEEKLY) -> DataFrame:
+    """Daily feature panel to out-of-sample probabilities of weeks: rolled up, technical columns made anew, weekly walks."""
+    return walk_forward(weekly.panel(panel, KEYS), features, steps, split)
+
+
 def error_rows(predictions: DataFrame, daily: DataFrame | None = None, weekly_too: bool = True) -> DataFrame:
     """Daily and weekly predictions (market, date, close, prob, pred, actual) with all inputs of the error model and its target.
 

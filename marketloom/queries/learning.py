@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import boosting, learning, logistic, sentiment, slots, tournament, weekly
 from marketloom.operators.series import ordered
 from marketloom.plans import flows
+from marketloom.queries.features import EWM
 from marketloom.queries.registry import query
 from marketloom.queries.sentiment import market_docs, rounded
 from marketloom.session import settle
@@ -41,6 +42,20 @@ def _(t):
     return weekly.roll_up(t.px, M).withColumns({"vwap": F.round("vwap", 6), "turnover": F.round("turnover", 2)})
 
 
+_WEEK_ROWS = "OVER (PARTITION BY market ORDER BY date ROWS 19 PRECEDING)"
+
+
+@query("A17_weekly_technical", "WITH " + WEEKS + "," + EWM.replace("WITH d AS", "d AS").replace("FROM px", "FROM week") + f"""
+SELECT w.market, w.date, R6(ln(close / lag(close) OVER o)) AS log_return, R6(close / lag(close, 5) OVER o - 1) AS return_5d,
+  R6(4 * stddev_samp(close) {_WEEK_ROWS} / nullif(avg(close) {_WEEK_ROWS}, 0)) AS bb_width, R6(avg(volume) {_WEEK_ROWS}) AS volume_sma_20,
+  R6(CASE WHEN k >= 13 THEN 100 - 100 / (1 + gain / nullif(loss, 0)) END) AS rsi_14
+FROM week w LEFT JOIN z ON z.market = w.market AND z.date = w.date WINDOW o AS (PARTITION BY w.market ORDER BY w.date)
+""".replace("PARTITION BY market ORDER BY date", "PARTITION BY w.market ORDER BY w.date"), ("px",))
+def _(t):
+    names = ["log_return", "return_5d", "bb_width", "volume_sma_20", "rsi_14"]
+    return rounded(weekly.panel(t.px).select("market", "date", *names), *names)
+
+
 @query("M02_daily_walks", "WITH " + DAILY_WALKS + "SELECT market, date, walk, role FROM walks", ("px",))
 def _(t):
     w = learning.assign_walks(t.px.select("market", "date"), M, learning.DAILY)

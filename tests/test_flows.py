@@ -47,6 +47,20 @@ def test_predictions_to_backtest(tables, panel):
     assert all(r.max_drawdown <= 0 for r in metrics)
 
 
+def test_weekly_path(panel):
+    from marketloom.operators import weekly
+
+    week = weekly.panel(panel.drop("M_A", "Q_F", "D_ALL"))
+    assert week.groupBy("market", F.trunc("date", "week")).count().filter("count > 1").count() == 0
+    # Returns are those between weeks, not the last day's.
+    from marketloom.operators.series import ordered
+
+    same = week.withColumn("r", F.ln(F.col("close") / F.lag("close").over(ordered(["market"])))).filter("r IS NOT NULL AND abs(r - log_return) > 1e-12")
+    assert same.count() == 0 and week.filter("rsi_14 < 0 OR rsi_14 > 100").count() == 0
+    probs = flows.weekly_walk_forward(panel.select("market", "date", "close", "volume"), ["close", "volume", "log_return"], 4, learning.Split(40, 10, 10, 20))
+    assert probs.filter("prob < 0 OR prob > 1").count() == 0 and probs.count() > 0
+
+
 def test_error_reversal(tables):
     docs = settle(tables.scored.withColumn("market", F.lit("ASIA")).withColumn("effective_date", F.date_add("publish_date", 1)))
     rows = flows.error_rows(tables.pred, sentiment.daily_sentiment(docs))

@@ -7,19 +7,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from marketloom.operators import cleaning
+from marketloom.operators import cleaning, statistics
 from marketloom.operators.ordering import top_per_key
 from marketloom.queries import QUERIES
 
-CHECKED = [
-    "P03_maturity_cut", "P04_activity_flags", "J02_indicator_join", "J04_as_of_merge", "J06_price_lookup", "J08_decay_range_join", "A04_value_counts",
-    "A11_score_distribution", "A16_outliers", "A22_cleaning_audit", "W10_rsi", "W26_rank_by_date", "B16_benchmark_metrics", "B21_rank_test",
-    "B25_return_density", "B27_score_density", "J16_common_start", "M06_min_max_scaling", "M14_threshold_search", "T09_merged_slots"]
+@pytest.mark.parametrize("name", ["A11_score_distribution", "A16_outliers", "A31_five_number_summary", "A10_feature_statistics"])
+def test_distributions_count_values_once(spark, monkeypatch, name):
+    """The rows are read by one count of distinct values; all else reads what that has written."""
+    calls = []
+    count = statistics.counted
+    monkeypatch.setattr(statistics, "counted", lambda *a, **b: calls.append(1) or count(*a, **b))
+    assert "FileScan" not in plans.plan_of(QUERIES[name](spark, SMALL)) and len(calls) == 1
 
 
-@pytest.mark.parametrize("name", CHECKED)
-def test_no_joins_or_windows_that_do_not_scale(spark, name):
-    assert plans.findings(plans.plan_of(QUERIES[name](spark, SMALL))) == []
+def test_cleaning_audit_reads_the_corpus_once(spark):
+    plan = plans.plan_of(QUERIES["A22_cleaning_audit"](spark, SMALL))
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
 
 
 def test_top_k_is_cut_before_the_shuffle(tables):
