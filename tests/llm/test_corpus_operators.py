@@ -63,8 +63,8 @@ def test_toxicity(spark, odd, empty):
 
 
 def test_grammar_reads_clauses():
-    machine, weight = toxicity.grammar(), lambda w: 8.0 if w == "vile" else 0.0
-    read = lambda text: dict(zip(toxicity.FEATURES, toxicity.clause_features(text, weight, machine)))
+    weight = lambda w: 8.0 if w == "vile" else 0.0
+    read = lambda text: dict(zip(toxicity.FEATURES, toxicity.clause_features(text, weight)))
     assert read("it is vile")["insult"] > 0 and read("not so vile")["negated"] > 0 and read("not so vile")["insult"] == 0
     assert read("she said it was vile")["reported"] > 0 and read("not good. it is vile")["negated"] == 0
     assert read("you are vile")["aimed"] > 0 and read(None) == read("") == dict.fromkeys(toxicity.FEATURES, 0.0)
@@ -463,8 +463,8 @@ def test_benchmark_stays_out_of_the_driver(spark, items):
 
 
 def test_clauses_are_scored_on_their_own():
-    machine, weight = toxicity.grammar(), lambda w: 8.0 if w == "vile" else 0.0
-    read = lambda text: dict(zip(toxicity.FEATURES, toxicity.clause_features(text, weight, machine)))
+    weight = lambda w: 8.0 if w == "vile" else 0.0
+    read = lambda text: dict(zip(toxicity.FEATURES, toxicity.clause_features(text, weight)))
     both = read("She said it was vile. You are vile.")
     assert both["reported"] > 0 and both["aimed"] == read("You are vile.")["aimed"] > 0 and both["strongest"] == read("You are vile.")["strongest"]
     assert read("not vile. it is vile")["insult"] > 0 and read("it is vile\nit is vile")["insult"] == read("it is vile")["insult"]
@@ -642,3 +642,44 @@ def test_sweeps_over_rare_words_raise_the_likelihood(spark):
     tables = [brown.train(training, head=50, units=20, classes=8, tail_sweeps=k).table for k in (0, 2, 4)]
     found = [brown.likelihood(t) for t in tables]
     assert found[0] < found[1] <= found[2] and len({t.sum() for t in tables}) == 1
+
+
+def test_targets_on_both_sides_threats_by_path_and_reports_after():
+    weight = lambda w: 8.0 if w in ("vile", "filth") else 0.0
+    read = lambda text: dict(zip(toxicity.FEATURES, toxicity.clause_features(text, weight)))
+    assert read("you are vile")["aimed"] > 0 and read("vile you are")["aimed"] > 0 and read("vile it all is here and then you")["aimed"] == 0
+    threats = [read(x)["threat"] for x in ("the fire will destroy wood", "i destroy wood", "i will destroy wood", "i will kill you")]
+    assert 0 < threats[0] < threats[1] < threats[2] < threats[3] and read("i will not kill you")["threat"] == 0
+    for reported in ("she was vile, said Bob", "she was vile, he said", "said Bob she was vile", "you are vile he said"):
+        assert read(reported)["reported"] > 0 and read(reported)["aimed"] == read(reported)["insult"] == 0
+    assert read("you are vile. Said nothing else, he went")["reported"] > 0 and read("you are vile. He went and said nothing")["aimed"] > 0
+    assert read("it is very vile")["insult"] > read("it is vile")["insult"] and read("vile filth")["insult"] > math.log1p(2 * 6.0)
+
+
+def test_composed_machines_equal_one_after_the_other():
+    import random
+
+    r = random.Random(3)
+    negation = toxicity._turning(toxicity.INPUT | {"menace"}, {"negation"}, {"insult": "negated", "threat": "word", "menace": "word"}, toxicity.REACH)
+    report = toxicity._turning(toxicity.MIDDLE, {"report"}, {"insult": "reported", "negated": "reported", "threat": "word", "menace": "word"}, None)
+    target = toxicity._turning(toxicity.MIDDLE, {"target", "menace"}, {"insult": "aimed"}, toxicity.REACH)
+    whole = toxicity.grammar()
+    for _ in range(500):
+        symbols = r.choices(sorted(toxicity.INPUT), k=r.randrange(0, 15))
+        got, weights = whole.read(symbols), [0.0] * len(symbols)
+        for machine in (toxicity._insults(), toxicity._threats(), negation, report, target):
+            out = machine.read(symbols)
+            symbols, weights = [s for s, _ in out], [a + b for a, (_, b) in zip(weights, out)]
+        assert got == list(zip(symbols, weights))
+
+
+def test_labels_of_equal_texts_are_counted_together(spark):
+    texts = [(i, "you are awfulword now" if i < 6 else f"plain {i} here") for i in range(40)] + [(90, None), (91, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for order in (1, -1):
+        rows_ = [(i, int(i < 4)) for i in range(40)][::order] + [(90, 1), (91, 1)]
+        taught = docs.join(spark.createDataFrame(rows_, "doc_id long, toxic int"), "doc_id").filter("text is not null")
+        texts_ = taught.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+        assert texts_.filter("text like 'you%'").first().toxic == 1 and texts_.filter("toxic = 1").count() == 1
+    atoms = toxicity.learned_atoms(taught.withColumn("text", F.concat("text", F.lit(" x"), F.col("doc_id") % 4)))
+    assert set(atoms) <= {"awfulword", "awfu*", "awful*", "awfulw*", "awfulwo*", "awfulwor*", "you", "are", "now"}
