@@ -16,6 +16,7 @@ HEADLINE = (
     "J04_as_of_merge", "T08_best_per_slot", "T09_merged_slots", "A17_weekly_roll_up", "M02_daily_walks", "M06_min_max_scaling",
     "M10_classification_metrics", "M14_threshold_search", "B03_costed_value", "B04_whole_unit_value", "W20_drawdown_episodes",
     "B12_risk_metrics", "B16_benchmark_metrics", "B21_rank_test", "B24_full_matrix", "B25_return_density",
+    "I02_checkpointed_scoring", "I05_session_windows", "F10_body_text", "M08_direction_classifier", "M13_error_predictor", "B22_bootstrap_sharpe",
 )
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +72,24 @@ def nav_costed(df: DataFrame, keys: Sequence[str], **options) -> DataFrame:
     return out.drop("units", "action", "trade_units", "trade_price", "trade_cost")
 
 
-def _cash_of_trips(capital: float, keys: Sequence[str]):
-    """Cash before and after each trip of one series, and the place and price of its entry (none if never affordable)."""
-    def fold(trips: pd.DataFrame) -> pd.DataFrame:
-        cash, out = float(capital), []
-        trips = trips.sort_values("_trip")
-        for trip, prices, places, sell in zip(trips["_trip"], trips["_prices"], trips["_places"], trips["_sell"]):
-            entry = next(((p, i) for p, i in zip(prices, places) if p <= cash), (None, None))
-            after = cash if entry[0] is None or pd.isna(sell) else cash + cash // entry[0] * (sell - entry[0])
-            out.append((trip, cash, after, *entry))
-            cash = after
-        folded = pd.DataFrame(out, columns=["_trip", "_cash", "_after", "_entry", "_from"])
-        for k in keys:
-            folded[k] = trips[k].iloc[0]
-        return folded.astype({"_entry": "float64", "_from": "Int64"})
+def _cash_of_trips(trips: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
+    """Cash before and after each trip (_trip, _offers, _sell), and the place and price of its entry (none if never affordable).
 
-    return fold
+    A series has at most a trip for two rows, so its trips are one array, folded in order.
+    """
+    series = trips.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_trip", "_offers", "_sell"))).alias("_trips"))
+    none = F.array().cast("array<struct<_trip:bigint,_cash:double,_after:double,_entry:double,_from:bigint>>")
+
+    def step(acc, trip):
+        cash = acc["cash"]
+        entry = F.get(F.filter(trip["_offers"], lambda offer: offer["p"] <= cash), F.lit(0))
+        gained = F.floor(cash / entry["p"]) * (trip["_sell"] - entry["p"])
+        after = cash + F.coalesce(gained, F.lit(0.0))
+        row = F.struct(trip["_trip"].alias("_trip"), cash.alias("_cash"), after.alias("_after"), entry["p"].alias("_entry"), entry["i"].alias("_from"))
+        return F.struct(after.alias("cash"), F.concat(acc["done"], F.array(row)).alias("done"))
+
+    start = F.struct(F.lit(float(capital)).alias("cash"), none.alias("done"))
+    return series.select(*keys, F.inline(F.aggregate("_trips", start, step, lambda acc: acc["done"])))
 
 
 def nav_whole_units(df: DataFrame, keys: Sequence[str], capital: float = 1_000_000.0, signal: str = "signal",
@@ -115,10 +116,8 @@ def nav_whole_units(df: DataFrame, keys: Sequence[str], capital: float = 1_000_0
     offers = F.array_sort(F.collect_list(F.when(F.col("_lower"), F.struct(F.col("_nth").alias("i"), p.cast("double").alias("p")))))
     trips = (
         rows.filter("_trip > 0").withColumn("_lower", lower).groupBy(*keys, "_trip")
-        .agg(offers.alias("_offers"), F.max(F.when((F.col("_in") == 0) & (F.col("_was") == 1), p.cast("double"))).alias("_sell"))
-        .select(*keys, "_trip", F.col("_offers.p").alias("_prices"), F.col("_offers.i").alias("_places"), "_sell"))
-    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-    cash = trips.groupBy(*keys).applyInPandas(_cash_of_trips(capital, keys), ", ".join(["_trip long, _cash double, _after double, _entry double, _from long", *kinds]))
+        .agg(offers.alias("_offers"), F.max(F.when((F.col("_in") == 0) & (F.col("_was") == 1), p.cast("double"))).alias("_sell")))
+    cash = _cash_of_trips(trips, keys, capital)
     inside = (F.col("_in") == 1) & (F.col("_nth") >= F.col("_from"))
     return (
         rows.join(cash, [*keys, "_trip"], "left")
