@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from marketloom.operators import cleaning, density, sentiment, statistics
+from marketloom.operators import cleaning, density, sentiment, sketches, statistics
 from marketloom.queries.registry import query
+from marketloom.session import fresh_path
 
 SOURCES = {"ASIA": ("national", "regional_a"), "EUROPE": ("national", "regional_b")}
 DIMS = ["supply", "demand", "strength"]
@@ -203,6 +204,24 @@ def _(t):
     return rounded(statistics.five_numbers(long_scores(t), ["source", "dim"]), "mean", "std")
 
 
+_LOG_GAMMA = sketches._log_gamma(sketches.ACCURACY)
+
+
+@query("A31_sketched_quantiles", "WITH " + LONG + f"""
+, b AS (SELECT source, dim, value, CASE WHEN abs(value) < 1e-9 THEN 0 ELSE sign(value) END AS s, CASE WHEN abs(value) < 1e-9 THEN 0 ELSE CAST(ceil(ln(abs(value)) / {_LOG_GAMMA}) AS INTEGER) END AS i FROM long),
+h AS (SELECT *, row_number() OVER (PARTITION BY source, dim ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY source, dim) AS n, min(value) OVER (PARTITION BY source, dim, s, i) AS lo, max(value) OVER (PARTITION BY source, dim, s, i) AS hi FROM b),
+q AS (SELECT *, CASE r WHEN 0 THEN value WHEN n - 1 THEN value ELSE least(greatest(s * 2 * exp(i * {_LOG_GAMMA}) / (exp({_LOG_GAMMA}) + 1), lo), hi) END AS v FROM h)
+SELECT source, dim, max(n) AS n, {", ".join(f"R6(max(CASE WHEN r = floor({p}::DOUBLE * (n - 1)) THEN v END)) AS q{int(100 * p)}" for p in (0.25, 0.5, 0.75, 0.95))} FROM q GROUP BY source, dim
+""", ("scored",))
+def _(t):
+    # A sketch per year of publication, as batches would store them, added up.
+    path = fresh_path(t.spark, "sketches")
+    long = cleaning.unpivot(t.scored, ["source", "publish_date"], DIMS, name="dim").withColumn("batch", F.year("publish_date"))
+    sketches.sketch(long, ["batch", "source", "dim"]).write.partitionBy("batch").parquet(path)
+    out = sketches.quantiles(sketches.stored(t.spark, path, ["source", "dim"]), ["source", "dim"], [0.25, 0.5, 0.75, 0.95])
+    return out.select("source", "dim", "n", *[F.round(F.col("q")[i], 6).alias(f"q{p}") for i, p in enumerate((25, 50, 75, 95))])
+
+
 @query("B27_score_density", """
 WITH s AS (SELECT count(*) AS n, var_samp(supply) * pow(count(*), -1.0 / 3) AS a, var_samp(demand) * pow(count(*), -1.0 / 3) AS b, covar_samp(supply, demand) * pow(count(*), -1.0 / 3) AS c FROM scored),
 m AS (SELECT i.range AS i, j.range AS j, -150 + i.range * 15.0 AS x, -150 + j.range * 15.0 AS y FROM range(21) i, range(21) j)
