@@ -167,7 +167,7 @@ def moved(word: np.ndarray, before: np.ndarray, n: np.ndarray, of: np.ndarray, t
     base, columns = _xlogx(table), table.sum(0)
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     size = np.add.reduceat(n, first).astype(float)
-    step = 1 << 15
+    step = 1 << 10  # words at a time, so that a task or the driver holds few megabytes
     for lo in range(0, len(first), step):
         begin, end = first[lo], first[lo + step] if lo + step < len(first) else len(word)
         own, h, count = word[begin:end], before[begin:end], n[begin:end].astype(float)[:, None]
