@@ -12,9 +12,11 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    """One session for all tests, with a shared folder of its own, which pytest removes after later runs."""
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g")
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g", spark__checkpoint__dir=f"file://{shared}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
