@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marketloom.functions import significance
 from marketloom.operators import cleaning, density, learning, performance, portfolio, series
 from marketloom.operators.series import ordered
 from marketloom.queries.features import RSI_SIGNAL, strength_signal
@@ -527,18 +528,42 @@ def _(t):
     return rounded(performance.mean_tests(pairs, K), "t_statistic", "t_paired")
 
 
-@query("B20_test_p_values")
-def _(t):
-    return performance.significance(performance.paired_returns(t.nav, M, "Buy&Hold"), K)
-
-
-@query("B21_rank_test", "WITH " + BENCH + """
-, v AS (SELECT model, market, 1 AS own, p AS v FROM pairs UNION ALL SELECT model, market, 0, b FROM pairs),
+RANKS = """
+v AS (SELECT model, market, 1 AS own, p AS v FROM pairs UNION ALL SELECT model, market, 0, b FROM pairs),
 r AS (SELECT *, rank() OVER (PARTITION BY model, market ORDER BY v) + (count(*) OVER (PARTITION BY model, market, v) - 1) / 2 AS k, count(*) OVER (PARTITION BY model, market, v) AS t FROM v),
 a AS (SELECT model, market, sum(k) FILTER (own = 1) AS r1, CAST(sum(own) AS DOUBLE) AS n1, CAST(count_if(own = 0) AS DOUBLE) AS n2, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r GROUP BY model, market),
-u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM a)
-SELECT model, market, u AS u_statistic, R6((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1))))) AS z FROM u
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM a),
+z AS (SELECT model, market, u AS u_statistic, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u)
+"""
+
+# Student's tail by the continued fraction of the incomplete beta function, 300 steps; the normal one by its series.
+TAILS = """
+m AS (SELECT model, market, count(*) AS n, avg(p) AS mp, avg(b) AS mb, var_samp(p) AS vp, var_samp(b) AS vb, avg(p - b) AS md, stddev_samp(p - b) AS sd FROM pairs GROUP BY model, market),
+st AS (SELECT *, (mp - mb) / sqrt((vp + vb) / n) AS t_statistic, md / (sd / sqrt(n)) AS t_paired, 2 * n - 2 AS df, n - 1 AS df_paired FROM m),
+arg AS (SELECT model, market, 'mean' AS kind, df / 2.0::DOUBLE AS a, df / (df + t_statistic ** 2) AS x FROM st UNION ALL SELECT model, market, 'paired', df_paired / 2.0::DOUBLE, df_paired / (df_paired + t_paired ** 2) FROM st),
+side AS (SELECT *, x > (a + 1) / (a + 2.5) AS far FROM arg),
+near AS (SELECT model, market, kind, far, x, CASE WHEN far THEN 0.5 ELSE a END::DOUBLE AS p, CASE WHEN far THEN a ELSE 0.5 END::DOUBLE AS q, CASE WHEN far THEN 1 - x ELSE x END AS y FROM side),
+lentz AS (SELECT model, market, kind, far, x, p, q, y, 0 AS k, 1.0::DOUBLE AS c, 1 / (1 - (p + q) * y / (p + 1)) AS d, 1 / (1 - (p + q) * y / (p + 1)) AS h FROM near
+  UNION ALL SELECT model, market, kind, far, x, p, q, y, k, 1 + even / c1, 1 / (1 + even * d1), h * c1 * d1 * (1 + even / c1) / (1 + even * d1)
+  FROM (SELECT *, 1 + odd / c AS c1, 1 / (1 + odd * d) AS d1 FROM (SELECT * REPLACE (k + 1 AS k), (k + 1) * (q - k - 1) * y / ((p + 2 * k + 1) * (p + 2 * k + 2)) AS odd,
+        -(p + k + 1) * (p + q + k + 1) * y / ((p + 2 * k + 2) * (p + 2 * k + 3)) AS even FROM lentz WHERE k < 300))),
+tail AS (SELECT model, market, kind, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(y) + q * ln(1 - y)) / p * h AS v, far FROM lentz WHERE k = 300),
+beta AS (SELECT model, market, max(CASE WHEN kind = 'mean' THEN CASE WHEN far THEN 1 - v ELSE v END END) AS p_value, max(CASE WHEN kind = 'paired' THEN CASE WHEN far THEN 1 - v ELSE v END END) AS p_paired FROM tail GROUP BY 1, 2),
+norm AS (SELECT model, market, u_statistic, z, CASE WHEN z <= 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(0 - pow(least(z / sqrt(2), 5), 2)) * list_sum(list_transform(range(0, 120),
+  lambda k: exp((2 * k + 1) * ln(greatest(least(z / sqrt(2), 5), 1e-300)) - lgamma(k + 1.5) - ln(2) + ln(pi()) / 2))) END AS p_ranks FROM z)
+"""
+
+
+@query("B20_test_p_values", "WITH RECURSIVE " + BENCH + "," + RANKS + "," + TAILS + """
+SELECT model, market, n, R6(t_statistic) AS t_statistic, R6(t_paired) AS t_paired, df, df_paired, u_statistic, R6(z) AS z, R6(p_value) AS p_value, R6(p_paired) AS p_paired, R6(p_ranks) AS p_ranks,
+  p_value < 0.05 AS significant_mean, p_paired < 0.05 AS significant_paired, p_ranks < 0.05 AS significant_ranks FROM st JOIN beta USING (model, market) JOIN norm USING (model, market)
 """, ("ret",))
+def _(t):
+    out = performance.significance(performance.paired_returns(t.nav, M, "Buy&Hold"), K)
+    return rounded(out, "t_statistic", "t_paired", "z", "p_value", "p_paired", "p_ranks")
+
+
+@query("B21_rank_test", "WITH " + BENCH + "," + RANKS + "SELECT model, market, u_statistic, R6(z) AS z FROM z", ("ret",))
 def _(t):
     return rounded(performance.rank_test(performance.paired_returns(t.nav, M, "Buy&Hold"), K), "z")
 
@@ -585,9 +610,27 @@ def _(t):
     return rounded(d.withColumn("point", F.col("point").cast("long")), "x", "density", "normal")
 
 
-@query("B26_normal_plot")
+def _quantile_sql(p):
+    """The rational approximation of the normal quantile, in SQL."""
+    def poly(coefficients, x, last=""):
+        out = f"{coefficients[0]!r}::DOUBLE"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + ({c!r}::DOUBLE))"
+        return f"({out} * {x} + {last})" if last else out
+
+    tail = f"{poly(significance.C, 't')} / {poly(significance.D, 't', '1')}"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 1 - 0.02425 THEN -({tail}) ELSE {poly(significance.A, 'r')} * q / {poly(significance.B, 'r', '1')} END"
+
+
+@query("B26_normal_plot", f"""
+WITH o AS (SELECT model, market, r AS ordered, row_number() OVER (PARTITION BY model, market ORDER BY r, date) AS nth, CAST(count(*) OVER (PARTITION BY model, market) AS DOUBLE) AS n FROM ret),
+e AS (SELECT *, CASE WHEN nth = n THEN pow(0.5::DOUBLE, 1 / n) WHEN nth = 1 THEN 1 - pow(0.5::DOUBLE, 1 / n) ELSE (nth - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM o),
+f AS (SELECT *, p - 0.5 AS q, (p - 0.5) * (p - 0.5) AS r, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM e)
+SELECT model, market, nth, R8(ordered) AS ordered, R6({_quantile_sql('p')}) AS theoretical FROM f
+""", ("ret",))
 def _(t):
-    return performance.normal_plot(t.ret, K)
+    out = performance.normal_plot(t.ret, K)
+    return out.select(*K, F.col("nth").cast("long").alias("nth"), F.round("ordered", 8).alias("ordered"), F.round("theoretical", 6).alias("theoretical"))
 
 
 @query("X04_strategy_registry", RSI_SIGNAL + """
