@@ -155,29 +155,49 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum())
 
 
+#: Counts for which the gain of an entry is read off a table.
+SMALL = 16
+
+
+def _added(held: np.ndarray, most: int) -> np.ndarray:
+    """x log x of each cell with 1 to ``most`` more, less that of the cell; (more - 1, cell)."""
+    more = np.arange(1, most + 1, dtype=float).reshape(-1, *[1] * held.ndim)
+    return _xlogx(held[None] + more) - _xlogx(held)[None]
+
+
 def moved(word: np.ndarray, before: np.ndarray, n: np.ndarray, of: np.ndarray, table: np.ndarray, free: np.ndarray) -> np.ndarray:
     """The class of highest likelihood for each word that is free to move, all others as they are.
 
     ``word`` (ascending), ``before`` and ``n`` list how often the history class stands before the word; every word has a
-    row. Each word is taken out of its class first; class 0 is the end of a text.
+    row. Each word is taken out of its class first; class 0 is the end of a text. Most entries are of small counts: what
+    these add to a cell is worked out once for all words.
     """
     if not len(word):
         return of.copy()
-    out, classes = of.copy(), table.shape[1]
-    base, columns = _xlogx(table), table.sum(0)
+    out, columns = of.copy(), table.sum(0)
+    cells, wholes = _added(table, SMALL), _added(columns, SMALL)
+
+    def gained(held: np.ndarray, ready: np.ndarray, at: np.ndarray | None, more: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What each class gains by the counts, the words' own class without them."""
+        rows = held if at is None else held[at]
+        small = more <= SMALL
+        gain = np.empty((len(more), held.shape[-1]))
+        gain[small] = ready[more[small] - 1] if at is None else ready[more[small] - 1, at[small]]
+        many = more[~small].astype(float)[:, None]
+        there = np.broadcast_to(rows, gain.shape)[~small] if at is None else rows[~small]
+        gain[~small] = _xlogx(there + many) - _xlogx(there)
+        mine = np.broadcast_to(rows, gain.shape)[np.arange(len(more)), own]
+        gain[np.arange(len(more)), own] = _xlogx(mine) - _xlogx(np.maximum(mine - more, 0))
+        return gain
+
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    size = np.add.reduceat(n, first).astype(float)
+    size = np.add.reduceat(n, first)
     step = 1 << 10  # words at a time, so that a task or the driver holds few megabytes
     for lo in range(0, len(first), step):
         begin, end = first[lo], first[lo + step] if lo + step < len(first) else len(word)
-        own, h, count = word[begin:end], before[begin:end], n[begin:end].astype(float)[:, None]
         names, starts = word[first[lo: lo + step]], first[lo: lo + step] - begin
-        mine = of[own][:, None] == np.arange(classes)[None, :]
-        cell = table[h] - np.where(mine, count, 0.0)
-        gain = np.add.reduceat(_xlogx(cell + count) - np.where(mine, _xlogx(np.maximum(cell, 0)), base[h]), starts, axis=0)
-        c = size[lo: lo + step][:, None]
-        whole = columns[None, :] - np.where(of[names][:, None] == np.arange(classes)[None, :], c, 0.0)
-        gain -= _xlogx(whole + c) - _xlogx(np.maximum(whole, 0))
+        gain = np.add.reduceat(gained(table, cells, before[begin:end], n[begin:end], of[word[begin:end]]), starts, axis=0)
+        gain -= gained(columns, wholes, None, size[lo: lo + step], of[names])
         gain[:, 0] = -np.inf
         # A word stays unless another class is better by more than rounding.
         stay = gain[np.arange(len(names)), of[names]]
