@@ -78,6 +78,21 @@ def test_sessions_in_state(spark, events, tmp_path, files, per_batch):
     assert [(r.n, r.total) for r in got.filter("user_id IS NULL").collect()] == [(1, 2.0)]
 
 
+def test_state_by_slot(spark, tmp_path):
+    """State, timers and calls are per slot, however many keys and days there are; large keys, null keys and null values stay apart."""
+    source, out, log = (f"{tmp_path}/{x}" for x in ("in", "out", "log"))
+    big = 2**60
+    rows = [(big + u, T0 + dt.timedelta(minutes=m), v) for u in range(3000) for m, v in ((0, None), (20, 1.5), (60, None))] + [(None, T0, 2.0)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(source)
+    got = sessions.run_available(spark, source, spark.read.parquet(source).schema, out, log, ["user_id"], delay="2 hours")
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    want = [(None, at(0), at(30), 1, 2.0)] + [x for u in range(3000) for x in ((big + u, at(0), at(50), 2, 1.5), (big + u, at(60), at(90), 1, None))]
+    assert sorted(map(tuple, got.select("user_id", "start", "end", "n", "total").collect()), key=repr) == sorted(want, key=repr)
+    assert spark.read.format("statestore").option("stateVarName", "open").load(log).count() <= 1024
+    left = sessions.open_sessions(spark, log, ["user_id"], {"user_id": "bigint"})
+    assert left.count() == 6001 and dict(left.dtypes)["user_id"] == "bigint"
+
+
 def test_broken_lines_are_rejected_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"doc_id": "1", "content": "x"}\nno json\n{"doc_id": "1", "content": "x"}\n')
