@@ -67,11 +67,15 @@ def scan_batches(spark: SparkSession, pattern: str, schema: T.StructType) -> Dat
 
 
 def write_jsonl(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """JSON lines in UTF-8, one folder per value of ``by``."""
-    writer = df.write.mode(mode)
+    """JSON lines in UTF-8, one folder per value of ``by``.
+
+    Rows of a folder gather in files of the advisory partition size, so the number of files grows with the bytes, not with tasks
+    times folders. Spark splits what is larger, so a folder with most of the rows spreads over tasks.
+    """
     if by:
-        writer = writer.partitionBy(*by)
-    writer.json(path)
+        df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).json(path)
+    else:
+        df.write.mode(mode).json(path)
 
 
 def run_statistics(log: DataFrame, section: str, status: str = "status") -> DataFrame:

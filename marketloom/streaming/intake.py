@@ -50,7 +50,7 @@ def score_documents(spark: SparkSession, source: str, schema: T.StructType, outp
     The stream's checkpoint remembers the files read. Each batch drops documents that an earlier one has scored, found in the
     store of seen keys below ``output``, splits off rejected scores, and overwrites the folder of its own number, so a batch
     repeated after a failure or a lost executor leaves no second copy. No state grows in memory, and a batch reads only
-    those buckets and runs of the store that may hold its keys.
+    those buckets and runs of the store that may hold its keys. A batch that scores nothing adds no run.
     """
     done = seen.SeenKeys(spark, f"{output}/seen", key, schema[key].dataType.simpleString())
 
@@ -66,7 +66,9 @@ def score_documents(spark: SparkSession, source: str, schema: T.StructType, outp
         finally:
             scored.unpersist()
         kind = schema[key].dataType.simpleString()
-        done.add(spark.read.schema(f"`{key}` {kind}").parquet(f"{output}/scored/batch={number}"), number)
+        added = spark.read.schema(f"`{key}` {kind}").parquet(f"{output}/scored/batch={number}")
+        if not added.isEmpty():
+            done.add(added, number)
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
     query = (

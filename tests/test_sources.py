@@ -10,7 +10,7 @@ from marketloom.operators.alignment import lookup
 from marketloom.operators.strategies import Strategies
 from marketloom.session import fresh_path, settle
 from marketloom.sources import documents, sinks
-from marketloom.streaming import intake
+from marketloom.streaming import intake, seen
 
 
 def write_lines(path, name, lines):
@@ -55,6 +55,21 @@ def test_intake_survives_a_repeat(spark, tmp_path):
     assert {r.doc_id for r in spark.read.parquet(f"{out}/rejected").collect()} == {"200"}
 
 
+def test_files_grow_with_bytes_not_with_tasks(spark, tmp_path):
+    """Small rows of 40 tasks and 5 folders are few files; a second arrival of all is taken in without a run of the store."""
+    out, source = f"{tmp_path}/out", f"{tmp_path}/in"
+    docs = spark.range(400).repartition(40).select(F.col("id").cast("string").alias("doc_id"), F.lit("x").alias("content"), (F.col("id") % 5).alias("source"))
+    schema = docs.select("doc_id", "content").schema
+    score = lambda df: df.withColumns({c: F.lit(1.0) for c in intake.SCORES.names})
+    for turn in (1, 2):
+        documents.write_jsonl(docs, source, ["source"], mode="append")
+        files = list((tmp_path / "in").glob("source=*/*.json"))
+        assert {f.parent.name for f in files} == {f"source={i}" for i in range(5)} and len(files) <= 10 * turn
+        intake.score_documents(spark, source, schema, out, f"{out}-log", score)
+        assert spark.read.parquet(f"{out}/scored").count() == 400
+        assert seen.SeenKeys(spark, f"{out}/seen", "doc_id").runs() == [(0, 0)]
+
+
 def test_cleaning_records_what_fired(spark):
     rules = (ops.Pattern("tail", r"END.*", flags=("DOTALL",)), ops.Pattern("mine", r"^A", source="a"))
     rows = spark.createDataFrame([("a", "Abc END\nmore"), ("b", "Abc"), ("b", None)], "source string, content string")
