@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,8 @@ from marketloom.operators.sentiment import LIMITS, valid_scores
 from marketloom.streaming import seen
 
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in LIMITS])
+#: Bytes of text that a scorer gets at a time.
+PIECE = 4 << 20
 
 
 def pending(items: DataFrame, log: DataFrame, key: str = "url") -> DataFrame:
@@ -26,19 +31,38 @@ def progress(done: DataFrame, section: str, key: str = "url") -> DataFrame:
     return done.select(key, F.lit(section).alias("section"), F.current_timestamp().alias("logged_at"))
 
 
+def pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` bytes of text, views of the batch; a row alone may be larger."""
+    text = [c for c in batch.columns if any(is_kind(c.type) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary))]
+    size = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in text), np.full(batch.num_rows, 8 * batch.num_columns))
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - size[begin] + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def scored_by(score: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Turn a function from a batch of documents to their three scores into a DataFrame step.
 
-    The function gets pandas batches inside tasks and may call whatever scores a document; it must keep row order.
+    The function gets pandas batches inside tasks and may call whatever scores a document; it must keep row order. Only a few MB
+    of text are pandas at a time, whatever rows Arrow's batches hold, and the documents pass on as the Arrow columns they came in.
     """
     def step(df: DataFrame) -> DataFrame:
         schema = T.StructType([*df.schema.fields, *SCORES.fields])
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pd.concat([batch.reset_index(drop=True), score(batch).reset_index(drop=True)], axis=1)
-
-        return df.mapInPandas(run, schema)
+                for piece in pieces(batch):
+                    docs = piece.to_pandas()
+                    for name in docs.select_dtypes("datetimetz"):
+                        docs[name] = docs[name].dt.tz_localize(None)
+                    scores = score(docs)
+                    found = [pa.Array.from_pandas(scores[name], type=pa.float64()) for name in SCORES.names]
+                    yield pa.RecordBatch.from_arrays([*piece.columns, *found], names=schema.names)
+
+        return df.mapInArrow(run, schema)
 
     return step
 

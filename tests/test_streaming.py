@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from marketloom.streaming import intake, sessions, windows
@@ -93,6 +94,23 @@ def test_state_by_slot(spark, tmp_path):
     assert left.count() == 6001 and dict(left.dtypes)["user_id"] == "bigint"
 
 
+def test_scorer_gets_a_few_megabytes_at_a_time(spark):
+    """Long documents come in small pieces, a row larger than a piece alone; order, null texts and other columns stay."""
+    size = lambda i: 9_000_000 if i == 700 else 20_000
+    long = F.when(F.col("id") % 10 == 3, None).otherwise(F.repeat(F.lit("é"), F.when(F.col("id") == 700, 4_500_000).otherwise(10_000).cast("int")))
+    docs = spark.range(1000).coalesce(1).select("id", F.timestamp_seconds("id").alias("at"), long.alias("content"))
+
+    def score(batch):
+        assert batch["at"].dt.tz is None
+        total = batch["content"].str.len().fillna(0).sum() * 2.0
+        return pd.DataFrame({"supply": batch["id"].astype("float64"), "demand": total, "strength": float(len(batch))})
+
+    got = intake.scored_by(score)(docs).select("id", "at", F.octet_length("content").alias("size"), "supply", "demand", "strength").collect()
+    assert [(r.id, r.supply, r.size) for r in got] == [(i, i, None if i % 10 == 3 else size(i)) for i in range(1000)]
+    assert all(r.at == dt.datetime.fromtimestamp(r.id, dt.timezone.utc).replace(tzinfo=None) for r in got)
+    assert max(r.demand for r in got if r.id != 700) <= intake.PIECE and [r.strength for r in got if r.id == 700] == [1.0]
+
+
 def test_broken_lines_are_rejected_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"doc_id": "1", "content": "x"}\nno json\n{"doc_id": "1", "content": "x"}\n')
