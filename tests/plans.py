@@ -20,3 +20,21 @@ def findings(plan: str) -> list[str]:
             if above and "sum(_rows#" not in above[-1]:
                 found.append("single-task window: " + above[-1].strip()[:160])
     return found
+
+
+def broadcast_rows(df) -> list[int]:
+    """Rows of each broadcast that the plan of ``df`` made when it ran."""
+    df.collect()
+
+    def walk(node) -> list[int]:
+        kind = node.nodeName()
+        if kind.startswith("AdaptiveSparkPlan"):
+            below = [node.executedPlan()]
+        elif kind.endswith("QueryStage"):
+            below = [node.plan()]
+        else:
+            below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchange" else []
+        return own + [n for x in below for n in walk(x)]
+
+    return walk(df._jdf.queryExecution().executedPlan())
